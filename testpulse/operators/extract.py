@@ -10,6 +10,7 @@ only for the blocks that a failing test needs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -116,81 +117,120 @@ def _fill(template: str, line: Column, pattern: str) -> Column:
     return joined
 
 
-def _event(kind, line=None, **fields) -> Column:
-    """One event struct; every kind of event has the same fields."""
-    types = {
-        "priority": "int", "rule": "string", "rule_ord": "int", "status": "string",
-        "name": "string", "block_key": "string", "style": "string", "opens": "boolean",
-        "detail": "string",
-    }
-    columns = [F.lit(kind).alias("kind")]
-    for field, kind_of in types.items():
-        value = fields.get(field)
-        value = value if isinstance(value, Column) else F.lit(value)
-        columns.append(value.cast(kind_of).alias(field))
-    return F.struct(*columns)
-
-
-def result_event(line: Column, rule: ResultRule) -> Column:
-    """The result row of a line under one rule, or null."""
-    pattern = T.java(rule.pattern)
-    matches = _hinted(line, rule.hints) & line.rlike(pattern)
+def matches_rule(line: Column, rule: ResultRule) -> Column:
+    """Does the line hold a result row under this rule?"""
+    found = _hinted(line, rule.hints) & line.rlike(T.java(rule.pattern))
     if rule.rule == "js_generic":  # only where the Jest pattern did not take the line
-        matches = matches & ~line.rlike(T.java(fixed.JEST_SUITE))
+        found = found & ~line.rlike(T.java(fixed.JEST_SUITE))
     if rule.needs:
-        number = _fill(rule.needs, line, rule.pattern)
-        matches = matches & number.rlike("[1-9]")
-    name = _fill(rule.name, line, rule.pattern)
-    if rule.block_key == "after_colons":
-        key = F.substring_index(name, "::", -1)
-    elif rule.block_key:
-        key = _fill(rule.block_key, line, rule.pattern)
-    else:
-        key = F.lit("")
-    detail = F.lit("")
-    if rule.message:
-        detail = F.regexp_replace(_fill(rule.message, line, rule.pattern), "^0+", "")
-    word = _fill(rule.status, line, rule.pattern)
-    return F.when(
-        matches,
-        _event("result", priority=rule.priority, rule=rule.rule, rule_ord=rule.rule_ord,
-               status=T.status_of(word), name=name, block_key=key, detail=detail),
-    )
+        found = found & _fill(rule.needs, line, rule.pattern).rlike("[1-9]")
+    return found
 
 
-def mark_events(line: Column) -> list[Column]:
-    """Starts (``opens``) and ends of failure blocks, per block style."""
-    def has(pattern):
-        return line.rlike(T.java(pattern))
+@dataclass(frozen=True)
+class Mark:
+    """A line that starts (``opens``) or ends a failure block of one style.
 
-    def group(pattern, n):
-        return T.strip(F.regexp_extract(line, T.java(pattern), n))
+    ``name`` is the pattern whose group ``name_group`` names the block.
+    """
 
-    pytest_name = group(fixed.PYTEST_HEADER, 1)
-    pytest = F.when(
-        F.startswith(line, F.lit("___")) & has(fixed.PYTEST_HEADER),
-        _event("mark", style="pytest", name=pytest_name, opens=pytest_name != ""),
-    )
-    unittest = F.when(
-        (F.startswith(line, F.lit("FAIL:")) | F.startswith(line, F.lit("ERROR:")))
-        & has(fixed.UNITTEST_HEADER),
-        _event("mark", style="unittest", name=group(fixed.UNITTEST_HEADER, 2), opens=True),
-    ).when(
-        F.startswith(line, F.lit("Ran "))
-        | (F.startswith(line, F.lit("====")) & has(fixed.UNITTEST_RULER)),
-        _event("mark", style="unittest", name="", opens=False),
-    )
-    js_line = _hinted(line, ("FAIL", "PASS", "SKIP", "ERROR")) & (
-        has(fixed.JEST_SUITE) | has(fixed.JS_GENERIC)
-    )
-    jest = F.when(
-        F.contains(line, F.lit("●")) & has(fixed.JEST_HEADER),
-        _event("mark", style="jest", name=group(fixed.JEST_HEADER, 1), opens=True),
-    ).when(
-        js_line | (F.startswith(line, F.lit("Test")) & has(fixed.JEST_TOTALS)),
-        _event("mark", style="jest", name="", opens=False),
-    )
-    return [pytest, unittest, jest]
+    style: str
+    opens: bool
+    test: Callable[[Column], Column]
+    name: str = ""
+    name_group: int = 0
+
+
+def _has(line: Column, pattern: str, *starts: str) -> Column:
+    """Pattern test, tried only on lines with one of the given beginnings."""
+    found = line.rlike(T.java(pattern))
+    if not starts:
+        return found
+    begins = F.startswith(line, F.lit(starts[0]))
+    for start in starts[1:]:
+        begins = begins | F.startswith(line, F.lit(start))
+    return begins & found
+
+
+def _jest_header(line: Column) -> Column:
+    return F.contains(line, F.lit("●")) & _has(line, fixed.JEST_HEADER)
+
+
+MARKS = [
+    Mark("pytest", True, lambda line: _has(line, fixed.PYTEST_HEADER, "___"),
+         fixed.PYTEST_HEADER, 1),
+    Mark("unittest", True, lambda line: _has(line, fixed.UNITTEST_HEADER, "FAIL:", "ERROR:"),
+         fixed.UNITTEST_HEADER, 2),
+    Mark("unittest", False, lambda line: F.startswith(line, F.lit("Ran "))
+         | _has(line, fixed.UNITTEST_RULER, "====")),
+    Mark("jest", True, _jest_header, fixed.JEST_HEADER, 1),
+    Mark("jest", False, lambda line: ~_jest_header(line) & (
+        _has(line, fixed.JEST_TOTALS, "Test")
+        | (_hinted(line, ("FAIL", "PASS", "SKIP", "ERROR"))
+           & (_has(line, fixed.JEST_SUITE) | _has(line, fixed.JS_GENERIC))))),
+]
+DURATION = len(RESULT_RULES)
+FIRST_MARK = DURATION + 1
+
+
+def event_codes(line: Column, framework: str | None = None) -> Column:
+    """Array with the number of every rule, duration or mark a line matches,
+    null for the others."""
+    codes = [
+        F.when(matches_rule(line, rule), code)
+        for code, rule in enumerate(RESULT_RULES)
+        if framework in (None, rule.framework)
+    ]
+    codes.append(F.when(T.duration_in(line).isNotNull(), DURATION))
+    codes += [F.when(mark.test(line), FIRST_MARK + i) for i, mark in enumerate(MARKS)]
+    return F.array(*codes)
+
+
+def _looked_up(code: Column, values: list) -> Column:
+    """The value at position ``code`` of a list of literals."""
+    return F.get(F.array(*[F.lit(v) for v in values]), code)
+
+
+def event_fields(line: Column, code: Column) -> dict[str, Column]:
+    """What a line means under the rule, duration or mark with this number."""
+    def per_rule(build) -> Column:
+        """CASE over result rules; ``build`` gives an expression or null."""
+        chain = None
+        for number, rule in enumerate(RESULT_RULES):
+            value = build(rule)
+            if value is not None:
+                step = F if chain is None else chain
+                chain = step.when(code == number, value)
+        return chain
+
+    n_marks = len(MARKS)
+    is_result = code < DURATION
+    name = per_rule(lambda r: _fill(r.name, line, r.pattern))
+    for i, mark in enumerate(MARKS):
+        found = T.strip(F.regexp_extract(line, T.java(mark.name), mark.name_group))
+        name = name.when(code == FIRST_MARK + i, found if mark.opens else F.lit(""))
+    word = per_rule(lambda r: _fill(r.status, line, r.pattern))
+    unittest = [i for i, r in enumerate(RESULT_RULES) if r.framework == "unittest"]
+    pytest = [i for i, r in enumerate(RESULT_RULES) if r.framework == "pytest"]
+    short = per_rule(lambda r: _fill("{1}", line, r.pattern) if r.framework == "unittest" else None)
+    totals = per_rule(lambda r: _fill(r.message, line, r.pattern) if r.message else None)
+    opens = _looked_up(code, [None] * FIRST_MARK + [m.opens for m in MARKS])
+    return {
+        "kind": F.when(is_result, "result").when(code == DURATION, "duration").otherwise("mark"),
+        "priority": _looked_up(code, [r.priority for r in RESULT_RULES] + [None] * (n_marks + 1)),
+        "rule": _looked_up(code, [r.rule for r in RESULT_RULES] + [None] * (n_marks + 1)),
+        "rule_ord": _looked_up(code, [r.rule_ord for r in RESULT_RULES] + [None] * (n_marks + 1)),
+        "status": T.status_of(word),
+        "name": name,
+        "block_key": F.when(code.isin(pytest), F.substring_index(name, "::", -1))
+        .when(code.isin(unittest), short)
+        .when(is_result, ""),
+        "style": _looked_up(code, [None] * FIRST_MARK + [m.style for m in MARKS]),
+        "opens": opens & (name != ""),
+        "detail": F.when(code == DURATION, F.regexp_extract(line, fixed.DURATION, 1))
+        .when(totals.isNotNull(), F.regexp_replace(totals, "^0+", ""))
+        .when(is_result, ""),
+    }
 
 
 def line_events(
@@ -198,21 +238,22 @@ def line_events(
 ) -> DataFrame:
     """Result, duration and block-mark events of log lines: a narrow pass.
 
-    ``framework`` restricts result lines to one framework (for logs that an
-    earlier one would claim); ``strip_timestamps`` lets failure blocks start
-    on lines that carry the CI runner's timestamp.
+    First each line gets the numbers of what it matches; the fields are cut out
+    only of the few lines that match something.  ``framework`` restricts result
+    lines to one framework (for logs that an earlier one would claim);
+    ``strip_timestamps`` lets failure blocks start on lines that carry the CI
+    runner's timestamp.
     """
     clean = clean_lines(lines, strip_timestamps)
-    line = F.col("line")
-    rules = [r for r in RESULT_RULES if framework in (None, r.framework)]
-    duration = T.duration_in(line)
-    events = [result_event(line, rule) for rule in rules]
-    events.append(F.when(duration.isNotNull(), _event("duration", detail=duration)))
-    events.extend(mark_events(line))
+    line, code = F.col("line"), F.col("code")
+    fields = event_fields(line, code)
     return (
-        clean.select(*LOG, "entry_ord", "line_no", F.explode(F.array(*events)).alias("event"))
-        .filter(F.col("event").isNotNull())
-        .select(*LOG, "entry_ord", "line_no", "event.*")
+        clean.select(
+            *LOG, "entry_ord", "line_no", "line",
+            F.explode(event_codes(line, framework)).alias("code"),
+        )
+        .filter(code.isNotNull())
+        .select(*LOG, "entry_ord", "line_no", *[c.alias(n) for n, c in fields.items()])
         .filter((F.col("kind") != "result") | F.col("status").isNotNull())
     )
 
@@ -443,6 +484,8 @@ def extract_results(
     has_block = T.is_failing(F.col("status")) & F.col("style").isNotNull()
     failing = rows.filter(has_block)
     texts = failure_texts(events, failing, clean_lines(lines, strip_timestamps))
+    if staged:
+        texts = stage(texts, "failure-texts")
     explained = attach_per_key(
         failing, texts, [*LOG, "style", "block_key"], "n_failing", F.col("line_no")
     ).drop("n_failing")

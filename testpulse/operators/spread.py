@@ -31,22 +31,18 @@ def attach_per_key(
     ``spread_on``, and its one row is repeated for each.  There can be at most
     ``pieces`` such keys, so the list of hot keys that is broadcast has at most
     ``pieces`` rows, and at most 2 * ``pieces`` copies are made, at any scale.
+    ``per_key`` is read three times; stage it where it is costly to compute.
     """
     share = F.greatest(
         F.lit(float(min_rows)),
         per_key.agg((F.sum(size) / F.lit(pieces)).alias("share")).scalar(),
     )
-    hot = per_key.filter(F.col(size) > share).select(
-        *keys, F.ceil(F.col(size) / share).cast("int").alias("_pieces")
-    )
-    n_pieces = F.coalesce(F.col("_pieces"), F.lit(1))
-    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn(
-        "_piece", F.pmod(F.xxhash64(spread_on), n_pieces).cast("int")
-    )
-    copies = per_key.join(F.broadcast(hot), keys, "left").withColumn(
-        "_piece", F.explode(F.sequence(F.lit(0), n_pieces - 1))
-    )
-    return dealt.drop("_pieces").join(copies.drop("_pieces"), [*keys, "_piece"], how).drop("_piece")
+    n_pieces = F.when(F.col(size) > share, F.ceil(F.col(size) / share)).otherwise(1).cast("int")
+    hot = per_key.filter(F.col(size) > share).select(*keys, n_pieces.alias("_pieces"))
+    piece = F.pmod(F.xxhash64(spread_on), F.coalesce(F.col("_pieces"), F.lit(1)))
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_piece", piece.cast("int"))
+    copies = per_key.withColumn("_piece", F.explode(F.sequence(F.lit(0), n_pieces - 1)))
+    return dealt.drop("_pieces").join(copies, [*keys, "_piece"], how).drop("_piece")
 
 
 def keep_matching(

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from testpulse.session import stage_once
+
 RESULTS = """
 SELECT result_ord, repo, run_id, test_name, status,
   CASE WHEN status IN ('FAILED', 'ERROR') THEN raw_message ELSE '' END AS error_message,
@@ -169,8 +171,16 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/events.parquet")
 
 
+def _table(spark: SparkSession, folder: str, name: str, sql: str) -> DataFrame:
+    """A derived table, written once per application and then scanned, so that
+    filters and columns are pushed into the scan like for any table."""
+    return stage_once(
+        spark, f"{name}:{folder}", lambda: _spark_sql(spark, sql, events=events(spark, folder))
+    )
+
+
 def results(spark: SparkSession, folder: str) -> DataFrame:
-    return _spark_sql(spark, RESULTS, events=events(spark, folder))
+    return _table(spark, folder, "results", RESULTS)
 
 
 def runs(spark: SparkSession, folder: str) -> DataFrame:
@@ -197,15 +207,15 @@ def jobs():
 
 
 def log_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return _spark_sql(spark, LOG_LINES, events=events(spark, folder))
+    return _table(spark, folder, "log_lines", LOG_LINES)
 
 
 def block_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return _spark_sql(spark, BLOCK_LINES, events=events(spark, folder))
+    return _table(spark, folder, "block_lines", BLOCK_LINES)
 
 
 def responses(spark: SparkSession, folder: str) -> DataFrame:
-    return _spark_sql(spark, RESPONSES, events=events(spark, folder))
+    return _table(spark, folder, "responses", RESPONSES)
 
 
 def log_runs(spark: SparkSession, folder: str, lines: DataFrame | None = None) -> DataFrame:

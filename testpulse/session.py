@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +24,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         SparkSession.builder.master(f"local[{cores}]")
         .appName("testpulse")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
@@ -65,3 +67,25 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Is there anything at a path of any file system Spark can reach?"""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(system.exists(place) and system.listStatus(place))
+
+
+_STAGED: dict[tuple[str, str], str] = {}
+
+
+def stage_once(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """Like :func:`stage`, but written once per application and then read."""
+    key = (spark.sparkContext.applicationId, name)
+    path = _STAGED.get(key)
+    if path is None or not exists(spark, path + "/_SUCCESS"):
+        path = new_folder(spark, "table")
+        build().write.parquet(path)
+        _STAGED[key] = path
+    return spark.read.parquet(path)

@@ -8,29 +8,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from testpulse.functions import text as T
+from testpulse.functions.text import is_failing
 from testpulse.operators import classify, scoring
 from testpulse.operators.runs import RUN, unprocessed
 from testpulse.operators.stats import TEST, rates, signatures
+from testpulse.session import exists
 from testpulse.sources import sinks
 
 
-def _is_empty(spark: SparkSession, path: str) -> bool:
-    """Does a table folder hold no batch yet?"""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return not system.exists(folder) or not system.listStatus(folder)
-
-
 def _earlier(spark: SparkSession, path: str, batch_id: int, schema) -> DataFrame:
     """Rows of all batches but this one (which may be a repetition)."""
-    if _is_empty(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], schema)
     return (
-        spark.read.schema(schema.add("batch", "bigint")).parquet(path)
+        spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())]))
+        .parquet(path)
         .filter(F.col("batch") != batch_id)
         .drop("batch")
     )
@@ -58,7 +53,7 @@ def ingest_runs(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuer
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        done = _earlier(spark, table, batch_id, type(schema)(list(schema.fields)))
+        done = _earlier(spark, table, batch_id, schema)
         new = unprocessed(batch.dropDuplicates(RUN), done)
         _write_batch(new, table, batch_id)
 
@@ -75,7 +70,7 @@ def running_counts(stream: DataFrame) -> DataFrame:
     """Executions and failures per test so far, for an ``update`` sink."""
     counted = stream.groupBy(*TEST).agg(
         F.count(F.lit(1)).alias("total_executions"),
-        F.count_if(T.is_failing(F.col("status"))).alias("total_failures"),
+        F.count_if(is_failing(F.col("status"))).alias("total_failures"),
     )
     return counted.withColumns(rates(F.col("total_failures"), F.col("total_executions")))
 
@@ -90,7 +85,7 @@ def accumulate_stats(stream: DataFrame, table: str, checkpoint: str) -> Streamin
     def each_batch(batch: DataFrame, batch_id: int) -> None:
         counts = batch.groupBy(*TEST).agg(
             F.count(F.lit(1)).alias("n"),
-            F.count_if(T.is_failing(F.col("status"))).alias("failures"),
+            F.count_if(is_failing(F.col("status"))).alias("failures"),
             F.min("timestamp").alias("first_time"),
             F.max("timestamp").alias("last_time"),
         )
@@ -144,7 +139,7 @@ def score_stream(
         wanted = batch.dropDuplicates(TEST).withColumns(
             {"provider": F.lit(provider), "model": F.lit(model)}
         )
-        if not _is_empty(spark, cache_path):
+        if exists(spark, cache_path):
             known = sinks.read_versions(spark, cache_path).filter(F.col("version") != batch_id)
             wanted = scoring.cache_misses(wanted, known)
         sinks.append_verdicts(scoring.parse_responses(scorer(wanted)), cache_path, batch_id)
