@@ -122,22 +122,21 @@ def document_signatures(spark, d):
     )
 
 
-@query("repeated_lines", "SRC4 FN1 FN3",
+@query("line_signatures", "SRC4 FN1 FN2 FN3 AGG3",
        f"""SELECT {sql_signature('line')} AS signature_hash, count(*) AS n,
   count(DISTINCT doc_id) AS n_docs FROM (
   SELECT doc_id, unnest(regexp_split_to_array(text, '\\r\\n|\\n|\\r')) AS line FROM documents) t
-  WHERE line <> '' GROUP BY 1 HAVING count(*) > 1""")
-def repeated_lines(spark, d):
+  WHERE line <> '' GROUP BY 1""")
+def line_signatures(spark, d):
+    """Signatures of single text lines, in two steps: a line that fills a third
+    of all texts is counted per text first."""
     docs = spark.read.parquet(f"{d}/documents.parquet")
     lines = docs.select("doc_id", F.explode(F.split("text", r"\r\n|\n|\r")).alias("line"))
-    # two steps: a line that fills a third of the corpus is counted per document first
     per_doc = (
         lines.filter(F.col("line") != "")
         .groupBy(T.error_signature(T.strip_ansi(F.col("line"))).alias("signature_hash"), "doc_id")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    return (
-        per_doc.groupBy("signature_hash")
-        .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_docs"))
-        .filter(F.col("n") > 1)
+    return per_doc.groupBy("signature_hash").agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_docs")
     )

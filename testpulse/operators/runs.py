@@ -7,7 +7,13 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from testpulse.operators.spread import attach_per_key, first_rows, keep_matching, number_rows
+from testpulse.operators.spread import (
+    TOP_K,
+    attach_per_key,
+    first_rows,
+    keep_matching,
+    number_rows,
+)
 
 RUN = ["repo", "run_id"]
 NAMES_SHOWN = 5
@@ -45,7 +51,10 @@ def in_runs(rows: DataFrame, runs: DataFrame, spread_on: Column) -> DataFrame:
 
 
 def newest_runs(runs: DataFrame, n: int) -> DataFrame:
-    """The n newest runs of each repo."""
+    """The n newest runs of each repo, numbered from 1."""
+    if n > TOP_K:
+        kept = runs_after_newest(runs, 0, n)
+        return kept.withColumn("row_no", F.col("row_no") + 1)
     newest = [F.col("timestamp").desc(), F.col("run_id").desc()]
     return first_rows(runs, ["repo"], newest, n)
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PIECES = 1024
+TOP_K = 1000  # largest row limit that Spark applies before the shuffle
 MIN_ROWS = 1_000_000
 
 
@@ -100,8 +101,8 @@ def number_rows(
 
 
 def first_rows(df: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:
-    """The first ``n`` rows of each group: a top-k, cut in every map task
-    before the shuffle, so a task never sees more than n rows per map task."""
+    """The first ``n`` rows of each group, numbered from 1: a top-k that Spark
+    cuts in every map task before the shuffle, for up to ``TOP_K`` rows."""
     top = Window.partitionBy(*group).orderBy(*order)
     return (
         df.withColumn("row_no", F.row_number().over(top).cast("bigint"))

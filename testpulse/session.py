@@ -54,8 +54,9 @@ def _local_dir() -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/testpulse/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, grouped by application."""
+    application = spark.sparkContext.applicationId
+    return f"{shared_dir(spark)}/testpulse/{application}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
