@@ -460,18 +460,18 @@ def extract_results(
     framework: str | None = None,
     strip_timestamps: bool = False,
     newest_first: bool = False,
-    staged: bool = True,
 ) -> DataFrame:
     """One row per test execution found in log lines.
 
     ``runs`` adds workflow, job and time of the run.  ``result_ord`` orders the
-    executions, see :func:`result_order`.
+    executions, see :func:`result_order`.  Events, result lines and block texts
+    are small next to the logs and read several times, so each is written down
+    once; the logs are read for events and, where a test failed, for its block.
     """
     if framework is not None and framework not in {r.framework for r in RESULT_RULES}:
         raise ValueError(f"unknown framework {framework!r}")
     events = line_events(lines, framework=framework, strip_timestamps=strip_timestamps)
-    if staged:
-        events = stage(events, "line-events")
+    events = stage(events, "line-events")
     logs = with_run_fields(log_frameworks(events), runs)
     found = events.filter(F.col("kind") == "result").drop("kind", "style", "opens")
     rows = (
@@ -479,13 +479,11 @@ def extract_results(
         .filter(F.col("priority") == F.col("won"))
         .withColumn("style", block_style(F.col("won")))
     )
-    if staged:
-        rows = stage(rows, "result-lines")
+    rows = stage(rows, "result-lines")
     has_block = T.is_failing(F.col("status")) & F.col("style").isNotNull()
     failing = rows.filter(has_block)
     texts = failure_texts(events, failing, clean_lines(lines, strip_timestamps))
-    if staged:
-        texts = stage(texts, "failure-texts")
+    texts = stage(texts, "failure-texts")
     explained = attach_per_key(
         failing, texts, [*LOG, "style", "block_key"], "n_failing", F.col("line_no")
     ).drop("n_failing")
@@ -512,7 +510,7 @@ def result_order(newest_first: bool = False) -> Column:
     """
     run_text = F.col("run_id").cast("string")
     if newest_first:
-        run = F.lpad((F.lit(10**18) - F.unix_micros("timestamp")).cast("string"), 21, "0")
+        run = F.lpad((F.lit(10**18) - F.unix_micros(F.col("timestamp").cast("timestamp"))).cast("string"), 21, "0")
     else:
         run = F.concat(
             F.rpad(run_text, 19, "0"), F.lpad(F.length(run_text).cast("string"), 2, "0")

@@ -15,7 +15,7 @@ from testpulse.session import stage
 
 @dataclass(frozen=True)
 class Analysis:
-    """All tables of one analysis; each is lazy until it is written or shown."""
+    """All tables of one analysis."""
 
     runs: DataFrame
     results: DataFrame
@@ -60,7 +60,6 @@ def analyze(
     provider: str = "no-llm",
     model: str = "N/A",
     cache: DataFrame | None = None,
-    staged: bool = True,
     **extraction,
 ) -> Analysis:
     """Run metadata plus log lines (or ready results) to categories and totals.
@@ -75,25 +74,18 @@ def analyze(
         raise ValueError("give either results or lines")
     runs = R.since(R.of_workflow(runs, workflow), since)
     if offset or batch_size is not None:
-        runs = R.run_slice(runs, offset, batch_size)
-        if staged:
-            runs = stage(runs, "runs")
+        runs = stage(R.run_slice(runs, offset, batch_size), "runs")
     wanted = R.runs_with_logs_in_scope(runs, all_runs=scope == "all_runs").select(*R.RUN)
 
     if results is None:
         in_scope = R.in_runs(lines, wanted, F.col("line_no"))
-        results = extract_results(in_scope, runs, staged=staged, **extraction)
-        if staged:
-            results = stage(results, "results")
+        results = stage(extract_results(in_scope, runs, **extraction), "results")
     else:
         results = R.in_runs(results, wanted, F.col("result_ord"))
 
-    sigs = S.signatures(results)
-    if staged:
-        sigs = stage(sigs, "signatures")
-    stats = S.test_stats(results, sigs)
-    if staged:
-        stats = stage(stats, "stats")
+    # per test and per signature: small, and read by everything below
+    sigs = stage(S.signatures(results), "signatures")
+    stats = stage(S.test_stats(results, sigs), "stats")
 
     verdicts = classify.with_cutoff(
         classify.rule_verdicts(stats, min_sample=min_sample, forced=forced), limit
@@ -106,17 +98,18 @@ def analyze(
         questions = scoring.prompts(undecided, stats, sigs)
         scored, fresh = scoring.score(questions, scorer, provider, model, cache)
         # asked once: a scorer may be slow, and may answer differently next time
-        if staged:
-            scored = stage(scored, "scored")
+        scored = stage(scored, "scored")
         verdicts = classify.with_scores(verdicts, scored)
     verdicts = classify.default_verdicts(verdicts, forced=forced and scorer is None)
-    if staged:
-        verdicts = stage(verdicts, "verdicts")
-    stats = classify.with_verdict_category(stats, verdicts, min_sample=min_sample, forced=forced)
+    verdicts = stage(verdicts, "verdicts")
+    stats = stage(
+        classify.with_verdict_category(stats, verdicts, min_sample=min_sample, forced=forced),
+        "categories",
+    )
 
     if archives is None:
         archives = results.select(*R.RUN).distinct().withColumn("status", F.lit("ok"))
-    quality = R.data_quality(runs, archives)
+    quality = stage(R.data_quality(runs, archives), "quality")
     audit = scoring.outcome_audit(verdicts.filter(classify.before_cutoff(F.col("first_ord"))))
     return Analysis(
         runs=runs,
@@ -126,5 +119,5 @@ def analyze(
         verdicts=verdicts,
         fresh_verdicts=fresh,
         quality=quality,
-        summary=report.summary(runs, stats, audit),
+        summary=stage(report.summary(runs, stats, audit), "summary"),
     )

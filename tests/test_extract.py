@@ -13,13 +13,23 @@ STAMP = "2026-07-16T12:21:56.1234567Z "
 
 
 @pytest.fixture(scope="module")
-def parse(make_lines):
-    def run(text, runs=None, **options):
-        logs = text if isinstance(text, dict) else {(1, "job_log.txt"): text}
-        results = E.extract_results(make_lines(logs), runs, staged=False, **options)
-        return results.orderBy("result_ord").collect()
+def run(make_lines):
+    """Extract {(run, file): text} and give the rows in order."""
 
-    return run
+    def extract(logs, runs=None, **options):
+        return E.extract_results(make_lines(logs), runs, **options).orderBy("result_ord").collect()
+
+    return extract
+
+
+@pytest.fixture(scope="module")
+def parse(run):
+    """Rows of one of the logs below; all are extracted together, once."""
+    texts = list(dict.fromkeys(LOGS))
+    done = {}
+    for row in run({(i, "job_log.txt"): text for i, text in enumerate(texts)}):
+        done.setdefault(texts[row.run_id], []).append(row)
+    return lambda text: done.get(text, []) if text in texts else pytest.fail("log not listed")
 
 
 def brief(rows):
@@ -54,28 +64,39 @@ def test_pytest(parse):
     assert {r.timing_seconds for r in rows} == {0.32}
 
 
+LOCATION_LOG = ("tests/test_b.py::test_bar FAILED\n======= FAILURES =======\n"
+                "_______ test_bar ________\ntests/test_b.py:5: AssertionError\nassert False\n")
+
+
 def test_pytest_location_line_when_there_are_no_error_lines(parse):
-    rows = parse("tests/test_b.py::test_bar FAILED\n======= FAILURES =======\n"
-                 "_______ test_bar ________\ntests/test_b.py:5: AssertionError\nassert False\n")
+    rows = parse(LOCATION_LOG)
     assert brief(rows) == [("tests/test_b.py::test_bar", "FAILED", "AssertionError")]
 
 
+BEFORE_LOG = f"{STAMP}FAILED tests/a.py::t - AssertionError: x\nERROR tests/a.py::u"
+BOTH_LOG = BEFORE_LOG + "\ntests/a.py::v PASSED"
+
+
 def test_pytest_status_before_name_only_without_the_other_form(parse):
-    before = f"{STAMP}FAILED tests/a.py::t - AssertionError: x\nERROR tests/a.py::u"
-    assert brief(parse(before)) == [("tests/a.py::t", "FAILED", ""), ("tests/a.py::u", "ERROR", "")]
-    both = before + "\ntests/a.py::v PASSED"
-    assert brief(parse(both)) == [("tests/a.py::v", "PASSED", "")]
+    assert brief(parse(BEFORE_LOG)) == [
+        ("tests/a.py::t", "FAILED", ""), ("tests/a.py::u", "ERROR", "")]
+    assert brief(parse(BOTH_LOG)) == [("tests/a.py::v", "PASSED", "")]
+
+
+CLASS_LOG = "t.py::TestX::test_y FAILED\n____ TestX.test_y ____\nE   boom"
 
 
 def test_pytest_class_header_does_not_name_the_test(parse):
-    rows = parse("t.py::TestX::test_y FAILED\n____ TestX.test_y ____\nE   boom")
+    rows = parse(CLASS_LOG)
     assert brief(rows) == [("t.py::TestX::test_y", "FAILED", "")]
 
 
-def test_timestamped_blocks_need_the_option(parse):
-    text = f"{STAMP}t.py::test_y FAILED\n{STAMP}____ test_y ____\n{STAMP}E   boom"
-    assert brief(parse(text)) == [("t.py::test_y", "FAILED", "")]
-    assert brief(parse(text, strip_timestamps=True)) == [("t.py::test_y", "FAILED", "boom")]
+STAMPED_LOG = f"{STAMP}t.py::test_y FAILED\n{STAMP}____ test_y ____\n{STAMP}E   boom"
+
+
+def test_timestamped_blocks_need_the_option(parse, run):
+    assert brief(parse(STAMPED_LOG)) == [("t.py::test_y", "FAILED", "")]
+    assert brief(run({(1, "x"): STAMPED_LOG}, strip_timestamps=True)) == [("t.py::test_y", "FAILED", "boom")]
 
 
 UNITTEST_LOG = """test_login (test_auth.TestAuth) ... FAIL
@@ -114,10 +135,13 @@ def test_unittest(parse):
     assert rows[0].timing_seconds == 0.25
 
 
+LOOSE_LOG = "test_a (mod.Case [x y]) ..... ok"
+STRICT_LOG = LOOSE_LOG + "\ntest_b (m.C) ... ok"
+
+
 def test_unittest_loose_form_only_without_the_strict_one(parse):
-    loose = "test_a (mod.Case [x y]) ..... ok"
-    assert brief(parse(loose)) == [("mod.Case [x y].test_a", "PASSED", "")]
-    assert brief(parse(loose + "\ntest_b (m.C) ... ok")) == [("m.C.test_b", "PASSED", "")]
+    assert brief(parse(LOOSE_LOG)) == [("mod.Case [x y].test_a", "PASSED", "")]
+    assert brief(parse(STRICT_LOG)) == [("m.C.test_b", "PASSED", "")]
 
 
 JEST_LOG = """PASS packages/foo/bar.test.js
@@ -145,12 +169,14 @@ def test_jest_suites_take_all_messages_of_the_log(parse):
         ("__tests__.api.ts", "ERROR", message)]
 
 
+TWICE_LOG = "FAIL a.test.ts\n  ● one\n    x\n  ● two\n    at y\n  ● one\n    z\nTests: 3 failed"
+
+
 def test_jest_name_keeps_first_place_and_last_message(parse):
-    text = ("FAIL a.test.ts\n  ● one\n    x\n  ● two\n    at y\n  ● one\n    z\nTests: 3 failed")
-    assert parse(text)[0].error_message == "one: z; two"
+    assert parse(TWICE_LOG)[0].error_message == "one: z; two"
 
 
-@pytest.mark.parametrize("text, want", [
+OTHERS = [
     ("FAIL __tests__/integration/api.test.ts\nPASS src/header.spec.jsx\nERROR tests/login.e2e.ts",
      [("__tests__.integration.api.test.ts", "FAILED", ""), ("src.header.spec.jsx", "PASSED", ""),
       ("tests.login.e2e.ts", "ERROR", "")]),
@@ -172,40 +198,54 @@ def test_jest_name_keeps_first_place_and_last_message(parse):
     ("  ✓ renders correctly (234ms)", [("renders correctly (234ms)", "PASSED", "")]),
     ("tests/a.py::t NOT_A_STATUS\nsome garbage", []),
     ("\x1b[31mt.py::a\x1b[0m \x1b[1mFAILED\x1b[0m", [("t.py::a", "FAILED", "")]),
-])
+]
+
+
+@pytest.mark.parametrize("text, want", OTHERS)
 def test_other_frameworks(parse, text, want):
     assert brief(parse(text)) == want
 
 
-def test_hint_reaches_a_framework_that_another_hides(parse):
-    rows = parse("  ✓ renders correctly (234ms)\n  ✗ no (1ms)\n  ✓ plain", framework="cypress")
+def test_hint_reaches_a_framework_that_another_hides(run):
+    rows = run({(1, "x"): "  ✓ renders correctly (234ms)\n  ✗ no (1ms)\n  ✓ plain"},
+               framework="cypress")
     assert brief(rows) == [("renders correctly", "PASSED", ""), ("no", "FAILED", "")]
     with pytest.raises(ValueError):
-        parse("x", framework="nose")
+        run({(1, "x"): "x"}, framework="nose")
+
+
+GO_LOG = "--- PASS: A\nok in 3.2s"
+TURBO_LOG = "FAIL Turbopack test/dev.test.ts in 3.2s"
 
 
 def test_go_and_others_have_no_duration(parse):
-    assert parse("--- PASS: A\nok in 3.2s")[0].timing_seconds == 0.0
-    assert parse("FAIL Turbopack test/dev.test.ts in 3.2s")[0].timing_seconds == 3.2
+    assert parse(GO_LOG)[0].timing_seconds == 0.0
+    assert parse(TURBO_LOG)[0].timing_seconds == 3.2
+
+
+MIXED_LOG = "1) anything\n--- PASS: A"
+MORE_LOG = MIXED_LOG + "\nt.py::x PASSED"
+LOGS = [PYTEST_LOG, LOCATION_LOG, BEFORE_LOG, BOTH_LOG, CLASS_LOG, STAMPED_LOG, UNITTEST_LOG,
+        LOOSE_LOG, STRICT_LOG, JEST_LOG, TWICE_LOG, GO_LOG, TURBO_LOG, MIXED_LOG, MORE_LOG,
+        *[text for text, _ in OTHERS]]
 
 
 def test_first_framework_with_a_row_takes_the_log(parse):
-    text = "1) anything\n--- PASS: A\nt.py::x PASSED"
-    assert [r.rule for r in parse(text)] == ["pytest_name_status"]
-    assert [r.rule for r in parse("1) anything\n--- PASS: A")] == ["go"]
+    assert [r.rule for r in parse(MORE_LOG)] == ["pytest_name_status"]
+    assert [r.rule for r in parse(MIXED_LOG)] == ["go"]
 
 
-def test_run_fields_and_order(parse, make_runs):
+def test_run_fields_and_order(run, make_runs):
     jobs = [(1, "lint", "success", ""), (2, "test (3.14)", "failure", "")]
     runs = make_runs([("org/app", 9, "failure"), ("org/app", 10, "failure", "Nightly", jobs)])
     logs = {(9, "a.txt"): "t.py::a PASSED", (10, "b.txt"): "t.py::c PASSED\nt.py::b PASSED",
             (10, "1_test (3.14).txt"): "t.py::d PASSED"}
-    rows = parse(logs, runs)
+    rows = run(logs, runs)
     # "10" comes before "9" in text order
     assert [r.test_name[-1] for r in rows] == ["c", "b", "d", "a"]
     assert [r.job_name for r in rows] == ["b.txt", "b.txt", "test (3.14)", "test (3.11)"]
     assert [r.workflow_name for r in rows] == ["Nightly"] * 3 + ["CI"]
-    newest = parse(logs, runs, newest_first=True)
+    newest = run(logs, runs, newest_first=True)
     assert [r.test_name[-1] for r in newest] == ["c", "b", "d", "a"]
 
 
@@ -283,7 +323,7 @@ def brute_force(kind, lines):
 def test_blocks_equal_brute_force(make_lines):
     dice = random.Random(11)
     logs, want = {}, []
-    for run in range(240):
+    for run in range(300):
         kind = ["pytest", "unittest", "jest"][run % 3]
         lines = [dice.choice(PIECES[kind]) for _ in range(dice.randrange(3, 40))]
         anchor = {"pytest": "t.py::c PASSED", "unittest": "c (m.C) ... ok", "jest": "PASS p/b.spec.js"}
@@ -303,6 +343,6 @@ def test_blocks_across_chunks(make_lines, monkeypatch):
     monkeypatch.setattr(E, "BLOCK_CHUNK", 16)
     body = [f"E   line {i}" for i in range(500)]
     text = "\n".join(["t.py::a FAILED", "____ a ____", *body])
-    rows = E.extract_results(make_lines({(1, "x"): text}), staged=False).collect()
+    rows = E.extract_results(make_lines({(1, "x"): text})).collect()
     assert rows[0].error_message == "\n".join(f"line {i}" for i in range(500))
     assert rows[0].stack_trace == "\n".join(body)
