@@ -88,12 +88,10 @@ def _register_rule(rule):
     def lines_of_rule(spark, d):
         number = next(i for i, r in enumerate(E.RESULT_RULES) if r.rule == rule[0])
         line = F.col("line")
-        fields = E.event_fields(line, F.lit(number))
-        return (
-            C.log_lines(spark, d)
-            .filter(E.matches_rule(line, E.RESULT_RULES[number]))
-            .select("repo", "run_id", "filename", "line_no", fields["status"].alias("status"),
-                    fields["name"].alias("test_name"), fields["detail"].alias("message"))
+        hits = C.log_lines(spark, d).filter(E.matches_rule(line, E.RESULT_RULES[number]))
+        keep = ["repo", "run_id", "filename", "line_no"]
+        return E.with_event_fields(hits.withColumn("code", F.lit(number)), keep).select(
+            *keep, "status", F.col("name").alias("test_name"), F.col("detail").alias("message")
         )
 
 

@@ -36,8 +36,9 @@ class ResultRule:
 
     ``priority`` orders the frameworks: a log belongs to the lowest priority
     that has a row.  ``hints`` are plain substrings, one of which every
-    matching line has; they spare the pattern on almost all lines.  ``name``
-    and ``status`` build the test name and status word from pattern groups.
+    matching line has; they spare the pattern on almost all lines.  The groups
+    number the parts of the pattern: test name, status word (none: failed) and
+    an extra part, which ``shape`` puts in front of or after the name.
     """
 
     rule: str
@@ -45,40 +46,39 @@ class ResultRule:
     priority: int
     pattern: str
     hints: tuple[str, ...]
-    name: str
-    status: str = "{1}"
+    name_group: int | None
+    status_group: int | None = None
+    extra_group: int | None = None
+    shape: str = "plain"
     rule_ord: int = 0
     timed: bool = False
-    block_key: str = ""
-    message: str = ""
-    needs: str = ""
 
 
 RESULT_RULES = [
     ResultRule("pytest_name_status", "pytest", 11, fixed.PYTEST_NAME_STATUS, ("::",),
-               "{1}", "{2}", timed=True, block_key="after_colons"),
+               1, 2, timed=True),
     ResultRule("pytest_status_name", "pytest", 12, fixed.PYTEST_STATUS_NAME, ("::",),
-               "{2}", "{1}", timed=True, block_key="after_colons"),
+               2, 1, timed=True),
     ResultRule("unittest_dots", "unittest", 21, fixed.UNITTEST_DOTS, ("...",),
-               "{2}.{1}", "{3}", timed=True, block_key="{1}"),
+               2, 3, 1, "member", timed=True),
     ResultRule("unittest_loose", "unittest", 22, fixed.UNITTEST_LOOSE, ("..",),
-               "{2}.{1}", "{3}", timed=True, block_key="{1}"),
+               2, 3, 1, "member", timed=True),
     ResultRule("jest_suite", "jest", 30, fixed.JEST_SUITE, ("FAIL", "PASS", "SKIP"),
-               "path:{2}", "{1}", rule_ord=0, timed=True),
+               2, 1, shape="path", timed=True),
     ResultRule("js_generic", "jest", 30, fixed.JS_GENERIC, ("FAIL", "PASS", "SKIP", "ERROR"),
-               "path:{2}", "{1}", rule_ord=1, timed=True),
+               2, 1, shape="path", rule_ord=1, timed=True),
     ResultRule("vitest", "vitest", 40, fixed.VITEST_FILE, ("✓", "✗"),
-               "path:{2}", "{1}", timed=True),
+               2, 1, shape="path", timed=True),
     ResultRule("suite_word", "suite_word", 50, fixed.SUITE_WORD_FILE, ("FAIL", "PASS"),
-               "path:{2}", "{1}", timed=True),
-    ResultRule("go", "go", 60, fixed.GO_RESULT, ("--- ",), "{2}", "{1}"),
-    ResultRule("phpunit", "phpunit", 70, fixed.PHPUNIT_CLASS, ("Tests",), "class:{2}", "{1}"),
-    ResultRule("rspec", "rspec", 80, fixed.RSPEC_FAILURE, (")",), "strip:{2}", "FAILED"),
+               2, 1, shape="path", timed=True),
+    ResultRule("go", "go", 60, fixed.GO_RESULT, ("--- ",), 2, 1),
+    ResultRule("phpunit", "phpunit", 70, fixed.PHPUNIT_CLASS, ("Tests",), 2, 1, shape="class"),
+    ResultRule("rspec", "rspec", 80, fixed.RSPEC_FAILURE, (")",), 2, shape="strip"),
     ResultRule("minitest", "minitest", 90, fixed.MINITEST_TOTALS, (" runs,",),
-               "minitest_summary", "FAILED", message="{3} failures", needs="{3}"),
-    ResultRule("mocha", "mocha", 100, fixed.MOCHA_RESULT, ("✓", "✗"), "strip:{2}", "{1}"),
-    ResultRule("junit", "junit", 110, fixed.JUNIT_FAILURE, ("<<<",), "{2}.{1}", "FAILED"),
-    ResultRule("cypress", "cypress", 120, fixed.CYPRESS_RESULT, ("✓", "✗"), "strip:{2}", "{1}"),
+               None, None, 3, "totals"),
+    ResultRule("mocha", "mocha", 100, fixed.MOCHA_RESULT, ("✓", "✗"), 2, 1, shape="strip"),
+    ResultRule("junit", "junit", 110, fixed.JUNIT_FAILURE, ("<<<",), 2, None, 1, "member"),
+    ResultRule("cypress", "cypress", 120, fixed.CYPRESS_RESULT, ("✓", "✗"), 2, 1, shape="strip"),
 ]
 STYLE_OF = {11: "pytest", 12: "pytest", 21: "unittest", 22: "unittest", 30: "jest"}
 
@@ -98,32 +98,14 @@ def _hinted(line: Column, hints: tuple[str, ...]) -> Column:
     return found
 
 
-def _fill(template: str, line: Column, pattern: str) -> Column:
-    """Build a text from pattern groups: ``{2}.{1}``, with a cleaning prefix."""
-    kind, _, rest = template.rpartition(":") if ":" in template else ("", "", template)
-    pieces = []
-    for piece in rest.replace("{", "\0{").replace("}", "}\0").split("\0"):
-        if piece.startswith("{"):
-            pieces.append(F.regexp_extract(line, T.java(pattern), int(piece[1:-1])))
-        elif piece:
-            pieces.append(F.lit(piece))
-    joined = pieces[0] if len(pieces) == 1 else F.concat(*pieces)
-    if kind == "path":
-        return T.dotted_path(joined)
-    if kind == "class":
-        return F.translate(joined, "\\", ".")
-    if kind == "strip":
-        return T.strip(joined)
-    return joined
-
-
 def matches_rule(line: Column, rule: ResultRule) -> Column:
     """Does the line hold a result row under this rule?"""
     found = _hinted(line, rule.hints) & line.rlike(T.java(rule.pattern))
     if rule.rule == "js_generic":  # only where the Jest pattern did not take the line
         found = found & ~line.rlike(T.java(fixed.JEST_SUITE))
-    if rule.needs:
-        found = found & _fill(rule.needs, line, rule.pattern).rlike("[1-9]")
+    if rule.shape == "totals":  # a row only if anything failed
+        number = F.regexp_extract(line, T.java(rule.pattern), rule.extra_group)
+        found = found & number.rlike("[1-9]")
     return found
 
 
@@ -186,76 +168,93 @@ def event_codes(line: Column, framework: str | None = None) -> Column:
     return F.array(*codes)
 
 
-def _looked_up(code: Column, values: list) -> Column:
-    """The value at position ``code`` of a list of literals."""
-    return F.get(F.array(*[F.lit(v) for v in values]), code)
+def with_event_fields(hits: DataFrame, keep: list[str]) -> DataFrame:
+    """What each line means under the rule, duration or mark with number ``code``.
 
+    Pattern and groups are looked up by ``code``, so that three extractions
+    serve all rules: an expression per rule would grow into a generated method
+    that the JVM does not compile.
+    """
+    line, code = F.col("line"), F.col("code")
+    n_marks = len(MARKS)
 
-def event_fields(line: Column, code: Column) -> dict[str, Column]:
-    """What a line means under the rule, duration or mark with this number."""
-    def per_rule(build) -> Column:
-        """CASE over result rules; ``build`` gives an expression or null."""
-        chain = None
-        for number, rule in enumerate(RESULT_RULES):
-            value = build(rule)
-            if value is not None:
-                step = F if chain is None else chain
-                chain = step.when(code == number, value)
-        return chain
+    def looked_up(of_rules: list, of_duration=None, of_marks=None) -> Column:
+        values = [*of_rules, of_duration, *(of_marks or [None] * n_marks)]
+        return F.get(F.array(*[F.lit(v) for v in values]), code)
 
-    n_marks = len(MARKS)
-    is_result = code < DURATION
-    name = per_rule(lambda r: _fill(r.name, line, r.pattern))
-    for i, mark in enumerate(MARKS):
-        found = T.strip(F.regexp_extract(line, T.java(mark.name), mark.name_group))
-        name = name.when(code == FIRST_MARK + i, found if mark.opens else F.lit(""))
-    word = per_rule(lambda r: _fill(r.status, line, r.pattern))
-    unittest = [i for i, r in enumerate(RESULT_RULES) if r.framework == "unittest"]
-    pytest = [i for i, r in enumerate(RESULT_RULES) if r.framework == "pytest"]
-    short = per_rule(lambda r: _fill("{1}", line, r.pattern) if r.framework == "unittest" else None)
-    totals = per_rule(lambda r: _fill(r.message, line, r.pattern) if r.message else None)
-    opens = _looked_up(code, [None] * FIRST_MARK + [m.opens for m in MARKS])
-    return {
-        "kind": F.when(is_result, "result").when(code == DURATION, "duration").otherwise("mark"),
-        "priority": _looked_up(code, [r.priority for r in RESULT_RULES] + [None] * (n_marks + 1)),
-        "rule": _looked_up(code, [r.rule for r in RESULT_RULES] + [None] * (n_marks + 1)),
-        "rule_ord": _looked_up(code, [r.rule_ord for r in RESULT_RULES] + [None] * (n_marks + 1)),
-        "status": T.status_of(word),
+    def of_rule(field: str) -> Column:
+        return looked_up([getattr(r, field) for r in RESULT_RULES])
+
+    def shaped(*shapes: str) -> Column:
+        return code.isin([i for i, r in enumerate(RESULT_RULES) if r.shape in shapes])
+
+    pattern = looked_up([T.java(r.pattern) for r in RESULT_RULES], T.java(fixed.DURATION),
+                        [T.java(m.name) for m in MARKS])
+    name_group = looked_up([r.name_group for r in RESULT_RULES], None,
+                           [m.name_group if m.opens else None for m in MARKS])
+
+    def group(number: Column) -> Column:
+        return F.call_function("regexp_extract", line, pattern, number.cast("int"))
+
+    cut = hits.select(
+        *keep, "code",
+        group(name_group).alias("main"),
+        group(of_rule("status_group")).alias("word"),
+        group(looked_up([r.extra_group for r in RESULT_RULES], 1)).alias("extra"),
+    )
+    main, extra = F.col("main"), F.col("extra")
+    is_result, is_mark = code < DURATION, code > DURATION
+    member = shaped("member")
+    named = cut.withColumn(
+        "name",
+        F.when(shaped("totals"), "minitest_summary")
+        .when(member, F.concat(main, F.lit("."), extra))
+        .when(shaped("path"), T.dotted_path(main))
+        .when(shaped("class"), F.translate(main, "\\", "."))
+        .when(shaped("strip") | is_mark, T.strip(F.coalesce(main, F.lit(""))))
+        .otherwise(main),
+    )
+    name = F.col("name")
+    opens = looked_up([None] * len(RESULT_RULES), None, [m.opens for m in MARKS])
+    pytest = code.isin([i for i, r in enumerate(RESULT_RULES) if r.framework == "pytest"])
+    fields = {
+        "kind": F.when(is_result, "result").when(is_mark, "mark").otherwise("duration"),
+        "priority": of_rule("priority"),
+        "rule": of_rule("rule"),
+        "rule_ord": of_rule("rule_ord"),
+        "status": F.when(is_result, T.status_of(F.coalesce("word", F.lit("FAILED")))),
         "name": name,
-        "block_key": F.when(code.isin(pytest), F.substring_index(name, "::", -1))
-        .when(code.isin(unittest), short)
-        .when(is_result, ""),
-        "style": _looked_up(code, [None] * FIRST_MARK + [m.style for m in MARKS]),
+        "block_key": F.when(pytest, F.substring_index(name, "::", -1))
+        .when(member, extra).when(is_result, ""),
+        "style": looked_up([None] * len(RESULT_RULES), None, [m.style for m in MARKS]),
         "opens": opens & (name != ""),
-        "detail": F.when(code == DURATION, F.regexp_extract(line, fixed.DURATION, 1))
-        .when(totals.isNotNull(), F.regexp_replace(totals, "^0+", ""))
-        .when(is_result, ""),
+        "detail": F.when(shaped("totals"), F.concat(F.ltrim(extra, F.lit("0")), F.lit(" failures")))
+        .when(is_result, "").when(code == DURATION, extra),
     }
+    return named.select(*keep, *[c.alias(n) for n, c in fields.items()])
 
 
 def line_events(
     lines: DataFrame, *, framework: str | None = None, strip_timestamps: bool = False
 ) -> DataFrame:
-    """Result, duration and block-mark events of log lines: a narrow pass.
-
-    First each line gets the numbers of what it matches; the fields are cut out
-    only of the few lines that match something.  ``framework`` restricts result
-    lines to one framework (for logs that an earlier one would claim);
-    ``strip_timestamps`` lets failure blocks start on lines that carry the CI
-    runner's timestamp.
+    """Result, duration and block-mark events of log lines.
+
+    A narrow pass over all lines keeps those that match something, with the
+    number of what they match; these are written down, and fields are cut out
+    of them as far as a reader asks for them.  (In one pass the two steps would
+    also be one generated method, too long for the JVM to compile.)
+    ``framework`` restricts result lines to one framework (for logs that an
+    earlier one would claim); ``strip_timestamps`` lets failure blocks start on
+    lines that carry the CI runner's timestamp.
     """
-    clean = clean_lines(lines, strip_timestamps)
-    line, code = F.col("line"), F.col("code")
-    fields = event_fields(line, code)
-    return (
-        clean.select(
-            *LOG, "entry_ord", "line_no", "line",
-            F.explode(event_codes(line, framework)).alias("code"),
-        )
-        .filter(code.isNotNull())
-        .select(*LOG, "entry_ord", "line_no", *[c.alias(n) for n, c in fields.items()])
-        .filter((F.col("kind") != "result") | F.col("status").isNotNull())
+    keep = [*LOG, "entry_ord", "line_no"]
+    codes = F.explode(event_codes(F.col("line"), framework)).alias("code")
+    hits = (
+        clean_lines(lines, strip_timestamps)
+        .select(*keep, "line", codes)
+        .filter(F.col("code").isNotNull())
     )
+    return with_event_fields(stage(hits, "line-hits"), keep)
 
 
 def clean_lines(lines: DataFrame, strip_timestamps: bool = False) -> DataFrame:
@@ -464,14 +463,14 @@ def extract_results(
     """One row per test execution found in log lines.
 
     ``runs`` adds workflow, job and time of the run.  ``result_ord`` orders the
-    executions, see :func:`result_order`.  Events, result lines and block texts
-    are small next to the logs and read several times, so each is written down
-    once; the logs are read for events and, where a test failed, for its block.
+    executions, see :func:`result_order`.  Matching lines, result lines and block
+    texts are small next to the logs and read several times, so each is written
+    down once; the logs are read for matching lines and, where a test failed,
+    for its block.
     """
     if framework is not None and framework not in {r.framework for r in RESULT_RULES}:
         raise ValueError(f"unknown framework {framework!r}")
     events = line_events(lines, framework=framework, strip_timestamps=strip_timestamps)
-    events = stage(events, "line-events")
     logs = with_run_fields(log_frameworks(events), runs)
     found = events.filter(F.col("kind") == "result").drop("kind", "style", "opens")
     rows = (

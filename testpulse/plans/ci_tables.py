@@ -173,10 +173,14 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
 
 def _table(spark: SparkSession, folder: str, name: str, sql: str) -> DataFrame:
     """A derived table, written once per application and then scanned, so that
-    filters and columns are pushed into the scan like for any table."""
-    return stage_once(
-        spark, f"{name}:{folder}", lambda: _spark_sql(spark, sql, events=events(spark, folder))
-    )
+    filters and columns are pushed into the scan like for any table.  The event
+    table is one small file; the derived ones get a file per core."""
+
+    def build() -> DataFrame:
+        rows = _spark_sql(spark, sql, events=events(spark, folder))
+        return rows.repartition(spark.sparkContext.defaultParallelism, "repo", "run_id")
+
+    return stage_once(spark, f"{name}:{folder}", build)
 
 
 def results(spark: SparkSession, folder: str) -> DataFrame:
