@@ -419,15 +419,16 @@ def failure_texts(events: DataFrame, failing: DataFrame, lines: DataFrame) -> Da
     A failed JS suite has no block of its own: it takes the messages of all
     individual failures in its log.
     """
-    wanted = failing.groupBy(*LOG, "style", "block_key").agg(
-        F.count(F.lit(1)).alias("n_failing")
+    wanted = stage(
+        failing.groupBy(*LOG, "style", "block_key").agg(F.count(F.lit(1)).alias("n_failing")),
+        "wanted-blocks",
     )
     named = last_blocks(events)
     own = named.filter(F.col("style") != "jest").join(wanted, [*LOG, "style", "block_key"])
     js_logs = wanted.filter(F.col("style") == "jest").select(*LOG)
     js = named.filter(F.col("style") == "jest").join(js_logs, LOG)
     columns = [*LOG, "style", "block_key", "block_start", "first_start"]
-    blocks = own.select(columns).unionByName(js.select(columns))
+    blocks = stage(own.select(columns).unionByName(js.select(columns)), "blocks")
 
     texts = block_texts(events, blocks.select(*LOG, "style", "block_start"), lines)
     known = blocks.join(texts, [*LOG, "style", "block_start"], "left").fillna(
