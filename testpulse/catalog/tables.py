@@ -34,9 +34,10 @@ def run_metadata_scan(spark, d):
     by_repo.write.partitionBy("folder").json(folder)
     files = spark.read.schema(T.RUN_FIELDS).json(folder)
     back = T.with_defaults(files)
+    started = F.to_utc_timestamp("timestamp", F.current_timezone()).cast("timestamp_ntz")
     return back.select(
         F.replace("folder", F.lit("_"), F.lit("/")).alias("repo"), "run_id", "workflow_name",
-        "conclusion", F.col("timestamp").cast("timestamp_ntz").alias("started"),
+        "conclusion", started.alias("started"),
         F.size("jobs").alias("n_jobs"),
     )
 

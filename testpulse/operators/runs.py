@@ -6,6 +6,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
 from testpulse.operators.spread import (
     TOP_K,
@@ -33,11 +34,12 @@ def since(runs: DataFrame, start: datetime | str | None) -> DataFrame:
     if start is None:
         return runs
     moment = datetime.fromisoformat(start) if isinstance(start, str) else start
-    if moment.tzinfo is not None:
-        moment = moment.astimezone(timezone.utc).replace(tzinfo=None)
-    kind = runs.schema["timestamp"].dataType
-    literal = F.lit(moment.isoformat(sep=" ")).cast("timestamp_ntz")
-    return runs.filter(F.col("timestamp") >= literal.cast(kind))
+    if moment.tzinfo is None:
+        moment = moment.replace(tzinfo=timezone.utc)
+    if isinstance(runs.schema["timestamp"].dataType, TimestampNTZType):
+        naive = moment.astimezone(timezone.utc).replace(tzinfo=None)
+        return runs.filter(F.col("timestamp") >= F.lit(naive.isoformat()).cast("timestamp_ntz"))
+    return runs.filter(F.col("timestamp") >= F.lit(moment.isoformat()).cast("timestamp"))
 
 
 def runs_with_logs_in_scope(runs: DataFrame, all_runs: bool = False) -> DataFrame:

@@ -269,3 +269,25 @@ def test_validation_sample_falls_back_to_flaky(spark):
     assert len(got) == 10
     names = {r.test_name for r in got}
     assert {"b", "f0", "f19"} <= names  # the bug, the lowest and the highest rate
+
+
+def test_since_is_utc_for_both_kinds_of_time(spark, make_runs):
+    runs = make_runs([("a", i, "failure") for i in range(10)])  # run i starts at hour i
+    zoned = runs.withColumn("timestamp", F.to_timestamp(
+        F.concat(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))))
+    for start in ("2024-01-01T06:00:00", "2024-01-01T08:00:00+02:00"):
+        for table in (runs, zoned):
+            assert sorted(r.run_id for r in R.since(table, start).collect()) == [6, 7, 8, 9]
+    plan = R.since(runs, "2024-01-01")._jdf.queryExecution().optimizedPlan().toString()
+    assert "timestamp" in plan and R.since(runs, None) is runs
+
+
+def test_slices_and_newest_beyond_the_top_k(spark, make_runs):
+    runs = make_runs([("a", 100 + i, "success") for i in range(30)] + [("b", 9, "success")])
+    part = R.run_slice(runs, 5, 10).filter("repo = 'a'").collect()
+    assert sorted(r.run_id for r in part) == list(range(105, 115))
+    assert R.run_slice(runs, 25).count() == 5
+    small = {r.run_id: r.row_no for r in R.newest_runs(runs, 3).filter("repo = 'a'").collect()}
+    assert small == {129: 1, 128: 2, 127: 3}
+    large = {r.run_id: r.row_no for r in R.newest_runs(runs, 2000).filter("repo = 'a'").collect()}
+    assert large == {129 - i: i + 1 for i in range(30)}
