@@ -2,26 +2,38 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from testpulse.functions import fixed, text
 
 
+def plain_part(pattern: str) -> str:
+    """The longest plain text that every match of an infra pattern contains."""
+    plain = re.sub(r"\\s[+*]|\w\?", " ", pattern)
+    return max(plain.split(), key=len).lower()
+
+
 def infra_pattern(message: Column, stack: Column) -> Column:
     """First infra pattern found in message and stack trace, else null.
 
-    One pass with all patterns joined decides whether there is any match; only
-    rows that have one pay for the pass per pattern that finds the first.
+    A pattern is only tried on texts that contain its plain part; the search
+    for that runs over bytes and is far cheaper than a case-blind pattern.
     """
     haystack = F.concat(
         F.coalesce(message, F.lit("")), F.lit("\n"), F.coalesce(stack, F.lit(""))
     )
-    any_of = "(?i)(?:" + "|".join(fixed.INFRA_PATTERNS) + ")"
-    first = F.coalesce(
-        *[F.when(haystack.rlike("(?i)" + p), F.lit(p)) for p in fixed.INFRA_PATTERNS]
+    small = F.lower(haystack)
+    return F.coalesce(
+        *[
+            F.when(
+                F.contains(small, F.lit(plain_part(p))) & haystack.rlike("(?i)" + p), F.lit(p)
+            )
+            for p in fixed.INFRA_PATTERNS
+        ]
     )
-    return F.when(haystack.rlike(any_of), first)
 
 
 def decide(

@@ -67,6 +67,8 @@ def analyze(
     ``scope="failed_runs"`` counts only executions in failed runs, which makes
     rates higher than over ``"all_runs"``.  ``archives`` has the archive state
     per run; without it every run with a result counts as having logs.
+    ``lines`` is read several times and should be a table: see
+    :func:`testpulse.sources.archives.compact_logs` for zipped logs.
     """
     if scope not in ("failed_runs", "all_runs"):
         raise ValueError(f"unknown scope {scope!r}")

@@ -93,6 +93,13 @@ def archive_lines(archives: DataFrame) -> DataFrame:
     return archives.mapInPandas(lines, LINES)
 
 
+def compact_logs(spark: SparkSession, source: str, target: str) -> None:
+    """Unzip archives once into a Parquet table of lines, partitioned by repo;
+    an analysis reads lines several times and should not unzip each time."""
+    lines = archive_lines(scan_archives(spark, source))
+    lines.write.partitionBy("repo").mode("append").parquet(target)
+
+
 def run_archives(states: DataFrame) -> DataFrame:
     """Archive state per run, for the data-quality counters."""
     return states.select("repo", "run_id", "archive", "status")

@@ -177,6 +177,9 @@ def test_archives(spark, tmp_path):
     assert [(r.repo, r.filename, r.entry_ord, r.line_no, r.line) for r in lines] == [
         ("org_app", "a.txt", 0, 0, "new"), ("org_app", "a.txt", 0, 1, "last"),
         ("org_app", "b.txt", 1, 0, "bad � byte")]
+    table = new_folder(spark, "lines")
+    A.compact_logs(spark, str(tmp_path / "*" / "logs"), table)
+    assert spark.read.parquet(table).count() == 3
 
 
 def test_plain_log_files(spark, tmp_path):

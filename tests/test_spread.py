@@ -33,11 +33,22 @@ def test_attach_per_key_left_keeps_rows_without_match(spark):
 
 
 def test_hot_key_is_really_dealt_out(spark):
-    _, df = hot_rows(spark)
+    """Without adaptive merging, no task gets more than a share of the hot key."""
+    rows, df = hot_rows(spark)
+    hot = sum(k == "hot" for k, _ in rows)
     per_key = df.groupBy("k").agg(F.count("*").alias("n"))
-    joined = X.attach_per_key(df, per_key, ["k"], "n", F.col("i"), pieces=16, min_rows=10)
-    plan = joined._jdf.queryExecution().optimizedPlan().toString()
-    assert "_piece" in plan and "ResolvedHint (strategy=broadcast)" in plan or "broadcast" in plan
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        joined = X.attach_per_key(df, per_key, ["k"], "n", F.col("i"), pieces=16, min_rows=10)
+        sizes = [r["count"] for r in joined.filter("k = 'hot'")
+                 .groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sum(sizes) == hot and len(sizes) > 1 and max(sizes) < hot
 
 
 def test_keep_matching(spark):
