@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from testpulse.llm import quality, sharding
+from testpulse.llm import linededup, quality, sharding
 
 QUERIES = {
     "op3_quality_rules": (quality.op3_quality_rules, quality.sql()),
     "op8_sharding": (sharding.op8_sharding, None),
+    "op9_line_dedup": (linededup.op9_line_dedup, None),
 }
