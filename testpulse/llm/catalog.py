@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from testpulse.llm import linededup, quality, sharding
+from testpulse.llm import linededup, quality, sharding, simhash
 
 QUERIES = {
     "op3_quality_rules": (quality.op3_quality_rules, quality.sql()),
+    "op7_simhash": (simhash.op7_simhash, None),
     "op8_sharding": (sharding.op8_sharding, None),
     "op9_line_dedup": (linededup.op9_line_dedup, None),
 }
