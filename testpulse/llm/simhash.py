@@ -48,6 +48,8 @@ SEED = 42
 BLOCK = 1024
 #: A group below this size is compared row against row for all groups at once.
 SMALL = 8
+#: What verifying a pair inside a bucket costs, measured in rows that are shuffled.
+PAIR_COST = 0.01
 #: Numbers of parts that the dynamic program chooses from.
 PART_COUNTS = (2, 3, 4, 5)
 
@@ -221,7 +223,7 @@ def plan_parts(nodes: DataFrame, distance: int = DISTANCE) -> list[Part]:
         for t in range(distance + 1):
             probes += math.comb(len(bits), t)
             estimate = max(pairs, 1.0) * _growth(differ[list(bits)], t)
-            row.append(n_nodes * probes + min(estimate, n_nodes**2 / 2))
+            row.append(n_nodes * probes + PAIR_COST * min(estimate, n_nodes**2 / 2))
         costs[m].append(row)
     chosen = min((allocate(costs[m], distance - m + 1), m) for m in counts)
     (_, thresholds), m = chosen
