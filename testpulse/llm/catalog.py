@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from testpulse.llm import bpe, linededup, packing, quality, sharding, simhash
+import corpus_pipeline
+from testpulse.llm import bpe, linededup, packing, quality, sharding, simhash, toxicity
 
 QUERIES = {
     "op2_packing": (packing.op2_packing, None),
     "op3_quality_rules": (quality.op3_quality_rules, quality.sql()),
+    "op4_toxicity": (toxicity.op4_toxicity, None),
     "op7_simhash": (simhash.op7_simhash, None),
     "op8_sharding": (sharding.op8_sharding, None),
     "op9_line_dedup": (linededup.op9_line_dedup, None),
     "op10_byte_bpe": (bpe.op10_byte_bpe, None),
+    "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
