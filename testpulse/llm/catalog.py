@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from testpulse.llm import bpe, linededup, packing, quality, sharding, simhash, toxicity
+from testpulse.llm import bpe, chat, linededup, packing, quality, sharding, simhash, toxicity
 
 QUERIES = {
     "op2_packing": (packing.op2_packing, None),
     "op3_quality_rules": (quality.op3_quality_rules, quality.sql()),
     "op4_toxicity": (toxicity.op4_toxicity, None),
+    "op5_chat_format": (chat.op5_chat_format, chat.sql()),
     "op7_simhash": (simhash.op7_simhash, None),
     "op8_sharding": (sharding.op8_sharding, None),
     "op9_line_dedup": (linededup.op9_line_dedup, None),
