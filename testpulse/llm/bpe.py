@@ -33,7 +33,7 @@ from testpulse.llm.columns import table
 
 RANKS_FILE = "byte_bpe_50k.tiktoken"
 #: Matches that a task remembers, and the longest (in bytes) that it does.
-MEMORY = 1 << 18
+MEMORY = 500_000
 LONGEST_REMEMBERED = 64
 
 
@@ -51,46 +51,43 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     size = 1 << max(1, (n - 1).bit_length())
     shift = size.bit_length()
     none = 1 << 62
-    end = list(range(1, n + 1))  # where the token that starts here ends
-    start = list(range(-1, n))  # where the token that ends here starts: start[i] for position i
-
-    def pair(at: int) -> int:
-        """Rank and place in one number, so that the least is the leftmost of least rank."""
-        middle = end[at]
-        if middle >= n:
-            return none
-        rank = ranks.get(word[at : end[middle]])
-        return none if rank is None else rank << shift | at
-
+    get = ranks.get
+    end = list(range(1, n + 2))  # where the token that starts here ends
+    start = list(range(-1, n))  # where the token before the one that starts here starts
+    # A leaf is rank and place in one number: the least is the leftmost of least rank.
     tree = [none] * (2 * size)
-    tree[size : size + n] = [pair(i) for i in range(n)]
-    for i in range(size - 1, 0, -1):
-        left, right = tree[2 * i], tree[2 * i + 1]
-        tree[i] = left if left < right else right
-
-    def put(at: int, value: int) -> None:
-        at += size
-        tree[at] = value
-        at >>= 1
-        while at:
-            left, right = tree[2 * at], tree[2 * at + 1]
-            least = left if left < right else right
-            if tree[at] == least:
-                return
-            tree[at] = least
-            at >>= 1
-
+    for at in range(n - 1):
+        rank = get(word[at : at + 2])
+        if rank is not None:
+            tree[size + at] = rank << shift | at
+    for node in range(size - 1, 0, -1):
+        left, right = tree[2 * node], tree[2 * node + 1]
+        tree[node] = left if left < right else right
     while tree[1] < none:
         at = tree[1] & (size - 1)
         gone = end[at]
-        end[at] = end[gone]
-        if end[at] < n:
-            start[end[at]] = at
-        put(gone, none)
-        put(at, pair(at))
+        stop = end[at] = end[gone]
+        changed = [(gone, none)]
+        rank = None
+        if stop < n:
+            start[stop] = at
+            rank = get(word[at : end[stop]])
+        changed.append((at, none if rank is None else rank << shift | at))
         before = start[at]
         if before >= 0:
-            put(before, pair(before))
+            rank = get(word[before:stop])
+            changed.append((before, none if rank is None else rank << shift | before))
+        for place, value in changed:
+            node = place + size
+            tree[node] = value
+            node >>= 1
+            while node:
+                left, right = tree[2 * node], tree[2 * node + 1]
+                least = left if left < right else right
+                if tree[node] == least:
+                    break
+                tree[node] = least
+                node >>= 1
     ids, at = [], 0
     while at < n:
         ids.append(ranks[word[at : end[at]]])
