@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from testpulse.llm import bpe, chat, linededup, packing, quality, sharding, simhash, toxicity
+from testpulse.llm import bpe, chat, linededup, neighbours, packing, quality, sharding, simhash, toxicity
 
 QUERIES = {
+    "op1_neighbours": (neighbours.op1_neighbours, None),
     "op2_packing": (packing.op2_packing, None),
     "op3_quality_rules": (quality.op3_quality_rules, quality.sql()),
     "op4_toxicity": (toxicity.op4_toxicity, None),

@@ -10,9 +10,9 @@
 4. How wide a window must be is measured, not assumed: for a fixed number of sample
    queries the true neighbours are found by comparison with all points, and the least
    window is taken in which ``TARGET`` of them lie along at least one curve.
-5. Along each curve the points are cut into blocks of that width.  A query goes to its own
-   block and both neighbours; the block's distances are computed (double precision,
-   original vectors) and the nearest kept.
+5. Along each curve the points are cut into blocks of that width (``BLOCK`` rows at most).  A
+   query goes to its own block and the neighbours that its window reaches; the block's
+   distances are computed (double precision, original vectors) and the nearest kept.
 6. What the curves found for a query is merged and ranked.
 
 Every vector is in every curve's order; nothing is dropped but vectors that are null or
@@ -48,6 +48,8 @@ TARGET = 0.95
 SAMPLE = 128
 SEED = 7
 LEAST_WINDOW = 64
+#: Rows of a block at most; a wider window is several blocks on either side.
+BLOCK = 4096
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -301,23 +303,28 @@ def search(
 def _search_width(spark, found, asked, width, n_points, k, curves, dimensions, target, sample) -> DataFrame:
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = _global(stage(ordered(found, width, curves, dimensions, shuffles), "curves"))
-    block = min(window_for(found, rows, width, k, sample, target), max(n_points, 1))
-    blocks = F.floor(F.col("row") / block)
+    window = window_for(found, rows, width, k, sample, target)
+    block = min(window, BLOCK)
+    reach = -(-window // block)
+    number = F.floor(F.col("row") / block)
     query_points = asked.select("point").distinct()
-    filed = rows.select(blocks.alias("block"), "curve", "point", "vector", "ids", F.lit(False).alias("asked"))
-    sent = (
-        rows.join(query_points, "point")
-        .select(F.explode(F.array(blocks - 1, blocks, blocks + 1)).alias("block"), "curve", "point", "vector", "ids",
-                F.lit(True).alias("asked"))
-    )
-    found_rows = (
-        filed.union(sent)
-        .groupBy("block")
-        .applyInArrow(_searched(k, width), "q long, id long, score double")
+    filed = rows.select(number.alias("block"), "curve", "point", "vector", "ids", F.lit(False).alias("asked"))
+    around = F.explode(F.sequence(number - reach, number + reach)).alias("block")
+    sent = rows.join(query_points, "point").select(
+        around, "curve", "point", "vector", "ids", F.lit(True).alias("asked")
     )
+    blocks = filed.union(sent).groupBy("block")
+    found_rows = blocks.applyInArrow(_searched(k, width), "q long, id long, score double")
     merged = found_rows.groupBy("q", "id").agg(F.min("score").alias("score"))
-    matched = asked.select(F.col("id").alias("query_id"), F.col("point").alias("q")).join(merged, "q").filter(
-        "id <> query_id"
+    nearest = Window.partitionBy("q").orderBy("score", "id")
+    # One more than k, as a query may find itself; then one copy for each id at the point.
+    few = stage(
+        merged.withColumn("_rank", F.row_number().over(nearest)).filter(F.col("_rank") <= k + 1), "nearest"
+    )
+    matched = (
+        asked.select(F.col("id").alias("query_id"), F.col("point").alias("q"))
+        .join(few.drop("_rank"), "q")
+        .filter("id <> query_id")
     )
     best = Window.partitionBy("query_id").orderBy("score", "id")
     return (
