@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from testpulse.llm import bpe, chat, linededup, neighbours, packing, quality, sharding, simhash, toxicity
+from testpulse.llm import bpe, chat, linededup, neighbours, packing, quality, sharding, simhash, toxicity, wrappers
 
 QUERIES = {
     "op1_neighbours": (neighbours.op1_neighbours, None),
@@ -11,6 +11,7 @@ QUERIES = {
     "op3_quality_rules": (quality.op3_quality_rules, quality.sql()),
     "op4_toxicity": (toxicity.op4_toxicity, None),
     "op5_chat_format": (chat.op5_chat_format, chat.sql()),
+    "op6_main_text": (wrappers.op6_main_text, None),
     "op7_simhash": (simhash.op7_simhash, None),
     "op8_sharding": (sharding.op8_sharding, None),
     "op9_line_dedup": (linededup.op9_line_dedup, None),
