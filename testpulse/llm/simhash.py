@@ -234,7 +234,8 @@ def plan_parts(nodes: DataFrame, distance: int = DISTANCE) -> list[Part]:
 
 
 def _within(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
-    return np.bitwise_count(a ^ b) <= distance
+    # As unsigned numbers: of signed ones the bits of the absolute value are counted.
+    return np.bitwise_count((a ^ b).view(np.uint64)) <= distance
 
 
 def _forest(fps: np.ndarray, distance: int) -> Iterator[tuple[int, int]]:
