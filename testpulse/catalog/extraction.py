@@ -110,7 +110,7 @@ def extracted_results(spark, d):
 
     results = E.extract_results(C.log_lines(spark, d))
     numbered = number_rows(
-        results, ["repo"], [F.col("result_ord")], F.substring(F.col("run_id").cast("string"), 1, 4),
+        results, ["repo"], [F.col("result_ord")], F.substring(F.col("run_id").cast("string"), 1, 8),
         name="place",
     )
     line_no = (F.col("result_ord") % F.lit(10**10).cast("decimal(38,0)")).cast("bigint")

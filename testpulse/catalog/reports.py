@@ -211,7 +211,7 @@ def json_report(spark, d):
 
 
 @query("report_files", "SNK9 SNK4",
-       sql_with(f"SELECT replace(repo, '/', '_') AS repo, line FROM ({_TABLE}) t",
+       sql_with(f"SELECT repo, line FROM ({_TABLE}) t",
                 archives=ARCHIVES_SQL, s=_SUMMARY, q=_QUALITY))
 def report_files(spark, d):
     """All three formats written; the table report is read back from its files."""

@@ -234,15 +234,12 @@ def ingest_counters(spark, d):
 
 @query("dataset_verification", "AGG19",
        sql_with("""SELECT r.repo, r.run_files, a.archives, a.corrupt_archives,
-  coalesce(n.names, '') AS corrupt_names, r.failed_runs,
+  r.failed_runs,
   least(a.archives, r.failed_runs) AS effective_sample, r.repo <> 'org/app2' AS complete
 FROM (SELECT repo, count(*) AS run_files, count(*) FILTER (conclusion = 'failure') AS failed_runs
       FROM runs GROUP BY repo) r
 JOIN (SELECT repo, count(*) AS archives, count(*) FILTER (status <> 'ok') AS corrupt_archives
-      FROM archives GROUP BY repo) a USING (repo)
-LEFT JOIN (SELECT repo, string_agg(archive, ', ' ORDER BY archive) AS names FROM (
-  SELECT repo, archive, row_number() OVER (PARTITION BY repo ORDER BY archive) AS k
-  FROM archives WHERE status <> 'ok') t WHERE k <= 5 GROUP BY repo) n USING (repo)""",
+      FROM archives GROUP BY repo) a USING (repo)""",
                 archives=ARCHIVES_SQL))
 def dataset_verification(spark, d):
     runs = C.runs(spark, d)
@@ -252,6 +249,13 @@ def dataset_verification(spark, d):
     return R.verify_dataset(runs, archives_of(runs), ledger)
 
 
+@query("unreadable_archives", "AGG19",
+       sql_with("SELECT repo, archive, status FROM archives WHERE status <> 'ok'",
+                archives=ARCHIVES_SQL))
+def unreadable_archives(spark, d):
+    return R.unreadable_archives(archives_of(C.runs(spark, d)))
+
+
 @query("runs_without_test_output", "DOC10",
        sql_with("""SELECT repo, run_id FROM runs WHERE conclusion = 'failure' AND (repo, run_id)
 NOT IN (SELECT (repo, run_id) FROM results WHERE run_id % 4 <> 1)"""))

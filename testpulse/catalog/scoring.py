@@ -180,7 +180,7 @@ def scored_verdicts(spark, d):
     _, sigs, stats, _ = verdicts_of(spark, d)
     ruled = K.rule_verdicts(stats)
     questions = S.prompts(K.ambiguous(ruled), stats, sigs)
-    scored, _ = S.score(questions, stub_scorer, "stub", "s1")
+    scored = S.score(questions, stub_scorer, "stub", "s1").verdicts
     return K.default_verdicts(K.with_scores(ruled, scored)).select(
         "repo", "test_name", "category", "classified_by", "confidence"
     )

@@ -56,8 +56,10 @@ def signature_rank(spark, d):
 
     sigs = S.signatures(C.results(spark, d))
     ranked = number_rows(
-        sigs, S.TEST, [F.col("count").desc(), F.col("first.result_ord")], F.col("count"),
-        name="place", descending=True,
+        sigs, S.TEST, [F.col("count").desc(), F.col("first.result_ord")],
+        # nearly all signatures of a test may have one count
+        F.struct((-F.col("count")).alias("a"), F.floor(F.col("first.result_ord") / 10_000).alias("b")),
+        name="place",
     )
     return ranked.select("repo", "test_name", "signature_hash", "count",
                          (F.col("place") + 1).alias("place"))

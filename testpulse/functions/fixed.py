@@ -125,8 +125,6 @@ PROMPT_TAIL = (
     '{"category": "REAL_BUG|FLAKY|INFRA", "evidence": "one-sentence'
     ' justification", "confidence": 0.0-1.0}'
 )
-PROMPT_LIMIT = 50_000
-PROMPT_RESERVE = 200
 
 # --- fixed values: report titles, by category -------------------------------
 SECTION_TITLES = {

@@ -97,7 +97,7 @@ def parse(
 
 
 def prompt(test_name: Column, message: Column, stack: Column, context: Column) -> Column:
-    """Prompt for one ambiguous failure; only an over-long context is cut."""
+    """Prompt for one ambiguous failure.  Nothing is cut: how much fits is the scorer's affair."""
     head = F.concat(
         F.lit(fixed.PROMPT_HEAD),
         F.lit("\nTest name: "), test_name,
@@ -105,13 +105,5 @@ def prompt(test_name: Column, message: Column, stack: Column, context: Column) -
         F.lit("\nStack trace: "), stack,
     )
     tail = F.lit("\n\n" + fixed.PROMPT_TAIL)
-    room = fixed.PROMPT_LIMIT - len(fixed.PROMPT_TAIL) - fixed.PROMPT_RESERVE
     whole = F.concat(head, F.lit("\nCross-run context: "), context, tail)
-    cut = F.concat(
-        head, F.lit("\nCross-run context: "), F.substring(context, 1, room), tail
-    )
-    return (
-        F.when(context.isNull(), F.concat(head, tail))
-        .when(F.length(whole) > fixed.PROMPT_LIMIT, cut)
-        .otherwise(whole)
-    )
+    return F.when(context.isNull(), F.concat(head, tail)).otherwise(whole)

@@ -195,9 +195,3 @@ def with_verdict_category(
         )
         .drop("voted")
     )
-
-
-def of_category(stats: DataFrame, category: str) -> DataFrame:
-    return stats.filter(F.col("final_category") == category)
-
-

@@ -179,10 +179,3 @@ def validation_sample(stats: DataFrame, seed: str = "sample") -> DataFrame:
 def low_confidence(classified: DataFrame, threshold: float = 0.6) -> DataFrame:
     """Verdicts to escalate to another scorer or a person."""
     return classified.filter(F.col("confidence") < threshold)
-
-
-def category_totals(stats: DataFrame) -> DataFrame:
-    """Tests per repo and final category, zeros included."""
-    return stats.groupBy("repo").agg(
-        *[F.count_if(F.col("final_category") == c).alias(c) for c in fixed.CATEGORIES]
-    )

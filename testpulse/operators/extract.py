@@ -20,6 +20,7 @@ from testpulse.functions import fixed
 from testpulse.functions import text as T
 from testpulse.operators.spread import (
     attach_per_key,
+    prefilter,
     concat_in_order,
     joined_in_order,
     next_line,
@@ -345,7 +346,12 @@ def block_texts(events: DataFrame, wanted: DataFrame, lines: DataFrame) -> DataF
         *LOG, "style", "block_start",
         F.explode(F.sequence(F.col("block_start") + 1, F.col("block_end"))).alias("line_no"),
     )
-    inside = numbers.join(lines.select(*LOG, "line_no", "line"), [*LOG, "line_no"])
+    # Only the lines near a wanted block are shuffled; the others are left where they are.
+    chunk = F.floor(F.col("line_no") / BLOCK_CHUNK).alias("_chunk")
+    near = prefilter(
+        lines.select(*LOG, "line_no", "line", chunk), numbers.select(*LOG, chunk), [*LOG, "_chunk"]
+    ).drop("_chunk")
+    inside = numbers.join(near, [*LOG, "line_no"])
     inside = inside.filter(
         ~((F.col("style") == "unittest") & F.startswith(F.col("line"), F.lit("---")))
     )

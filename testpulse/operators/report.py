@@ -281,7 +281,7 @@ def markdown_lines(frame: DataFrame, stats: DataFrame, generated: str) -> DataFr
     line = _text(
         "| ", F.col("test_name"), " | ", T.fixed_point(F.col("flake_rate"), 1), "% | ",
         F.col("n_signatures"), " | ",
-        F.substring(F.coalesce("dominant_signature", F.lit("—")), 1, 32), " | ",
+        F.coalesce("dominant_signature", F.lit("—")), " | ",
         T.iso_date(F.col("last_seen_run")), " |",
     )
     return _fixed_lines(frame, blocks, place_type).unionByName(

@@ -9,15 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType
 
 from testpulse.operators.spread import (
-    TOP_K,
     attach_per_key,
-    first_rows,
     keep_matching,
     number_rows,
 )
 
 RUN = ["repo", "run_id"]
-NAMES_SHOWN = 5
 
 
 def failed_runs(runs: DataFrame) -> DataFrame:
@@ -54,11 +51,7 @@ def in_runs(rows: DataFrame, runs: DataFrame, spread_on: Column) -> DataFrame:
 
 def newest_runs(runs: DataFrame, n: int) -> DataFrame:
     """The n newest runs of each repo, numbered from 1."""
-    if n > TOP_K:
-        kept = runs_after_newest(runs, 0, n)
-        return kept.withColumn("row_no", F.col("row_no") + 1)
-    newest = [F.col("timestamp").desc(), F.col("run_id").desc()]
-    return first_rows(runs, ["repo"], newest, n)
+    return runs_after_newest(runs, 0, n).withColumn("row_no", F.col("row_no") + 1)
 
 
 def runs_after_newest(runs: DataFrame, skip: int, n: int | None) -> DataFrame:
@@ -196,34 +189,23 @@ def pass_rates(runs: DataFrame) -> DataFrame:
 
 
 def verify_dataset(runs: DataFrame, archives: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Is the data of a repo complete and readable?
-
-    The names of up to five corrupt archives are listed, the first by name.
-    """
+    """Is the data of a repo complete and readable?  Names: :func:`unreadable_archives`."""
     run_counts = runs.groupBy("repo").agg(
         F.count(F.lit(1)).alias("run_files"),
         F.count_if(F.col("conclusion") == "failure").alias("failed_runs"),
     )
-    bad = archives.filter(F.col("status") != "ok")
     archive_counts = archives.groupBy("repo").agg(
         F.count(F.lit(1)).alias("archives"),
         F.count_if(F.col("status") != "ok").alias("corrupt_archives"),
     )
-    names = (
-        first_rows(bad.select("repo", "archive"), ["repo"], [F.col("archive")], NAMES_SHOWN)
-        .groupBy("repo")
-        .agg(F.array_join(F.array_sort(F.collect_list("archive")), ", ").alias("corrupt_names"))
-    )
     status = ledger.select("repo", F.col("status").alias("ledger_status"))
     n_archives = F.coalesce("archives", F.lit(0))
     return (
         run_counts.join(archive_counts, "repo", "left")
-        .join(names, "repo", "left")
         .join(status, "repo", "left")
         .select(
             "repo", "run_files", n_archives.alias("archives"),
             F.coalesce("corrupt_archives", F.lit(0)).alias("corrupt_archives"),
-            F.coalesce("corrupt_names", F.lit("")).alias("corrupt_names"),
             "failed_runs",
             F.least(n_archives, F.col("failed_runs")).alias("effective_sample"),
             (F.coalesce("ledger_status", F.lit("")) == "complete").alias("complete"),
@@ -231,6 +213,11 @@ def verify_dataset(runs: DataFrame, archives: DataFrame, ledger: DataFrame) -> D
     )
 
 
+def unreadable_archives(archives: DataFrame) -> DataFrame:
+    """Every archive that cannot be read, with the reason."""
+    return archives.filter(F.col("status") != "ok").select("repo", "archive", "status")
+
+
 def without_test_output(runs: DataFrame, results: DataFrame) -> DataFrame:
     """Failed runs in whose logs no test result was found."""
     seen = results.select(*RUN).distinct()

@@ -6,6 +6,8 @@ responses.  Calls to a model, if any, happen inside it.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,21 +15,18 @@ from testpulse.functions import fixed
 from testpulse.functions import text as T
 from testpulse.functions import verdicts as V
 from testpulse.operators.classify import VERDICT, Scorer
-from testpulse.operators.spread import first_rows, number_rows
+from testpulse.operators.spread import number_rows
 from testpulse.operators.stats import TEST
+from testpulse.session import stage
 
 CACHE_KEY = ["provider", "model", "repo", "test_name"]
 
-# Signatures a prompt can hold: one takes more than 125 characters as JSON, so
-# this many always exceed the prompt limit and the rest could only be cut off.
-CONTEXT_SIGNATURES = fixed.PROMPT_LIMIT // 125
-
 
 def contexts(stats: DataFrame, sigs: DataFrame) -> DataFrame:
     """Statistics of each test as JSON, its signatures most frequent first."""
-    order = [F.col("count").desc(), F.col("first.result_ord")]
     shown = F.struct(
-        "row_no",
+        (-F.col("count")).alias("least"),
+        F.col("first.result_ord").alias("place"),
         F.struct(
             "signature_hash", "sample_message", "count",
             T.iso_time(F.col("first_seen")).alias("first_seen"),
@@ -35,8 +34,7 @@ def contexts(stats: DataFrame, sigs: DataFrame) -> DataFrame:
         ).alias("signature"),
     )
     listed = (
-        first_rows(sigs, TEST, order, CONTEXT_SIGNATURES)
-        .groupBy(*TEST)
+        sigs.groupBy(*TEST)
         .agg(
             F.transform(
                 F.array_sort(F.collect_list(shown)), lambda s: s["signature"]
@@ -121,26 +119,38 @@ def upsert(cache: DataFrame, fresh: DataFrame) -> DataFrame:
     return latest_verdicts(cache.select(columns).unionByName(fresh.select(columns)))
 
 
+class Scored(NamedTuple):
+    """All verdicts, the fresh ones (failed calls with their fallback included; see
+    :func:`cacheable`), and the responses as the scorer gave them."""
+
+    verdicts: DataFrame
+    fresh: DataFrame
+    responses: DataFrame
+
+
 def score(
     undecided_prompts: DataFrame,
     scorer: Scorer,
     provider: str,
     model: str,
     cache: DataFrame | None = None,
-) -> tuple[DataFrame, DataFrame]:
+) -> Scored:
     """Verdicts for prompts: cached ones, and fresh ones for the rest.
 
-    Returns all verdicts and the fresh ones (for the cache).
+    The scorer is asked once: its responses are written down, and verdicts, cache rows
+    and call log are all made from that table.
     """
     wanted = undecided_prompts.withColumns({"provider": F.lit(provider), "model": F.lit(model)})
     if cache is None:
-        fresh = parse_responses(scorer(wanted))
-        return fresh, fresh
+        responses = stage(scorer(wanted), "responses")
+        fresh = parse_responses(responses)
+        return Scored(fresh, fresh, responses)
     cache = usable(cache)
     hits = cache_hits(wanted.select(*CACHE_KEY), cache)
-    fresh = parse_responses(scorer(cache_misses(wanted, cache)))
+    responses = stage(scorer(cache_misses(wanted, cache)), "responses")
+    fresh = parse_responses(responses)
     columns = [*CACHE_KEY, "run_id", *VERDICT]
-    return hits.select(columns).unionByName(fresh.select(columns)), fresh
+    return Scored(hits.select(columns).unionByName(fresh.select(columns)), fresh, responses)
 
 
 def call_log(responses: DataFrame, max_tokens: int = 4096) -> DataFrame:

@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PIECES = 1024
+ROWS_PER_PIECE = 4_000_000
 TOP_K = 1000  # largest row limit that Spark applies before the shuffle
-MIN_ROWS = 1_000_000
+FILTER_BITS = 26
 
 
 def attach_per_key(
@@ -21,23 +21,18 @@ def attach_per_key(
     size: str,
     spread_on: Column,
     how: str = "inner",
-    pieces: int = PIECES,
-    min_rows: int = MIN_ROWS,
+    rows_per_piece: int = ROWS_PER_PIECE,
 ) -> DataFrame:
     """Join columns that exist once per key onto the many rows of that key.
 
     ``per_key`` holds one row per key with the number of its rows in ``size``.
-    A key with more than 1/``pieces`` of all rows (and ``min_rows`` at least)
-    is hot: its rows are dealt out over several join keys by the hash of
-    ``spread_on``, and its one row is repeated for each.  There can be at most
-    ``pieces`` such keys, so the list of hot keys that is broadcast has at most
-    ``pieces`` rows, and at most 2 * ``pieces`` copies are made, at any scale.
-    ``per_key`` is read three times; stage it where it is costly to compute.
+    A key with more than ``rows_per_piece`` rows is hot: its rows are dealt out over
+    several join keys by the hash of ``spread_on``, and its one row is repeated for
+    each, so a piece has about that many rows whatever the size of the table.  Of n
+    rows, n / ``rows_per_piece`` keys can be hot: 250,000 short rows to broadcast for
+    10^12 rows.  ``per_key`` is read twice; stage it where it is costly to compute.
     """
-    share = F.greatest(
-        F.lit(float(min_rows)),
-        per_key.agg((F.sum(size) / F.lit(pieces)).alias("share")).scalar(),
-    )
+    share = rows_per_piece
     n_pieces = F.when(F.col(size) > share, F.ceil(F.col(size) / share)).otherwise(1).cast("int")
     hot = per_key.filter(F.col(size) > share).select(*keys, n_pieces.alias("_pieces"))
     piece = F.pmod(F.xxhash64(spread_on), F.coalesce(F.col("_pieces"), F.lit(1)))
@@ -61,6 +56,26 @@ def keep_matching(
     )
 
 
+def prefilter(rows: DataFrame, wanted: DataFrame, keys: list[str], bits: int = FILTER_BITS) -> DataFrame:
+    """Rows whose keys may be in ``wanted``, without a shuffle of ``rows``.
+
+    The keys' hashes are marked in a bitmap of 2 ** ``bits`` bits, which is broadcast
+    as one row per word of 64 bits: at most a million rows however many keys there are.
+    No wanted row is lost; of the others some pass (all, once the bitmap is full), so
+    an exact join follows.
+    """
+    place = F.shiftrightunsigned(F.xxhash64(*keys), 64 - bits)
+    word, bit = F.shiftright(place, 6), F.pmod(place, F.lit(64)).cast("int")
+    marks = (
+        wanted.select(word.alias("_word"), bit.alias("_bit"))
+        .groupBy("_word")
+        .agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_marks"))
+    )
+    placed = rows.withColumns({"_at": word, "_bit": bit})
+    marked = (F.col("_at") == F.col("_word")) & (F.expr("shiftrightunsigned(_marks, _bit) & 1L") == 1)
+    return placed.join(F.broadcast(marks), marked, "left_semi").drop("_at", "_bit")
+
+
 def number_rows(
     df: DataFrame,
     group: list[str],
@@ -80,6 +95,7 @@ def number_rows(
     range are dropped before any row is sorted.
     """
     rows = df.withColumn("_bucket", bucket)
+    named = [f"_group_{i}" for i in range(len(group))]
     side = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
     earlier = Window.partitionBy(*group).orderBy(side).rowsBetween(Window.unboundedPreceding, -1)
     before = (
@@ -90,8 +106,15 @@ def number_rows(
     )
     if high is not None:
         before = before.filter(F.col("_before") < high)
+    before = before.select(
+        *[F.col(g).alias(n) for g, n in zip(group, named, strict=True)],
+        F.col("_bucket").alias("_of"), "_n", "_before",
+    )
+    same = F.col("_bucket").eqNullSafe(F.col("_of"))  # null groups and buckets are kept
+    for g, n in zip(group, named, strict=True):
+        same = same & F.col(g).eqNullSafe(F.col(n))
     inside = Window.partitionBy(*group, "_bucket").orderBy(*order)
-    numbered = rows.join(before, [*group, "_bucket"]).withColumn(
+    numbered = rows.join(before, same).drop(*named, "_of").withColumn(
         name, (F.col("_before") + F.row_number().over(inside) - 1).cast("bigint")
     )
     kept = numbered.filter(F.col(name) >= low)

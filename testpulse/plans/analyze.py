@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from testpulse.functions import fixed
 from testpulse.operators import classify, report, runs as R, scoring, stats as S
 from testpulse.operators.extract import extract_results
+from testpulse.operators.spread import prefilter
 from testpulse.session import stage
 
 
@@ -23,6 +24,7 @@ class Analysis:
     stats: DataFrame
     verdicts: DataFrame
     fresh_verdicts: DataFrame | None
+    responses: DataFrame | None
     quality: DataFrame
     summary: DataFrame
 
@@ -30,6 +32,10 @@ class Analysis:
         """One row per failing execution."""
         return classify.classifications(self.results, self.verdicts)
 
+    def call_log(self) -> DataFrame | None:
+        """The calls of the scorer, from the responses that the verdicts come from."""
+        return None if self.responses is None else scoring.call_log(self.responses)
+
     def documents(self, generated: str) -> dict[str, DataFrame]:
         """Report lines by format."""
         frame = report.report_frame(self.summary, self.quality)
@@ -80,10 +86,9 @@ def analyze(
     wanted = R.runs_with_logs_in_scope(runs, all_runs=scope == "all_runs").select(*R.RUN)
 
     if results is None:
-        in_scope = R.in_runs(lines, wanted, F.col("line_no"))
-        results = stage(extract_results(in_scope, runs, **extraction), "results")
-    else:
-        results = R.in_runs(results, wanted, F.col("result_ord"))
+        # Lines of other runs are mostly left out without a shuffle; the exact join is on results.
+        results = extract_results(prefilter(lines, wanted, R.RUN), runs, **extraction)
+    results = stage(R.in_runs(results, wanted, F.col("result_ord")), "results")
 
     # per test and per signature: small, and read by everything below
     sigs = stage(S.signatures(results), "signatures")
@@ -92,15 +97,13 @@ def analyze(
     verdicts = classify.with_cutoff(
         classify.rule_verdicts(stats, min_sample=min_sample, forced=forced), limit
     )
-    fresh = None
+    fresh = responses = None
     if scorer is not None:
         undecided = classify.ambiguous(verdicts).filter(
             classify.before_cutoff(F.col("first_ord"))
         )
         questions = scoring.prompts(undecided, stats, sigs)
-        scored, fresh = scoring.score(questions, scorer, provider, model, cache)
-        # asked once: a scorer may be slow, and may answer differently next time
-        scored = stage(scored, "scored")
+        scored, fresh, responses = scoring.score(questions, scorer, provider, model, cache)
         verdicts = classify.with_scores(verdicts, scored)
     verdicts = classify.default_verdicts(verdicts, forced=forced and scorer is None)
     verdicts = stage(verdicts, "verdicts")
@@ -120,6 +123,7 @@ def analyze(
         stats=stats,
         verdicts=verdicts,
         fresh_verdicts=fresh,
+        responses=responses,
         quality=quality,
         summary=stage(report.summary(runs, stats, audit), "summary"),
     )

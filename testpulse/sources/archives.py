@@ -1,129 +1,137 @@
 """Zipped job logs: archive state and lines.
 
-Archives are binary rows that Spark distributes; a task opens one at a time
-and streams its lines out in batches, so neither an archive's text nor a long
-log is ever held whole.
+Archives are binary rows that Spark distributes.  An archive is one binary value
+(up to 2 GB, Spark's limit for a value); its files are unpacked piece by piece, the
+pieces are cut at line ends, and the JVM splits them into lines.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 STATE = "repo string, run_id bigint, archive string, status string, n_entries bigint"
-LINES = (
-    "repo string, run_id bigint, filename string, entry_ord int, line_no bigint, line string"
+PIECES = (
+    "repo string, run_id bigint, filename string, entry_ord int, first_line bigint, piece string"
 )
-BATCH_LINES = 20_000
+#: Characters that are unpacked at a time.
+PIECE = 1 << 20
+
 
+def scan_archives(spark: SparkSession, path: str, runs: DataFrame | None = None) -> DataFrame:
+    """Archives ``<repo>/logs/<run id>.zip`` as binary rows.
 
-def scan_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Archives ``<repo>/logs/<run id>.zip`` as binary rows."""
+    With ``runs`` (repo, run_id) only theirs: the names are listed first, and the other
+    files are never opened.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
     at = F.col("path")
-    return files.select(
+    named = files.select(
         F.regexp_extract(at, r"([^/]+)/logs/[^/]+$", 1).alias("repo"),
         F.regexp_extract(at, r"(\d+)\.zip$", 1).cast("bigint").alias("run_id"),
         F.regexp_extract(at, r"([^/]+)$", 1).alias("archive"),
+        "path",
         "content",
     )
+    if runs is None:
+        return named.drop("path")
+    wanted = named.drop("content").join(runs.select("repo", "run_id"), ["repo", "run_id"], "left_semi")
+    return wanted.join(named.select("path", "content"), "path").drop("path")
+
+
+def _opened(content: bytes | None):
+    """(archive, state): ``ok``, ``empty``, ``corrupt`` (not an archive) or ``error`` (a
+    file in it cannot be unpacked or has a wrong checksum)."""
+    import io
+    import zipfile
+
+    try:
+        archive = zipfile.ZipFile(io.BytesIO(content or b""))
+    except Exception:
+        return None, "corrupt"
+    try:
+        if archive.testzip() is not None:
+            return archive, "error"
+    except Exception:
+        return archive, "error"
+    return archive, "ok" if archive.namelist() else "empty"
 
 
 def archive_states(archives: DataFrame) -> DataFrame:
-    """State of each archive: ``ok``, ``empty`` or ``corrupt``."""
-
-    def states(batches):
-        import io
-        import zipfile
-
-        import pandas as pd
+    """State of each archive, see :func:`_opened`; ``n_entries`` is 0 if it is not readable."""
 
+    def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for row in batch.itertuples(index=False):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(row.content)) as archive:
-                        n = len(archive.namelist())
-                    state = "ok" if n else "empty"
-                except Exception:
-                    n, state = 0, "corrupt"
-                rows.append((row.repo, row.run_id, row.archive, state, n))
-            yield pd.DataFrame(
-                rows, columns=["repo", "run_id", "archive", "status", "n_entries"]
+            found = []
+            for content in batch.column(3):
+                archive, state = _opened(content.as_py())
+                found.append((state, len(archive.namelist()) if state == "ok" else 0))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array([s for s, _ in found], pa.string()),
+                 pa.array([n for _, n in found], pa.int64())],
+                ["repo", "run_id", "archive", "status", "n_entries"],
             )
 
-    return archives.mapInPandas(states, STATE)
+    return archives.select("repo", "run_id", "archive", "content").mapInArrow(states, STATE)
 
 
 def archive_lines(archives: DataFrame) -> DataFrame:
-    """One row per line of each file in each readable archive.
+    """One row per line of each file in each archive whose state is ``ok``; the others are
+    counted by :func:`archive_states`.
 
     Text is UTF-8, bad bytes are replaced.  Of entries with one name the last
     one counts, at the place of the first.
     """
 
-    def lines(batches):
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import io
-        import zipfile
 
-        import pandas as pd
-
-        columns = ["repo", "run_id", "filename", "entry_ord", "line_no", "line"]
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                try:
-                    archive = zipfile.ZipFile(io.BytesIO(row.content))
-                except Exception:
+            for i in range(batch.num_rows):
+                archive, state = _opened(batch.column(2)[i].as_py())
+                if state != "ok":
                     continue
-                with archive:
-                    for place, name in enumerate(dict.fromkeys(archive.namelist())):
-                        rows = []
-                        with archive.open(name) as raw:
-                            text = io.TextIOWrapper(raw, encoding="utf-8", errors="replace")
-                            for number, line in enumerate(text):
-                                rows.append(
-                                    (row.repo, row.run_id, name, place, number, line.rstrip("\n"))
-                                )
-                                if len(rows) >= BATCH_LINES:
-                                    yield pd.DataFrame(rows, columns=columns)
-                                    rows = []
-                        if rows:
-                            yield pd.DataFrame(rows, columns=columns)
-
-    return archives.mapInPandas(lines, LINES)
-
-
-def compact_logs(spark: SparkSession, source: str, target: str) -> None:
-    """Unzip archives once into a Parquet table of lines, partitioned by repo;
-    an analysis reads lines several times and should not unzip each time."""
-    lines = archive_lines(scan_archives(spark, source))
-    lines.write.partitionBy("repo").mode("append").parquet(target)
+                for place, name in enumerate(dict.fromkeys(archive.namelist())):
+                    with archive.open(name) as raw:
+                        text = io.TextIOWrapper(raw, encoding="utf-8", errors="replace")
+                        rest, number = "", 0
+                        while read := text.read(PIECE):
+                            lines, end, rest_ = (rest + read).rpartition("\n")
+                            rest = rest_
+                            if end:
+                                yield _piece(batch, i, name, place, number, lines)
+                                number += lines.count("\n") + 1
+                        if rest:
+                            yield _piece(batch, i, name, place, number, rest)
+
+    cut = archives.select("repo", "run_id", "content").mapInArrow(pieces, PIECES)
+    split = F.posexplode(F.split("piece", "\n")).alias("_at", "line")
+    return cut.select("repo", "run_id", "filename", "entry_ord", "first_line", split).select(
+        "repo", "run_id", "filename", "entry_ord",
+        (F.col("first_line") + F.col("_at")).alias("line_no"), "line",
+    )
 
 
-def run_archives(states: DataFrame) -> DataFrame:
-    """Archive state per run, for the data-quality counters."""
-    return states.select("repo", "run_id", "archive", "status")
-
+def _piece(batch: pa.RecordBatch, i: int, name: str, place: int, number: int, text: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([name]),
+         pa.array([place], pa.int32()), pa.array([number], pa.int64()), pa.array([text], pa.string())],
+        ["repo", "run_id", "filename", "entry_ord", "first_line", "piece"],
+    )
 
-def zip_logs(logs: DataFrame) -> DataFrame:
-    """Archives from (repo, run_id, filename, content) rows of one file per run;
-    the reverse of the reader, for writing test data and exports."""
 
-    def zipped(batches):
-        import io
-        import zipfile
+def compact_logs(
+    spark: SparkSession, source: str, target: str, runs: DataFrame | None = None
+) -> None:
+    """Unzip archives (of ``runs`` only, if given) once into a Parquet table of lines,
+    partitioned by repo; an analysis reads lines several times and should not unzip each time."""
+    lines = archive_lines(scan_archives(spark, source, runs))
+    lines.write.partitionBy("repo").mode("append").parquet(target)
 
-        import pandas as pd
 
-        for batch in batches:
-            rows = []
-            for row in batch.itertuples(index=False):
-                buffer = io.BytesIO()
-                with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
-                    archive.writestr(row.filename, row.content)
-                rows.append((row.repo, row.run_id, f"{row.run_id}.zip", buffer.getvalue()))
-            yield pd.DataFrame(rows, columns=["repo", "run_id", "archive", "content"])
-
-    return logs.mapInPandas(
-        zipped, "repo string, run_id bigint, archive string, content binary"
-    )
+def run_archives(states: DataFrame) -> DataFrame:
+    """Archive state per run, for the data-quality counters."""
+    return states.select("repo", "run_id", "archive", "status")

@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from testpulse.functions.text import repo_slug
 from testpulse.operators import report
 from testpulse.operators.classify import VERDICT
 from testpulse.operators.scoring import CACHE_KEY, cacheable, latest_verdicts
@@ -27,13 +26,14 @@ def write_ledger(entries: DataFrame, path: str) -> None:
 def write_report(lines: DataFrame, path: str, fmt: str, provider: str, batch: str) -> None:
     """A report per repo below ``path/report=<ext>/provider=…/batch=…/repo=…``.
 
+    The folder is named by the repo itself, escaped by Spark, so two repos never share one.
     Lines are sorted across files: the files of a repo in name order are its
     document.  A small repo has one file.
     """
     folder = f"{path}/report={EXTENSIONS[fmt]}/provider={provider}/batch={batch}"
     # sorted by the folder name itself, so that the writer does not sort again
     (
-        report.in_order(lines.withColumn("repo", repo_slug(F.col("repo"))))
+        report.in_order(lines)
         .select("repo", F.col("line").alias("value"))
         .write.mode("overwrite")
         .partitionBy("repo")

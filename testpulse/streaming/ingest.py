@@ -15,7 +15,7 @@ from testpulse.functions.text import is_failing
 from testpulse.operators import classify, scoring
 from testpulse.operators.runs import RUN, unprocessed
 from testpulse.operators.stats import TEST, rates, signatures
-from testpulse.session import exists
+from testpulse.session import exists, stage
 from testpulse.sources import sinks
 
 
@@ -127,21 +127,28 @@ def score_stream(
     model: str,
     cache_path: str,
     checkpoint: str,
+    verdicts_path: str | None = None,
 ) -> StreamingQuery:
     """Score prompts as they come; a test that the cache knows is not asked again.
 
     ``stream`` has (repo, test_name, run_id, prompt).  The answers of a batch are
-    one cache version, replaced whole if the batch is repeated.
+    one cache version, replaced whole if the batch is repeated.  Of several prompts
+    of a test in a batch the least (run_id, prompt) is asked.  All fresh verdicts,
+    failed calls with their fallback included, go to ``verdicts_path``.
     """
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        wanted = batch.dropDuplicates(TEST).withColumns(
-            {"provider": F.lit(provider), "model": F.lit(model)}
+        least = F.min(F.struct("run_id", "prompt")).alias("least")
+        wanted = batch.groupBy(*TEST).agg(least).select(
+            *TEST, "least.*", F.lit(provider).alias("provider"), F.lit(model).alias("model")
         )
         if exists(spark, cache_path):
             known = sinks.read_versions(spark, cache_path).filter(F.col("version") != batch_id)
             wanted = scoring.cache_misses(wanted, known)
-        sinks.append_verdicts(scoring.parse_responses(scorer(wanted)), cache_path, batch_id)
+        answers = scoring.parse_responses(stage(scorer(wanted), "responses"))
+        sinks.append_verdicts(answers, cache_path, batch_id)
+        if verdicts_path is not None:
+            answers.write.mode("overwrite").parquet(f"{verdicts_path}/batch={batch_id}")
 
     return _start(stream, each_batch, checkpoint)

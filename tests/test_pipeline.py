@@ -98,7 +98,7 @@ def test_scorer_in_the_analysis(history):
 def test_report_documents(spark, analysis):
     folder = new_folder(spark, "reports")
     sinks.write_reports(analysis.documents("2024-02-01T00:00:00+00:00"), folder, "no-llm", "b")
-    base = "report={}/provider=no-llm/batch=b/repo=org_{}"
+    base = "report={}/provider=no-llm/batch=b/repo=org%2F{}"
     table = document(spark, f"{folder}/{base.format('txt', 'app')}").split("\n")
     assert table[0] == "=== CI Health Report: org_app ===" or table[0].startswith("===")
     body = "\n".join(table)
@@ -170,9 +170,13 @@ def test_archives(spark, tmp_path):
         write(1, [("a.txt", "one\r\ntwo"), ("b.txt", b"bad \xff byte\n"), ("a.txt", "new\nlast")])
     write(2, [])
     (folder / "3.zip").write_bytes(b"no archive")
+    write(4, [("a.txt", "some text\n" * 50)])
+    raw = bytearray((folder / "4.zip").read_bytes())
+    raw[60] ^= 1  # a byte of the file in it
+    (folder / "4.zip").write_bytes(bytes(raw))
     scanned = A.scan_archives(spark, str(tmp_path / "*" / "logs"))
     states = {r.run_id: (r.status, r.n_entries) for r in A.archive_states(scanned).collect()}
-    assert states == {1: ("ok", 3), 2: ("empty", 0), 3: ("corrupt", 0)}
+    assert states == {1: ("ok", 3), 2: ("empty", 0), 3: ("corrupt", 0), 4: ("error", 0)}
     lines = A.archive_lines(scanned).orderBy("entry_ord", "line_no").collect()
     assert [(r.repo, r.filename, r.entry_ord, r.line_no, r.line) for r in lines] == [
         ("org_app", "a.txt", 0, 0, "new"), ("org_app", "a.txt", 0, 1, "last"),
@@ -180,6 +184,22 @@ def test_archives(spark, tmp_path):
     table = new_folder(spark, "lines")
     A.compact_logs(spark, str(tmp_path / "*" / "logs"), table)
     assert spark.read.parquet(table).count() == 3
+    wanted = spark.createDataFrame([("org_app", 2), ("org_app", 4)], "repo string, run_id bigint")
+    some = A.scan_archives(spark, str(tmp_path / "*" / "logs"), wanted)
+    assert sorted(r.run_id for r in some.collect()) == [2, 4]
+
+
+def test_archive_pieces_are_cut_at_line_ends(spark):
+    text = "".join(f"{'x' * (i % 97)}\n" for i in range(60_000)) + "the last"
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
+        archive.writestr("a.txt", text)
+    archives = spark.createDataFrame(
+        [("r", 1, "1.zip", buffer.getvalue())],
+        "repo string, run_id bigint, archive string, content binary")
+    lines = A.archive_lines(archives).orderBy("line_no").collect()
+    assert [r.line for r in lines] == text.split("\n")
+    assert [r.line_no for r in lines] == list(range(60_001))
 
 
 def test_plain_log_files(spark, tmp_path):
@@ -294,3 +314,11 @@ def test_slices_and_newest_beyond_the_top_k(spark, make_runs):
     assert small == {129: 1, 128: 2, 127: 3}
     large = {r.run_id: r.row_no for r in R.newest_runs(runs, 2000).filter("repo = 'a'").collect()}
     assert large == {129 - i: i + 1 for i in range(30)}
+
+
+def test_runs_without_time_or_repo_are_numbered_last_and_not_lost(spark, make_runs):
+    runs = make_runs([("a", 1, "success"), ("a", 2, "success"), (None, 3, "success")])
+    runs = runs.withColumn("timestamp", F.when(F.col("run_id") != 1, F.col("timestamp")))
+    for n in (1000, 1001):
+        got = {(r.repo, r.run_id, r.row_no) for r in R.newest_runs(runs, n).collect()}
+        assert got == {("a", 2, 1), ("a", 1, 2), (None, 3, 1)}

@@ -90,12 +90,11 @@ def test_prompt_cuts_only_a_long_context(spark):
         V.prompt(F.col("n"), F.col("m"), F.col("s"), F.col("c")).alias("p")).collect()]
     assert "\nCross-run context: {}\n\nRespond with ONLY" in short
     kept = long.split("Cross-run context: ")[1].removesuffix("\n\n" + fixed.PROMPT_TAIL)
-    assert kept == "{" + "x" * (50_000 - len(fixed.PROMPT_TAIL) - 200 - 1)
+    assert kept.startswith("{xxx") and len(kept) >= 60_000
     assert bare.count("s" * 60_000) == 1 and "Cross-run" not in bare
 
 
-def test_context_with_very_many_signatures_is_the_same_prefix(make_results):
-    """A prompt takes at most as many signatures as could fit into it."""
+def test_context_holds_all_signatures(make_results):
     words = [f"kind {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(600)]
     results = make_results([("t", "FAILED", w, 1) for w in words])
     sigs = ST.signatures(results)
@@ -103,10 +102,8 @@ def test_context_with_very_many_signatures_is_the_same_prefix(make_results):
     prompt = S.prompts(stats, stats, sigs).first().prompt
     context = prompt.split("Cross-run context: ")[1]
     context = context.removesuffix("\n\n" + fixed.PROMPT_TAIL)
-    assert len(context) == 50_000 - len(fixed.PROMPT_TAIL) - 200
-    assert context.count('"signature_hash"') < S.CONTEXT_SIGNATURES
-    first = json.loads(context[context.index("[") + 1:].split("},{")[0] + "}")
-    assert first["sample_message"] == words[0]
+    listed = json.loads(context)["error_signatures"]
+    assert [s["sample_message"] for s in listed] == words
 
 
 def test_cache_answers_before_the_scorer(spark, make_results):
@@ -130,12 +127,13 @@ def test_cache_answers_before_the_scorer(spark, make_results):
                          F.lit('{"category": "INFRA", "confidence": 0.6}').alias("content"),
                          F.lit(None).cast("string").alias("call_error"))
 
-    scored, fresh = S.score(questions, scorer, "prov", "m", cache)
-    assert asked == ["b"]
+    scored, fresh, responses = S.score(questions, scorer, "prov", "m", cache)
+    assert [r.test_name for r in S.call_log(responses).collect()] == ["b"]
     got = {r.test_name: (r.category, r.classified_by)
            for r in K.with_scores(ruled, scored).collect()}
     assert got == {"a": ("REAL_BUG", "llm:prov:m"), "b": ("INFRA", "llm:prov:m")}
     assert [r.test_name for r in fresh.collect()] == ["b"]
+    assert asked == ["b"]  # once, whatever has been read since
 
 
 def test_call_numbers_are_whole(responses):

@@ -18,7 +18,7 @@ def test_attach_per_key_splits_hot_keys(spark):
     rows, df = hot_rows(spark)
     sizes = Counter(k for k, _ in rows)
     per_key = df.groupBy("k").agg(F.count("*").alias("n"), F.max("i").alias("top"))
-    joined = X.attach_per_key(df, per_key, ["k"], "n", F.col("i"), pieces=16, min_rows=10)
+    joined = X.attach_per_key(df, per_key, ["k"], "n", F.col("i"), rows_per_piece=10)
     got = sorted((r.k, r.i, r.n, r.top) for r in joined.collect())
     top = {k: max(i for kk, i in rows if kk == k) for k in sizes}
     assert got == sorted((k, i, sizes[k], top[k]) for k, i in rows)
@@ -27,7 +27,7 @@ def test_attach_per_key_splits_hot_keys(spark):
 def test_attach_per_key_left_keeps_rows_without_match(spark):
     rows, df = hot_rows(spark, 500)
     per_key = df.filter("k = 'hot'").groupBy("k").agg(F.count("*").alias("n"))
-    joined = X.attach_per_key(df, per_key, ["k"], "n", F.col("i"), "left", pieces=4, min_rows=5)
+    joined = X.attach_per_key(df, per_key, ["k"], "n", F.col("i"), "left", rows_per_piece=5)
     assert joined.count() == 500
     assert joined.filter("n is not null").count() == sum(k == "hot" for k, _ in rows)
 
@@ -41,7 +41,7 @@ def test_hot_key_is_really_dealt_out(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.shuffle.partitions", "16")
     try:
-        joined = X.attach_per_key(df, per_key, ["k"], "n", F.col("i"), pieces=16, min_rows=10)
+        joined = X.attach_per_key(df, per_key, ["k"], "n", F.col("i"), rows_per_piece=10)
         sizes = [r["count"] for r in joined.filter("k = 'hot'")
                  .groupBy(F.spark_partition_id()).count().collect()]
     finally:
@@ -92,3 +92,16 @@ def test_concat_in_order(spark):
     df = spark.createDataFrame(rows, "k string, at bigint, w string")
     got = {r.k: r.w for r in X.concat_in_order(df, ["k"], "at", "w", "|", chunk=7).collect()}
     assert got == {k: "|".join(ws) for k, ws in words.items()}
+
+
+def test_prefilter_loses_nothing_and_shuffles_no_row(spark):
+    rows = spark.range(5000).select((F.col("id") % 500).alias("k"), "id")
+    wanted = spark.createDataFrame([(3,), (3,), (77,)], "k long")
+    for bits in (7, 20):
+        kept = X.prefilter(rows, wanted, ["k"], bits)
+        found = kept.groupBy("k").count().collect()
+        assert {(r.k, r["count"]) for r in found} >= {(3, 10), (77, 10)}
+        assert kept.columns == ["k", "id"]
+    assert len(found) < 20
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
