@@ -393,7 +393,7 @@ def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
         most = counts.agg(F.max("n")).first()[0]
         if most is None or most == 1:
             return found
-        bucket = F.pmod(F.xxhash64("wrapper"), F.greatest(F.ceil(F.col("n") / FAN_IN), F.lit(1)))
+        bucket = F.pmod(F.xxhash64("wrapper", F.spark_partition_id()), F.greatest(F.ceil(F.col("n") / FAN_IN), F.lit(1)))
         found = stage(
             found.join(counts, "host")
             .select("host", "wrapper", bucket.alias("bucket"))
