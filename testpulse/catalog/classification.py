@@ -100,8 +100,7 @@ def limited_categories(spark, d):
 def final_categories(spark, d):
     _, _, stats, verdicts = verdicts_of(spark, d)
     final = K.with_verdict_category(stats, verdicts)
-    flat = flat_stats(final)
-    return flat.join(final.select("repo", "test_name", "final_category"), ["repo", "test_name"])
+    return flat_stats(final, "final_category")
 
 
 _VOTED = """SELECT repo, test_name, category, count(*) AS n FROM (

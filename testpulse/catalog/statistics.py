@@ -18,13 +18,14 @@ def staged_stats(spark, d):
     return results, sigs, stage(S.test_stats(results, sigs), "stats")
 
 
-def flat_stats(stats):
+def flat_stats(stats, *more):
     return stats.select(
         "repo", "test_name", "total_executions", "total_failures", "flake_rate", "failure_rate",
         F.col("n_signatures").cast("bigint").alias("n_signatures"),
         "dominant_signature", "dominant_signature_ratio",
         "first_seen_run", "last_seen_run",
         F.array_join("workflows_affected", ",").alias("workflows"),
+        *more,
     )
 
 

@@ -436,6 +436,9 @@ def failure_texts(events: DataFrame, failing: DataFrame, lines: DataFrame) -> Da
     columns = [*LOG, "style", "block_key", "block_start", "first_start"]
     blocks = stage(own.select(columns).unionByName(js.select(columns)), "blocks")
 
+    if blocks.isEmpty():
+        nothing = {"error_message": F.lit(""), "stack_trace": F.lit("")}
+        return wanted.withColumns(nothing)
     texts = block_texts(events, blocks.select(*LOG, "style", "block_start"), lines)
     known = blocks.join(texts, [*LOG, "style", "block_start"], "left").fillna(
         "", ["error_message", "stack_trace"]

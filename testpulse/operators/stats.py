@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from testpulse.functions import fixed
 from testpulse.functions import text as T
+from testpulse.operators.spread import prefilter
+from testpulse.session import stage
 
 TEST = ["repo", "test_name"]
 
@@ -56,19 +58,37 @@ def failing_results(results: DataFrame) -> DataFrame:
 
 
 def signatures(results: DataFrame) -> DataFrame:
-    """One row per (test, error signature), with its first failing execution."""
-    failing = failing_results(results).withColumn(
+    """One row per (test, error signature), with its first failing execution.
+
+    Counts, times and the number of the first execution are fixed-width values, so
+    that failing executions are aggregated by hash and never sorted.  Messages and stack
+    traces are fetched in a second pass, for the first executions only: the others
+    are left out where they lie.
+    """
+    signed = failing_results(results).withColumn(
         "signature_hash", T.error_signature(F.col("error_message"))
     )
-    first = F.min(
-        F.struct("result_ord", "run_id", "error_message", "stack_trace")
+    group = [*TEST, "signature_hash"]
+    counted = stage(
+        signed.groupBy(*group).agg(
+            F.count(F.lit(1)).alias("count"),
+            F.min("timestamp").alias("first_seen"),
+            F.max("timestamp").alias("last_seen"),
+            F.min("result_ord").alias("_ord"),
+        ),
+        "signature-counts",
     )
-    grouped = failing.groupBy(*TEST, "signature_hash").agg(
-        F.count(F.lit(1)).alias("count"),
-        F.min("timestamp").alias("first_seen"),
-        F.max("timestamp").alias("last_seen"),
-        first.alias("first"),
+    places = counted.select(*TEST, F.col("_ord").alias("result_ord"))
+    few = prefilter(failing_results(results), places, [*TEST, "result_ord"]).withColumn(
+        "signature_hash", T.error_signature(F.col("error_message"))
     )
+    first = F.min(F.struct("result_ord", "run_id", "error_message", "stack_trace"))
+    named = few.groupBy(*group, "result_ord").agg(first.alias("first"))
+    named = named.select(*[F.col(c).alias(f"_{c}") for c in [*group, "result_ord"]], "first")
+    same = F.col("_ord") == F.col("_result_ord")
+    for column in group:
+        same = same & F.col(column).eqNullSafe(F.col(f"_{column}"))
+    grouped = counted.join(named, same)
     message = F.coalesce(
         F.nullif(F.col("first.error_message"), F.lit("")), F.lit(fixed.NO_MESSAGE)
     )
