@@ -54,7 +54,10 @@ def ingest_runs(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuer
     def each_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         done = _earlier(spark, table, batch_id, schema)
-        new = unprocessed(batch.dropDuplicates(RUN), done)
+        # Of several records of a run in a batch the least counts, on every repetition.
+        rest = [c for c in batch.columns if c not in RUN]
+        one = batch.groupBy(*RUN).agg(F.min(F.struct(*rest)).alias("_run"))
+        new = unprocessed(one.select(*RUN, "_run.*").select(batch.columns), done)
         _write_batch(new, table, batch_id)
 
     return _start(stream, each_batch, checkpoint)
@@ -83,32 +86,33 @@ def accumulate_stats(stream: DataFrame, table: str, checkpoint: str) -> Streamin
     """
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
-        counts = batch.groupBy(*TEST).agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count_if(is_failing(F.col("status"))).alias("failures"),
-            F.min("timestamp").alias("first_time"),
-            F.max("timestamp").alias("last_time"),
-        )
-        _write_batch(counts, f"{table}/counts", batch_id)
-        _write_batch(signatures(batch), f"{table}/signatures", batch_id)
+        batch.persist()  # read from its source once
+        try:
+            counts = batch.groupBy(*TEST).agg(
+                F.count(F.lit(1)).alias("n"),
+                F.count_if(is_failing(F.col("status"))).alias("failures"),
+                F.min("timestamp").alias("first_time"),
+                F.max("timestamp").alias("last_time"),
+            )
+            _write_batch(counts, f"{table}/counts", batch_id)
+            _write_batch(signatures(batch), f"{table}/signatures", batch_id)
+        finally:
+            batch.unpersist()
 
     return _start(stream, each_batch, checkpoint)
 
 
-def merged_counts(spark: SparkSession, table: str) -> DataFrame:
-    """Totals of all batches per test."""
-    total = spark.read.parquet(f"{table}/counts").groupBy(*TEST).agg(
-        F.sum("n").alias("total_executions"),
-        F.sum("failures").alias("total_failures"),
-        F.min("first_time").alias("first_seen_run"),
-        F.max("last_time").alias("last_seen_run"),
+def _sum_counts(partials: DataFrame) -> DataFrame:
+    return partials.groupBy(*TEST).agg(
+        F.sum("n").alias("n"),
+        F.sum("failures").alias("failures"),
+        F.min("first_time").alias("first_time"),
+        F.max("last_time").alias("last_time"),
     )
-    return total.withColumns(rates(F.col("total_failures"), F.col("total_executions")))
 
 
-def merged_signatures(spark: SparkSession, table: str) -> DataFrame:
-    """Signature groups of all batches, as if computed at once."""
-    merged = spark.read.parquet(f"{table}/signatures").groupBy(*TEST, "signature_hash").agg(
+def _sum_signatures(partials: DataFrame) -> DataFrame:
+    merged = partials.groupBy(*TEST, "signature_hash").agg(
         F.sum("count").alias("count"),
         F.min("first_seen").alias("first_seen"),
         F.max("last_seen").alias("last_seen"),
@@ -120,6 +124,60 @@ def merged_signatures(spark: SparkSession, table: str) -> DataFrame:
     )
 
 
+SUMS = {"counts": _sum_counts, "signatures": _sum_signatures}
+
+
+def _compacted_to(spark: SparkSession, table: str) -> int:
+    """The last batch that the newest compaction holds, or -1."""
+    place = f"{table}/compacted"
+    if not exists(spark, place):
+        return -1
+    return spark.read.parquet(place).agg(F.max("upto")).first()[0]
+
+
+def _partials(spark: SparkSession, table: str, kind: str) -> DataFrame:
+    """The newest compaction and the batches after it."""
+    upto = _compacted_to(spark, table)
+    rows = spark.read.parquet(f"{table}/{kind}").filter(F.col("batch") > upto).drop("batch")
+    if upto < 0:
+        return rows
+    return rows.unionByName(spark.read.schema(rows.schema).parquet(f"{table}/{kind}-to-{upto}"))
+
+
+def compact(spark: SparkSession, table: str) -> None:
+    """Add up all complete batches, so that readers start from one partial sum.
+
+    Run it between streams.  The sums go to new folders, and one row in ``compacted``
+    makes them count once they are whole; a compaction that fails changes nothing.  The
+    folders of batches up to it are not read any more and can be deleted.
+    """
+    last = spark.read.parquet(f"{table}/signatures").agg(F.max("batch")).first()[0]
+    if last is None or last <= _compacted_to(spark, table):
+        return
+    for kind, summed in SUMS.items():
+        partials = _partials(spark, table, kind)
+        summed(partials).write.mode("overwrite").parquet(f"{table}/{kind}-to-{last}")
+    row = spark.range(1).select(F.lit(last).cast("long").alias("upto"))
+    row.write.mode("append").parquet(f"{table}/compacted")
+
+
+def merged_counts(spark: SparkSession, table: str) -> DataFrame:
+    """Totals of all batches per test."""
+    total = _sum_counts(_partials(spark, table, "counts")).select(
+        *TEST,
+        F.col("n").alias("total_executions"),
+        F.col("failures").alias("total_failures"),
+        F.col("first_time").alias("first_seen_run"),
+        F.col("last_time").alias("last_seen_run"),
+    )
+    return total.withColumns(rates(F.col("total_failures"), F.col("total_executions")))
+
+
+def merged_signatures(spark: SparkSession, table: str) -> DataFrame:
+    """Signature groups of all batches, as if computed at once."""
+    return _sum_signatures(_partials(spark, table, "signatures"))
+
+
 def score_stream(
     stream: DataFrame,
     scorer: classify.Scorer,

@@ -263,6 +263,33 @@ def test_stream_restarts_count_once(spark, make_results):
     merged = {r.signature_hash: r["count"] for r in I.merged_signatures(spark, table).collect()}
     assert merged == {r.signature_hash: r["count"] for r in S.signatures(results).collect()}
 
+    def totals():
+        counts = [tuple(r) for r in I.merged_counts(spark, table).collect()]
+        return counts, sorted(map(tuple, I.merged_signatures(spark, table).collect()))
+
+    before = totals()
+    I.compact(spark, table)
+    I.compact(spark, table)  # nothing to add up
+    assert totals() == before
+    for i in range(3):
+        more = make_results([("t", "FAILED", "m0", 10 + i)])
+        more.coalesce(1).write.mode("append").parquet(source)
+        run()
+    assert I.merged_counts(spark, table).first().total_executions == 9
+    before = totals()
+    I.compact(spark, table)
+    assert totals() == before
+
+
+def test_ingest_keeps_the_least_record_of_a_run(spark, make_runs):
+    twice = make_runs([("a", 1, "success", "B"), ("a", 1, "success", "A"), ("a", 2, "failure", "C")])
+    source, table, checkpoint = (new_folder(spark, n) for n in ("in", "out", "cp"))
+    twice.repartition(3).write.parquet(source)
+    stream = spark.readStream.schema(twice.schema).parquet(source)
+    I.ingest_runs(stream, table, checkpoint).awaitTermination()
+    got = {(r.run_id, r.workflow_name) for r in spark.read.parquet(table).collect()}
+    assert got == {(1, "A"), (2, "C")}
+
 
 def test_stream_update_mode_and_dedup(spark, make_results, make_runs):
     results = make_results([("t", "FAILED", "m", i) for i in range(4)])
