@@ -46,16 +46,37 @@ def with_defaults(runs: DataFrame) -> DataFrame:
     })
 
 
+def _run_documents(spark: SparkSession, path: str, one_per_file: bool) -> DataFrame:
+    reader = (
+        spark.read.schema(RUN_FIELDS + ", _unread string")
+        .option("multiLine", one_per_file)
+        .option("columnNameOfCorruptRecord", "_unread")
+    )
+    at = F.col("_metadata.file_path")
+    repo = F.regexp_extract(at, r"([^/]+)/runs/[^/]+$", 1)
+    file = F.regexp_extract(at, r"([^/]+)$", 1)
+    whole = F.col("run_id").isNotNull() & F.col("_unread").isNull()
+    documents = reader.json(path).select(repo.alias("repo"), file.alias("_file"), "*", whole.alias("_whole"))
+    return documents.drop("_unread")
+
+
 def read_runs(spark: SparkSession, path: str, *, one_per_file: bool = True) -> DataFrame:
     """Run metadata from JSON; the repo is the folder above ``runs``.
 
     ``one_per_file`` reads indented documents, one per file.  Small files are
     slow to list and open, so compact them once with :func:`compact_runs`.
+    Documents without a readable run are in :func:`unreadable_runs`.
     """
-    reader = spark.read.schema(RUN_FIELDS).option("multiLine", one_per_file)
-    repo = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/runs/[^/]+$", 1)
-    runs = reader.json(path).select(repo.alias("repo"), "*")
-    return with_defaults(runs.filter(F.col("run_id").isNotNull()))
+    runs = _run_documents(spark, path, one_per_file).filter("_whole")
+    return with_defaults(runs.drop("_file", "_whole"))
+
+
+def unreadable_runs(spark: SparkSession, path: str, *, one_per_file: bool = True) -> DataFrame:
+    """(repo, file, documents): what :func:`read_runs` leaves out."""
+    bad = _run_documents(spark, path, one_per_file).filter("NOT _whole")
+    return bad.groupBy("repo", F.col("_file").alias("file")).agg(
+        F.count(F.lit(1)).alias("documents")
+    )
 
 
 def compact_runs(spark: SparkSession, source: str, target: str) -> None:

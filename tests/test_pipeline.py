@@ -148,7 +148,11 @@ def test_run_json_defaults(spark, tmp_path):
     (folder / "29372617902.json").write_text(json.dumps(full, indent=2))
     (folder / "5.json").write_text(json.dumps({"run_id": 5, "workflow_name": "", "status": "x",
                                                "conclusion": None, "timestamp": None}))
+    (folder / "6.json").write_text('{"run_id": 6, "workflow')
     rows = {r.run_id: r for r in T.read_runs(spark, str(tmp_path / "*" / "runs")).collect()}
+    bad = T.unreadable_runs(spark, str(tmp_path / "*" / "runs")).collect()
+    assert [(r.repo, r.file, r.documents) for r in bad] == [("org_app", "6.json", 1)]
+    assert set(rows) == {29372617902, 5}
     assert rows[29372617902].repo == "org_app" and rows[29372617902].jobs[0].name == "test"
     assert rows[29372617902].timestamp.isoformat() == "2026-07-14T22:19:41"
     assert rows[5].jobs == [] and rows[5].conclusion == "" and rows[5].html_url == ""
