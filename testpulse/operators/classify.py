@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from testpulse.functions import fixed, rules
-from testpulse.operators.spread import attach_per_key, first_rows
+from testpulse.operators.spread import attach_per_key, number_rows
 from testpulse.operators.stats import TEST, failing_results
 
 VERDICT = ["category", "evidence", "confidence", "classified_by"]
@@ -74,6 +74,10 @@ def with_scores(verdicts: DataFrame, scored: DataFrame) -> DataFrame:
     return joined.drop("_open", *["s_" + c for c in VERDICT])
 
 
+#: Slices of a repo's range of orders in which its cutoff is looked for.
+SLICES = 4096
+
+
 def with_cutoff(verdicts: DataFrame, limit: int) -> DataFrame:
     """Stop after the first ``limit`` failing tests of a repo (0: no stop).
 
@@ -83,10 +87,23 @@ def with_cutoff(verdicts: DataFrame, limit: int) -> DataFrame:
     if not limit:
         nothing = F.lit(None).cast(verdicts.schema["first_ord"].dataType)
         return verdicts.withColumn("cutoff", nothing)
-    taken = first_rows(verdicts.select("repo", "first_ord"), ["repo"], [F.col("first_ord")], limit)
-    last = taken.groupBy("repo").agg(F.max("first_ord").alias("cutoff"))
-    sizes = verdicts.groupBy("repo").agg(F.count(F.lit(1)).alias("n_tests"))
-    per_repo = sizes.join(last, "repo")
+    sizes = verdicts.groupBy("repo").agg(
+        F.count(F.lit(1)).alias("n_tests"),
+        F.min("first_ord").alias("_low"),
+        F.max("first_ord").alias("_high"),
+    )
+    keys = verdicts.select("repo", "test_name", "first_ord")
+    placed = attach_per_key(keys, sizes, ["repo"], "n_tests", F.col("test_name"))
+    # The limit-th order is looked for within one slice of the repo's range of orders.
+    span = (F.col("_high") - F.col("_low")).cast("double")
+    share = (F.col("first_ord") - F.col("_low")).cast("double") / F.nullif(span, F.lit(0.0))
+    part = F.floor(F.coalesce(share, F.lit(0.0)) * SLICES)
+    nth = number_rows(
+        placed, ["repo"], [F.col("first_ord")], part, low=limit - 1, high=limit
+    ).select("repo", F.col("first_ord").alias("_nth"))
+    per_repo = sizes.join(nth, "repo", "left").select(
+        "repo", "n_tests", F.coalesce("_nth", "_high").alias("cutoff")
+    )
     return attach_per_key(
         verdicts, per_repo, ["repo"], "n_tests", F.col("test_name")
     ).drop("n_tests")
