@@ -135,18 +135,17 @@ def compiled(rules: tuple[Rule, ...]) -> Column:
 def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` without its text, with the measures, ``base_failed`` and ``kept``."""
     rest = [c for c in docs.columns if c != text and c not in MEASURES]
-    measured = docs.select(*[F.col(f"`{c}`") for c in rest], measures(F.col(text)).alias("_m"))
+    own = F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_doc")
     base = tuple(r for r in rules if r.name in BASE_RULES)
-    named = measured.select(*[F.col(f"`{c}`") for c in rest], "_m.*")
-    return named.withColumns(
-        {"base_failed": compiled(base), "kept": ~compiled(rules)}
-    )
+    named = docs.select(own, measures(F.col(text)).alias("_m")).select("_doc", "_m.*")
+    verdict = {"base_failed": compiled(base), "kept": ~compiled(rules)}
+    return named.withColumns(verdict).select("_doc.*", *MEASURES)
 
 
 def keep_good(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents that no rule rejects, with all their columns."""
-    judged = docs.withColumn("_m", measures(F.col(text)))
-    lifted = judged.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), "_m.*")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+    lifted = docs.select(whole, measures(F.col(text)).alias("_m")).select("_doc", "_m.*")
     return lifted.filter(~compiled(rules)).select("_doc.*")
 
 

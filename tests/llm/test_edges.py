@@ -22,7 +22,7 @@ TEXTS = [
     (2, None), (3, ""), (None, "A text of the author that has no id and is not long at all, to be sure."),
     (4, LONG), (5, LONG), (6, " \n\t "),
 ]
-RESULT_NAMES = ["n_words", "kept", "shard", "slot", "score", "_fp", "_id", "word", "ids", "length", "line"]
+RESULT_NAMES = ["_m", "_doc", "n_words", "kept", "shard", "slot", "score", "_fp", "_id", "word", "ids", "length", "line"]
 SCHEMA = "doc_id long, text string"
 
 
