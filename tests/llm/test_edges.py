@@ -115,6 +115,29 @@ def test_line_dedup_runs_inside(spark):
     assert found[3] == "Alone. " * 9 or found[3].count("Alone.") < 9
 
 
+def sentence(name, n):
+    return " ".join(f"{name}{i}" for i in range(n)) + ". "
+
+
+def runs_of(spark, texts):
+    made = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    return {r._id: (r.first_line, r.last_line) for r in linededup.repeated_runs(made).collect()}
+
+
+def test_line_dedup_short_passages(spark):
+    """One or two lines of over 50 words are found whatever stands around them."""
+    passages = [sentence(f"one{i}", 60) for i in range(12)]
+    passages += [sentence(f"a{i}", 30) + sentence(f"b{i}", 24) for i in range(12)]
+    copies = [
+        f"{sentence(f'x{i}.{k}', 6)}{sentence(f'y{i}.{k}', 6)}{p}{sentence(f'z{i}.{k}', 6)}{sentence(f'u{i}.{k}', 6)}"
+        for k in range(3) for i, p in enumerate(passages)
+    ]
+    n = len(passages)
+    assert runs_of(spark, copies) == {
+        k * n + i: (2, 2 if i < 12 else 3) for k in (1, 2) for i in range(n)
+    }
+
+
 def test_simhash(docs, none):
     assert simhash.near_duplicates(none).count() == 0
     found = {(r._id, r._version): r for r in simhash.near_duplicates(docs).collect()}
