@@ -138,6 +138,19 @@ def test_line_dedup_short_passages(spark):
     }
 
 
+def test_line_dedup_frequent_pairs(spark):
+    """A run is whole though its middle stands first among other lines."""
+    texts, wanted = [], {}
+    for i in range(20):
+        pair = sentence(f"p{i}", 6) + sentence(f"q{i}", 6)
+        run = sentence(f"before{i}", 9) + pair + sentence(f"after{i}", 9)
+        texts.append(sentence(f"c{i}", 4) + pair + sentence(f"d{i}", 4))
+        texts.append(sentence(f"e{i}", 4) + run + sentence(f"f{i}", 4))
+        wanted[len(texts)] = (1, 4)
+        texts.append(sentence(f"g{i}", 4) + run + sentence(f"h{i}", 4))
+    assert runs_of(spark, texts) == wanted
+
+
 def test_simhash(docs, none):
     assert simhash.near_duplicates(none).count() == 0
     found = {(r._id, r._version): r for r in simhash.near_duplicates(docs).collect()}
