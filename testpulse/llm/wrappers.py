@@ -16,6 +16,13 @@ holds most of it, else the innermost container that does; menus, headers, footer
 sidebars, notices, adverts, forms and reader comments are left out by their elements,
 roles, classes and ids, and outside an article lists of links, too.
 
+A first pass counts by host the pages that have each word of classes, ids and roles;
+labels keep words on one page in ``SHARED`` at least (and those that say what is left
+out), so ids made of titles and classes of authors are no labels.  A wrapper has at most
+about two times ``WIDTH`` items: those on most pages; the rest of a sequence is one
+optional text slot with summed counts.  So its size is that of the template, whatever the
+pages are; a page whose main part fell into such a slot is ruled by itself.
+
 Each map task aligns the pages that it reads and passes on one wrapper a host; wrappers
 of a host are then aligned ``FAN_IN`` at a time in rounds, so a host with a third of all
 pages costs no task more than others.  Pages are read a second time to be cut by their
@@ -47,6 +54,12 @@ FAN_IN = 32
 MOST = 0.8
 #: Hosts whose wrappers a map task holds before it passes them on.
 HELD = 2_000
+#: Items of a wrapper that are kept apart.
+WIDTH = 1_000
+#: Labels keep words that one in so many pages of the host has.
+SHARED = 20
+#: Counts of words that a map task holds before it passes them on.
+COUNTS = 200_000
 
 # Elements of HTML by how they are parsed and laid out.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -83,6 +96,7 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_START = re.compile(r"<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
 _PARTS = re.compile(r"[a-z]+")
 
 
@@ -95,18 +109,34 @@ class Node:
         self.tag, self.label, self.children = tag, label, []
 
 
-def _label(tag: str, attributes: str) -> str:
+def _words(attributes: str) -> list[str]:
     words: list[str] = []
-    if attributes:
-        for name, value in _ATTRIBUTE.findall(attributes):
-            if name.lower() == "hidden":
-                words.append("hidden")
-            words += _PARTS.findall(value.lower())
-    return ".".join([tag, *dict.fromkeys(words)])
+    for name, value in _ATTRIBUTE.findall(attributes):
+        if name.lower() == "hidden":
+            words.append("hidden")
+        words += _PARTS.findall(value.lower())
+    return words
+
+
+def _label(tag: str, attributes: str, kept: set[str] | None = None) -> str:
+    words = dict.fromkeys(_words(attributes)) if attributes else {}
+    if kept is not None:
+        words = [w for w in words if w == "hidden" or w in LEFT_OUT_WORDS or f"{tag}.{w}" in kept]
+    return ".".join([tag, *words])
 
 
-def parse(page: str) -> Node:
-    """The tree of a page; elements that are left open are closed where browsers would."""
+def page_words(page: str) -> set[str]:
+    """"tag.word" for every word of classes, ids and roles."""
+    return {
+        f"{tag.lower()}.{word}"
+        for tag, attributes in set(_START.findall(page)) if attributes
+        for word in _words(attributes)
+    }
+
+
+def parse(page: str, kept: set[str] | None = None) -> Node:
+    """The tree of a page; elements that are left open are closed where browsers would.
+    Labels have all words, or only those in ``kept`` and those of what is left out."""
     root = Node("", "")
     stack = [root]
     end = len(page)
@@ -136,7 +166,7 @@ def parse(page: str) -> Node:
             _close(stack, {"p"}, BOUNDS)
         if tag in CLOSES:
             _close(stack, *CLOSES[tag])
-        node = Node(tag, _label(tag, attributes))
+        node = Node(tag, _label(tag, attributes, kept))
         stack[-1].children.append(node)
         if tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
@@ -178,14 +208,14 @@ def align(a: list, b: list, together: bool = False) -> list:
     if a[0] == "#":
         inside = a[6] if a[6] == b[6] else None
     else:
-        inside = fold(merge(a[6], b[6]))
-    return [a[0], a[1] or b[1], a[2] or b[2] or together, pages, a[4] + b[4], a[5] + b[5], inside]
+        inside = fold(merge(a[6], b[6], together))
+    return [a[0], a[1] or b[1], a[2] or b[2], pages, a[4] + b[4], a[5] + b[5], inside]
 
 
-def merge(a: list, b: list) -> list:
+def merge(a: list, b: list, together: bool = False) -> list:
     """Two sequences aligned; what is in one only becomes optional."""
     if [x[0] for x in a] == [x[0] for x in b]:
-        return [align(x, y) for x, y in zip(a, b, strict=True)]
+        return [align(x, y, together) for x, y in zip(a, b, strict=True)]
     longest = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
@@ -196,7 +226,7 @@ def merge(a: list, b: list) -> list:
     out, i, j = [], 0, 0
     while i < len(a) and j < len(b):
         if a[i][0] == b[j][0]:
-            out.append(align(a[i], b[j]))
+            out.append(align(a[i], b[j], together))
             i, j = i + 1, j + 1
         elif longest[i + 1][j] >= longest[i][j + 1]:
             out.append([a[i][0], True, *a[i][2:]])
@@ -221,11 +251,36 @@ def fold(row: list) -> list:
                 for k in range(period):
                     first = len(out) - 2 * period + k
                     out[first] = align(out[first], out[len(out) - period + k], together=True)
+                    out[first][2] = True
                 del out[-period:]
         row = out
     return row
 
 
+def bounded(wrapper: list) -> list:
+    """A pattern with the ``WIDTH`` items that are on most pages (of equals the outer ones);
+    the others of each sequence are one optional slot."""
+    items, level = [], [wrapper]
+    while level:
+        items += level
+        level = [c for x in level if x[0] != "#" for c in x[6]]
+    if len(items) <= WIDTH:
+        return wrapper
+    # An item is on no more pages than the one around it, which comes first.
+    kept = {id(x) for x in sorted(items, key=lambda x: -x[3])[:WIDTH]}
+
+    def cut(item: list) -> list:
+        if item[0] == "#":
+            return item
+        inside = [cut(c) for c in item[6] if id(c) in kept]
+        if rare := [c for c in item[6] if id(c) not in kept]:
+            n = sum(_varying(c, 1) for c in rare)
+            inside.append(["#", True, True, max(c[3] for c in rare), n, 0, None])
+        return [*item[:6], fold(inside)]
+
+    return cut(wrapper)
+
+
 def expression(row: list) -> str:
     """A sequence as a regular expression over labels, for people to read."""
     said = []
@@ -310,7 +365,7 @@ def rules(wrapper: list) -> dict:
 def extract(page: str, rule: dict) -> str:
     """Main text of a page by the rules of its host; a page that has none of the host's
     main parts is ruled by itself."""
-    tree = parse(page)
+    tree = parse(page, rule.get("words"))
     text = _cut(tree, rule)
     if text is None:
         text = _cut(tree, rules(pattern(tree)))
@@ -354,17 +409,64 @@ def host(url: Column) -> Column:
     return found
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages by host and word; the word is empty for all pages of the host."""
+    counts: dict[tuple[str, str], int] = {}
+
+    def rows() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([k[0] for k in counts], pa.string()),
+                pa.array([k[1] for k in counts], pa.string()),
+                pa.array(list(counts.values()), pa.int64()),
+            ],
+            ["host", "word", "n"],
+        )
+
+    for batch in batches:
+        for name, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for word in ("", *page_words(page.as_py() or "")):
+                counts[name, word] = counts.get((name, word), 0) + 1
+            if len(counts) > COUNTS:
+                yield rows()
+                counts.clear()
+    yield rows()
+
+
+def shared_words(named: DataFrame) -> DataFrame:
+    """(host, words: "tag.word" that labels keep, between blanks; null for all)."""
+    counts = stage(
+        named.mapInArrow(_counted, "host string, word string, n long").groupBy("host", "word").agg(F.sum("n").alias("n")),
+        "word-counts",
+    )
+    pages = counts.filter("word = ''").select("host", F.col("n").alias("pages"))
+    shared = (
+        counts.filter("word <> '' and n > 1")
+        .join(pages, "host")
+        .filter(F.col("n") * SHARED >= F.col("pages"))
+        .groupBy("host")
+        .agg(F.array_join(F.array_sort(F.collect_list("word")), " ").alias("words"))
+    )
+    words = F.when(F.col("pages") > SHARED, F.coalesce("words", F.lit("")))
+    return stage(pages.join(shared, "host", "left").select("host", words.alias("words")), "words")
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One wrapper for each host of the pages that a task reads."""
     wrappers: dict[str, list] = {}
+    kept: dict[str, set[str] | None] = {}
     for batch in batches:
-        for name, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            made = pattern(parse(page.as_py() or ""))
+        rows = zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True)
+        for name, page, words in rows:
+            if name not in kept:
+                kept[name] = None if (said := words.as_py()) is None else set(said.split())
+            made = bounded(pattern(parse(page.as_py() or "", kept[name])))
             known = wrappers.get(name)
-            wrappers[name] = made if known is None else align(known, made)
+            wrappers[name] = made if known is None else bounded(align(known, made))
             if len(wrappers) > HELD:
                 yield _rows(wrappers)
                 wrappers = {}
+                kept = {}
     yield _rows(wrappers)
 
 
@@ -380,14 +482,19 @@ def _aligned(group: pa.Table) -> pa.Table:
     texts = sorted(group.column("wrapper").to_pylist())
     whole = json.loads(texts[0])
     for text in texts[1:]:
-        whole = align(whole, json.loads(text))
+        whole = bounded(align(whole, json.loads(text)))
     return pa.table({"host": group.column("host")[:1], "wrapper": pa.array([json.dumps(whole)])})
 
 
 def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(host, wrapper: JSON) for every host."""
     named = pages.select(host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    found = stage(named.mapInArrow(_read, "host string, wrapper string"), "wrappers")
+    return _inferred(named, shared_words(named))
+
+
+def _inferred(named: DataFrame, words: DataFrame) -> DataFrame:
+    labelled = named.join(words, "host").select("host", "html", "words")
+    found = stage(labelled.mapInArrow(_read, "host string, wrapper string"), "wrappers")
     while True:
         counts = found.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
         most = counts.agg(F.max("n")).first()[0]
@@ -405,7 +512,10 @@ def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
 
 def _ruled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        made = [json.dumps(rules(json.loads(w))) for w in batch.column(1).to_pylist()]
+        made = []
+        for wrapper, words in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            rule = rules(json.loads(wrapper))
+            made.append(json.dumps(rule | {"words": None if words is None else words.split()}))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], ["host", "rule"])
 
 
@@ -417,7 +527,9 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if rule not in known:
                 if len(known) >= HELD:
                     known.clear()
-                known[rule] = json.loads(rule)
+                known[rule] = made = json.loads(rule)
+                if made["words"] is not None:
+                    made["words"] = set(made["words"])
             texts.append(extract(page.as_py() or "", known[rule]))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"]
@@ -426,7 +538,10 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text) of every page."""
-    rule = stage(infer(pages, url_col, html_col).mapInArrow(_ruled, "host string, rule string"), "rules")
+    read = pages.select(host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
+    words = shared_words(read)
+    wrappers = _inferred(read, words).join(words, "host").select("host", "wrapper", "words")
+    rule = stage(wrappers.mapInArrow(_ruled, "host string, rule string"), "rules")
     named = pages.select(
         F.col(id_col).cast("long").alias("page_id"),
         F.col(url_col).alias("url"),

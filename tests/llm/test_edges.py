@@ -341,3 +341,35 @@ def test_wrappers(spark):
     assert texts[10] == texts[11] == "" and texts[12] == "only this" and texts[13] == "other kind"
     assert len(found) == len(rows)
     assert wrappers.main_text(pages.limit(0)).count() == 0
+
+
+def test_wrappers_have_the_size_of_the_template(spark):
+    """Ids and classes made of page words do not make the wrapper of a host grow."""
+    def name(i, k):
+        return "".join("abcdefghij"[int(c)] for c in f"{i:04}{k:02}")
+
+    def page(i):
+        parts = "".join(f"<h2 id={name(i, k)}>Head {i}.{k}</h2><p>Text {i}.{k}</p>" for k in range(12))
+        return f"<html><body><nav>Menu</nav><article class='post {name(i, 99)}'>{parts}</article></body></html>"
+
+    def sizes(n):
+        rows = [(i, "http://a.example/x", page(i)) for i in range(n)]
+        pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(8)
+        if n == 240:
+            texts = {r.page_id: r.text for r in wrappers.main_text(pages).collect()}
+            assert all(texts[i] == " ".join(f"Head {i}.{k} Text {i}.{k}" for k in range(12)) for i in range(n))
+        return max(len(r.wrapper) for r in wrappers.infer(pages).collect())
+
+    assert sizes(240) <= 1.5 * sizes(60)
+
+
+def test_wrappers_are_bounded():
+    """Many labels on few pages each fold into slots with all of their characters."""
+    whole = wrappers.bounded(wrappers.pattern(wrappers.parse("<article><h1>Title</h1></article>")))
+    for i in range(40):
+        row = "".join(f"<x{i}-{k}>text</x{i}-{k}>" for k in range(100))
+        made = wrappers.pattern(wrappers.parse(f"<article><h1>Title {i}</h1>{row}</article>"))
+        whole = wrappers.bounded(wrappers.align(whole, made))
+    assert len(wrappers.json.dumps(whole)) < 100 * wrappers.WIDTH
+    assert wrappers._varying(whole, 41) >= 40 * 400
+    assert wrappers.rules(whole)["main"] == ["article"]
