@@ -14,7 +14,11 @@ Every pattern counts the pages and characters that it has taken in, so the wrapp
 says where a host's varying text is.  The main part is the article (or main) element that
 holds most of it, else the innermost container that does; menus, headers, footers,
 sidebars, notices, adverts, forms and reader comments are left out by their elements,
-roles, classes and ids, and outside an article lists of links, too.
+roles, classes and ids, and outside an article lists of links, too.  Inside an article
+(or main) element that is the main part only elements, roles, and classes and ids of block
+containers that are such words as a whole count, and the host has to have them on more
+pages than one (a host of one page: its classes); headings, paragraphs and inline elements
+stay, whatever their ids say, and so does the text of formulas.
 
 A first pass counts by host the pages that have each word of classes, ids and roles;
 labels keep words on one page in ``SHARED`` at least (and those that say what is left
@@ -63,11 +67,13 @@ COUNTS = 200_000
 
 # Elements of HTML by how they are parsed and laid out.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript template iframe svg math object select".split())
+RAW = set("script style textarea title noscript template iframe svg object select annotation annotation-xml".split())
 INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s "
-    "samp small span strike strong sub sup time tt u var wbr img".split()
+    "samp small span strike strong sub sup time tt u var wbr img math semantics mrow mi mo mn ms mtext mspace "
+    "msub msup msubsup mfrac msqrt mroot mover munder munderover mstyle mpadded mphantom menclose".split()
 )
+SEMANTIC = ("article", "main")
 CONTAINERS = set("html body div section main article center table tbody tr td span".split())
 #: What a start tag closes, and what stops the search for it.
 CLOSES = {
@@ -91,22 +97,27 @@ LEFT_OUT_WORDS = set(
     "share sharing social related recommended recommendations widget widgets pagination pager copyright "
     "contentinfo complementary skip".split()
 )
+#: Containers that classes and ids can leave out inside an article, and the words that
+#: may stand beside one of the words above in a class or id ("comments-area").
+BLOCKS = set("article div section ul ol dl table center details figure".split())
+BESIDE = set("area bar block box buttons container form icons links list articles posts site wrapper".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _START = re.compile(r"<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
+_ANY_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _PARTS = re.compile(r"[a-z]+")
 
 
 class Node:
-    """An element (label, children: nodes and texts)."""
+    """An element (label, attributes as they stand, children: nodes and texts)."""
 
-    __slots__ = ("tag", "label", "children")
+    __slots__ = ("tag", "label", "attributes", "children")
 
-    def __init__(self, tag: str, label: str) -> None:
-        self.tag, self.label, self.children = tag, label, []
+    def __init__(self, tag: str, label: str, attributes: str = "") -> None:
+        self.tag, self.label, self.attributes, self.children = tag, label, attributes, []
 
 
 def _words(attributes: str) -> list[str]:
@@ -166,7 +177,7 @@ def parse(page: str, kept: set[str] | None = None) -> Node:
             _close(stack, {"p"}, BOUNDS)
         if tag in CLOSES:
             _close(stack, *CLOSES[tag])
-        node = Node(tag, _label(tag, attributes, kept))
+        node = Node(tag, _label(tag, attributes, kept), attributes)
         stack[-1].children.append(node)
         if tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
@@ -301,15 +312,44 @@ def left_out(label: str) -> bool:
     return tag in LEFT_OUT or "hidden" in words or any(w in LEFT_OUT_WORDS for w in words)
 
 
-def _varying(item: list, pages: int) -> int:
+def left_out_inside(node: Node, rule: dict) -> bool:
+    """Is an element inside an article not main text?"""
+    if node.tag in LEFT_OUT:
+        return True
+    for name, value in _ANY_ATTRIBUTE.findall(node.attributes):
+        name = name.lower()
+        if name == "hidden":
+            return True
+        if node.tag not in BLOCKS or name not in ("class", "id", "role"):
+            continue
+        if name == "id" and node.tag == "section":  # made of its heading
+            continue
+        for token in value.strip("\"'").lower().split():
+            words = _PARTS.findall(token)
+            said = [w for w in words if w in LEFT_OUT_WORDS]
+            if not said or any(w not in LEFT_OUT_WORDS and w not in BESIDE for w in words):
+                continue
+            if name == "role" or (name == "class" and rule.get("pages", 1) < 2):
+                return True
+            if all(f"{node.tag}.{w}" in rule.get("sure", ()) for w in said):
+                return True
+    return False
+
+
+def _varying(item: list, pages: int, inside: bool = False) -> int:
     """Characters in slots; template text counts only where there is but one page."""
     if item[0] == "#":
         return item[4] - item[5] if item[6] is None or pages < 2 else 0
-    return 0 if left_out(item[0]) else sum(_varying(c, pages) for c in item[6])
+    tag = item[0].split(".")[0]
+    if tag in LEFT_OUT if inside else left_out(item[0]):
+        return 0
+    inside = inside or tag in SEMANTIC
+    return sum(_varying(c, pages, inside) for c in item[6])
 
 
 def rules(wrapper: list) -> dict:
-    """{"main": paths of the main parts, "out": paths to leave out inside them}."""
+    """{"main": paths of the main parts, "out": paths to leave out inside them, "article":
+    are they article (or main) elements, "pages": pages of the host}."""
     pages = wrapper[3]
     total = _varying(wrapper, pages)
     if not total:  # equal pages only: all is template
@@ -326,7 +366,7 @@ def rules(wrapper: list) -> dict:
         for child in item[6]:
             semantic(child, here, tags)
 
-    for tags in (("article",), ("main",)):
+    for tags in [(tag,) for tag in SEMANTIC]:
         for child in wrapper[6]:
             semantic(child, (), tags)
         if sum(_varying(x, pages) for _, x in chosen) >= MOST * total / 2 and chosen:
@@ -352,14 +392,20 @@ def rules(wrapper: list) -> dict:
                 continue
             here = (*path, child[0])
             listed = child[2] and child[4] and child[5] > 0.8 * child[4] and child[0].split(".")[0] not in INLINE
-            if left_out(child[0]) or (listed and not semantic_main):
+            if left_out(child[0]) or listed:
                 out.append("/".join(here))
             else:
                 leave(child, here)
 
-    for path, item in chosen:
-        leave(item, path)
-    return {"main": ["/".join(p) for p, _ in chosen], "out": sorted(set(out))}
+    if not semantic_main:
+        for path, item in chosen:
+            leave(item, path)
+    return {
+        "main": ["/".join(p) for p, _ in chosen],
+        "out": sorted(set(out)),
+        "article": semantic_main,
+        "pages": wrapper[3],
+    }
 
 
 def extract(page: str, rule: dict) -> str:
@@ -368,7 +414,8 @@ def extract(page: str, rule: dict) -> str:
     tree = parse(page, rule.get("words"))
     text = _cut(tree, rule)
     if text is None:
-        text = _cut(tree, rules(pattern(tree)))
+        of_host = {k: rule[k] for k in ("pages", "sure") if k in rule}
+        text = _cut(tree, rules(pattern(tree)) | of_host)
     return text or ""
 
 
@@ -376,6 +423,7 @@ def _cut(tree: Node, rule: dict) -> str | None:
     main, out = set(rule["main"]), set(rule["out"])
     blocks: list[list[str]] = [[]]
     met = "" in main
+    article = rule.get("article", False)
 
     def walk(node: Node, path: str, inside: bool) -> None:
         nonlocal met
@@ -388,7 +436,8 @@ def _cut(tree: Node, rule: dict) -> str | None:
             breaks = child.tag not in INLINE
             if breaks:
                 blocks.append([])
-            if here not in out and not left_out(child.label):
+            left = left_out_inside(child, rule) if inside and article else here in out or left_out(child.label)
+            if not left:
                 met = met or here in main
                 walk(child, here, inside or here in main)
                 if breaks:
@@ -434,21 +483,26 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shared_words(named: DataFrame) -> DataFrame:
-    """(host, words: "tag.word" that labels keep, between blanks; null for all)."""
+    """(host, words: "tag.word" that labels keep, between blanks; null for all; sure: those
+    on two pages or more that say what is left out)."""
     counts = stage(
         named.mapInArrow(_counted, "host string, word string, n long").groupBy("host", "word").agg(F.sum("n").alias("n")),
         "word-counts",
     )
     pages = counts.filter("word = ''").select("host", F.col("n").alias("pages"))
+    says = F.substring_index("word", ".", -1).isin(sorted(LEFT_OUT_WORDS))
     shared = (
         counts.filter("word <> '' and n > 1")
         .join(pages, "host")
         .filter(F.col("n") * SHARED >= F.col("pages"))
         .groupBy("host")
-        .agg(F.array_join(F.array_sort(F.collect_list("word")), " ").alias("words"))
+        .agg(
+            F.array_join(F.array_sort(F.collect_list("word")), " ").alias("words"),
+            F.array_join(F.array_sort(F.collect_list(F.when(says, F.col("word")))), " ").alias("sure"),
+        )
     )
     words = F.when(F.col("pages") > SHARED, F.coalesce("words", F.lit("")))
-    return stage(pages.join(shared, "host", "left").select("host", words.alias("words")), "words")
+    return stage(pages.join(shared, "host", "left").select("host", words.alias("words"), "sure"), "words")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -513,9 +567,9 @@ def _inferred(named: DataFrame, words: DataFrame) -> DataFrame:
 def _ruled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         made = []
-        for wrapper, words in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            rule = rules(json.loads(wrapper))
-            made.append(json.dumps(rule | {"words": None if words is None else words.split()}))
+        for wrapper, words, sure in zip(*[batch.column(k).to_pylist() for k in (1, 2, 3)], strict=True):
+            of_host = {"words": None if words is None else words.split(), "sure": (sure or "").split()}
+            made.append(json.dumps(rules(json.loads(wrapper)) | of_host))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], ["host", "rule"])
 
 
@@ -530,6 +584,7 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 known[rule] = made = json.loads(rule)
                 if made["words"] is not None:
                     made["words"] = set(made["words"])
+                made["sure"] = set(made["sure"])
             texts.append(extract(page.as_py() or "", known[rule]))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"]
@@ -540,7 +595,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """(page_id, url, text) of every page."""
     read = pages.select(host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
     words = shared_words(read)
-    wrappers = _inferred(read, words).join(words, "host").select("host", "wrapper", "words")
+    wrappers = _inferred(read, words).join(words, "host").select("host", "wrapper", "words", "sure")
     rule = stage(wrappers.mapInArrow(_ruled, "host string, rule string"), "rules")
     named = pages.select(
         F.col(id_col).cast("long").alias("page_id"),

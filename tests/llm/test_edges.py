@@ -373,3 +373,24 @@ def test_wrappers_are_bounded():
     assert len(wrappers.json.dumps(whole)) < 100 * wrappers.WIDTH
     assert wrappers._varying(whole, 41) >= 40 * 400
     assert wrappers.rules(whole)["main"] == ["article"]
+
+
+def test_wrappers_keep_what_is_inside_articles(spark):
+    """Ids of headings, sections and inline elements leave nothing out; containers do."""
+    def page(i):
+        return f"""<body><nav>Menu</nav><article class="post"><h1 id="notice-period">Title {i}</h1>
+        <h2 id="related-work">Related {i}</h2><p id="search">Search {i} <span id="share">one</span></p>
+        <section id="discussion"><h3 id="social-impact">Impact {i}</h3><p>Long text {i}</p></section>
+        <p aria-hidden="false">Sum <math><mi>x</mi><mo>=</mo><mn>{i}</mn></math> ends</p>
+        <div id="comments"><p>I disagree {i}</p></div><div class="share-buttons wide">Send {i}</div><aside>Aside</aside>
+        <div role="navigation">Next</div></article></body>"""
+
+    rows = [(i, "http://a.example/x", page(i)) for i in range(1, 6)]
+    rows.append((9, "http://b.example/x", "<article><p>Only one</p><div class=comments>No</div><div id=widget>Yes</div></article>"))
+    found = wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    texts = {r.page_id: r.text for r in found.collect()}
+    for i in range(1, 6):
+        assert texts[i] == (
+            f"Title {i} Related {i} Search {i} one Impact {i} Long text {i} Sum x={i} ends"
+        )
+    assert texts[9] == "Only one Yes"
