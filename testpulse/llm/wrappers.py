@@ -33,7 +33,9 @@ pages costs no task more than others.  Pages are read a second time to be cut by
 host's rules, a few paths each, joined by host.
 
 Defined results: a null page is an empty one and gives an empty text; pages without a url
-are one host; unclosed and misnested elements are closed where browsers would; equal
+are one host; unclosed and misnested elements are closed where browsers would; elements
+nested deeper than ``DEPTH`` give their text, in its order, to the element around them
+(what is left out stays so, and articles stay apart for ``DEPTH // 3`` more); equal
 pages give equal rows; an empty table gives an empty result.  Columns other than page_id,
 url and html are not read.
 """
@@ -54,6 +56,8 @@ from testpulse.session import stage
 
 PERIOD = 4
 FAN_IN = 32
+#: Levels of elements that a tree has; browsers stop at 512.
+DEPTH = 150
 #: Share of the varying text that the main part holds.
 MOST = 0.8
 #: Hosts whose wrappers a map task holds before it passes them on.
@@ -112,12 +116,16 @@ _PARTS = re.compile(r"[a-z]+")
 
 
 class Node:
-    """An element (label, attributes as they stand, children: nodes and texts)."""
+    """An element (label, attributes as they stand, children: nodes and texts).
 
-    __slots__ = ("tag", "label", "attributes", "children")
+    ``flat``: its children are those of the element around it; ``shut``: deeper than
+    ``DEPTH`` and left out."""
+
+    __slots__ = ("tag", "label", "attributes", "children", "depth", "flat", "shut")
 
     def __init__(self, tag: str, label: str, attributes: str = "") -> None:
         self.tag, self.label, self.attributes, self.children = tag, label, attributes, []
+        self.depth, self.flat, self.shut = 0, False, False
 
 
 def _words(attributes: str) -> list[str]:
@@ -150,6 +158,7 @@ def parse(page: str, kept: set[str] | None = None) -> Node:
     Labels have all words, or only those in ``kept`` and those of what is left out."""
     root = Node("", "")
     stack = [root]
+    opened: dict[str, int] = {}  # elements on the stack by tag
     end = len(page)
     at = 0
     while at < end:
@@ -166,31 +175,64 @@ def parse(page: str, kept: set[str] | None = None) -> Node:
             continue
         tag = tag.lower()
         if closing:
+            if not opened.get(tag):
+                continue
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag == tag:
-                    del stack[depth:]
+                    _cut_off(stack, depth, opened)
                     break
                 if stack[depth].tag in BOUNDS and (tag in INLINE or tag == "p"):
                     break
             continue
         if tag not in INLINE and tag not in VOID:
-            _close(stack, {"p"}, BOUNDS)
+            _close(stack, {"p"}, BOUNDS, opened)
         if tag in CLOSES:
-            _close(stack, *CLOSES[tag])
+            _close(stack, *CLOSES[tag], opened)
         node = Node(tag, _label(tag, attributes, kept), attributes)
-        stack[-1].children.append(node)
+        _attach(stack[-1], node)
         if tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
             at = stop.end() if stop else end
         elif tag not in VOID and not attributes.endswith("/"):
             stack.append(node)
+            opened[tag] = opened.get(tag, 0) + 1
     return root
 
 
-def _close(stack: list[Node], tags: set[str], bounds: set[str]) -> None:
+def _attach(around: Node, node: Node) -> None:
+    node.depth = around.depth + 1
+    if node.depth > DEPTH:
+        out = left_out(node.label)
+        if around.shut or not (out or (node.tag in SEMANTIC and node.depth <= DEPTH + DEPTH // 3)):
+            node.flat = True
+            node.children, node.depth, node.shut = around.children, around.depth, around.shut
+            _break(node)
+            return
+        node.shut = out
+    around.children.append(node)
+
+
+def _break(node: Node) -> None:
+    """The text before and after the edge of a flat block is apart."""
+    if node.tag not in INLINE:
+        node.children.append(Node("br", "br"))
+
+
+def _cut_off(stack: list[Node], depth: int, opened: dict[str, int]) -> None:
+    """The elements of a stack from a depth on are closed."""
+    for node in stack[depth:]:
+        opened[node.tag] -= 1
+        if node.flat:
+            _break(node)
+    del stack[depth:]
+
+
+def _close(stack: list[Node], tags: set[str], bounds: set[str], opened: dict[str, int]) -> None:
+    if not any(opened.get(tag) for tag in tags):
+        return
     for depth in range(len(stack) - 1, 0, -1):
         if stack[depth].tag in tags:
-            del stack[depth:]
+            _cut_off(stack, depth, opened)
             return
         if stack[depth].tag in bounds:
             return

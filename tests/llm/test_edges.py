@@ -394,3 +394,30 @@ def test_wrappers_keep_what_is_inside_articles(spark):
             f"Title {i} Related {i} Search {i} one Impact {i} Long text {i} Sum x={i} ends"
         )
     assert texts[9] == "Only one Yes"
+
+
+@pytest.mark.parametrize("tag", ["font", "span", "div", "section", "article", "aside", "x-y"])
+def test_wrappers_of_deep_pages(tag):
+    """Text of any depth stays in its order; what is left out stays out."""
+    n = 5000
+    for close in ("", f"</{tag}>"):
+        inner = "".join(f"<{tag}>w{k} " for k in range(n)) + "<nav><ul><li>Menu</ul></nav><p>Deep</p>"
+        inner += "".join(f"{close} v{k}" for k in range(n))
+        page = f"<html><body><article><p>First</p>{inner}</article></body></html>"
+        tree = wrappers.parse(page)
+        whole = wrappers.align(wrappers.pattern(tree), wrappers.pattern(wrappers.parse(page)))
+        rule = wrappers.rules(wrappers.json.loads(wrappers.json.dumps(wrappers.bounded(whole))))
+        said = wrappers.extract(page, rule).split()
+        wanted = ["First", *[f"w{k}" for k in range(n)], "Deep", *[f"v{k}" for k in range(n)]]
+        if tag == "aside":
+            assert said[0] == "First" and "Menu" not in said
+        else:
+            assert said == wanted, (close, len(said))
+
+
+def test_wrappers_of_a_host_with_a_deep_page(spark):
+    rows = [(i, "http://a.example", f"<body><article><p>Text {i}</p></article>") for i in range(4)]
+    rows.append((9, "http://a.example", "<body><article>" + "<font><div>deep " * 3000))
+    found = wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    texts = {r.page_id: r.text for r in found.collect()}
+    assert texts[2] == "Text 2" and texts[9] == " ".join(["deep"] * 3000)
