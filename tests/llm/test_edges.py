@@ -8,6 +8,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from testpulse.llm import (
     bpe, chat, linededup, neighbours, packing, quality, sharding, simhash, toxicity, wrappers,
@@ -249,6 +250,20 @@ def test_packing_encodes_like_the_tokenizer():
         assert list(encoder.encode(text)) == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_packing_encodes_special_tokens_like_the_file(spark):
+    path = public_tokenizers.path(packing.TOKENIZER_FILE)
+    tokenizer = Tokenizer.from_file(path)
+    token = "<|endoftext|>"
+    texts = [token, f"one{token}two", f"one {token} two", token * 3, f"\u4e2d{token}", "<|endoftext |>", f"a {token * 1500}"]
+    rows = packing.pieces(spark.createDataFrame(list(enumerate(texts)), SCHEMA), path, with_ids=True).collect()
+    for i, text in enumerate(texts):
+        wanted = tokenizer.encode(text, add_special_tokens=False).ids
+        assert packing.Encoder(path).encode(text) == wanted
+        found = sorted((r.piece, r.start, r.length, r.ids) for r in rows if r.doc_id == i)
+        assert [k for _, _, _, ids in found for k in ids] == [*wanted, packing.END_ID]
+    assert 50256 in tokenizer.encode(texts[1], add_special_tokens=False).ids
+
+
 def test_bpe(spark, docs, none):
     path = public_tokenizers.path(bpe.RANKS_FILE)
     assert bpe.digests(none, path).count() == 0
