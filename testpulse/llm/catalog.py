@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from testpulse.llm import bpe, chat, linededup, neighbours, packing, quality, sharding, simhash, toxicity, wrappers
+from testpulse.llm import (
+    bpe, chat, decontamination, linededup, neighbours, packing, quality, resampling, sharding, simhash,
+    toxicity, whitening, wrappers,
+)
 
 QUERIES = {
     "op1_neighbours": (neighbours.op1_neighbours, None),
@@ -16,5 +19,8 @@ QUERIES = {
     "op8_sharding": (sharding.op8_sharding, None),
     "op9_line_dedup": (linededup.op9_line_dedup, None),
     "op10_byte_bpe": (bpe.op10_byte_bpe, None),
+    "op11_resampling": (resampling.op11_resampling, resampling.sql()),
+    "op12_decontamination": (decontamination.op12_decontamination, decontamination.sql()),
+    "op13_whitening": (whitening.op13_whitening, None),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
