@@ -23,7 +23,6 @@ columns are not read, whatever their names.
 from __future__ import annotations
 
 import bisect
-import functools
 import re
 import zlib
 from collections import Counter
@@ -92,11 +91,6 @@ class Encoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
 
-@functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
-
-
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     """(start, length) of the pieces of ``n`` ids; only the first may be shorter."""
     first = n % capacity or min(n, capacity)
@@ -115,7 +109,7 @@ def pieces(
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path)
+        coder = Encoder(path)  # gone when the task ends: workers are used again
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):

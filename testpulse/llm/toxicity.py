@@ -13,12 +13,15 @@ length-normalised figures: the mean evidence a word, and that of its strongest w
 same at the length of one), as few words make a long text toxic.  A logistic
 function of both, fitted on labelled rows that the models have not seen, is the score.
 
-Spark does the counting: words of all documents, then n-grams of the distinct words,
-continuation counts and probabilities order by order as joins.  Scoring is map-only.
+Spark's own functions do the counting: words of all documents, then n-grams of the
+distinct words, continuation counts and probabilities order by order as joins.  Scoring is
+map-only.  The tasks get the evidence of every n-gram that the labelled sample holds; no
+other has any of its own.
 
 Bounds, as parameters: at most ``SAMPLE`` labelled rows a class and fold are learned from
-(those of the least hash), and at most ``GRAMS`` n-grams are sent to the tasks (of more, the
-rarest back off).  Everything counted over the corpus covers all of it.
+(those of the least hash), and of them as many as have ``SAMPLE_CHARS`` characters together
+(in that order; the first always).  So what is sent to the tasks depends on the
+sample, not on the corpus.  Everything counted over the corpus covers all of it.
 
 Defined results: a null text is an empty one; a text without words has evidence 0; rows
 without an id, or with an id that has no label, are scored like any other; of several
@@ -31,13 +34,12 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from testpulse.llm.columns import table
@@ -46,7 +48,7 @@ from testpulse.session import stage
 ORDER = 5
 DISCOUNT = 0.75
 SAMPLE = 20_000
-GRAMS = 1_000_000
+SAMPLE_CHARS = 50_000_000
 THRESHOLD = 0.3
 HELD_OUT = 2
 #: Remainders of crc32(id) mod 4 that the language models and the logistic function learn from.
@@ -54,18 +56,24 @@ MODEL_FOLDS = (0, 1)
 FIT_FOLD = 3
 #: Kinds of learnable texts: ordinary and toxic ones of the model folds, and of the fit fold.
 KINDS = ("n0", "n1", "m0", "m1")
-#: Distinct words (or n-grams) that a task gathers before it passes them on.
-GATHERED = 200_000
+#: Words whose evidence a task remembers, if they are not longer than that.
+REMEMBERED = 100_000
+#: Characters of a word whose n-grams are listed at once.
+PIECE = 256
 LONGEST_REMEMBERED = 64
 
+#: Letters, numbers and underscores, as Python's and as Java's patterns write them.
 _WORD = re.compile(r"\w+")
+_JAVA_WORD = r"[\p{L}\p{N}_]+"
 
 
 def fold(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 4
 
 
-def learnable(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def learnable(
+    named: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS
+) -> DataFrame:
     """(_id, _toxic, _fold): a bounded sample of the labelled rows not held out."""
     known = (
         labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)")
@@ -77,63 +85,61 @@ def learnable(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
         known.filter((F.col("_toxic") == toxic) & F.col("_fold").isin(*folds))
         .orderBy(F.xxhash64("_id"), "_id")
         .limit(sample)
+        .withColumn("_part", F.lit(2 * toxic + len(folds)))
         for toxic in (0, 1)
         for folds in (MODEL_FOLDS, (FIT_FOLD,))
     ]
-    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
-
-
-def _flushed(counts: dict, names: list[str]) -> pa.RecordBatch:
-    keys = list(counts)
-    columns = [pa.array([counts[k][i] for k in keys], pa.int64()) for i in range(len(names) - 1)]
-    batch = pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *columns], names)
-    counts.clear()
-    return batch
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words of (text, kind or null): occurrences in texts of each kind, 0 for words that
-    occur in others only."""
-    counts: list[Counter] = [Counter() for _ in KINDS]
-    every: set[str] = set()
-
-    def flushed() -> pa.RecordBatch:
-        words = list(every)
-        columns = [pa.array([c[w] for w in words], pa.int64()) for c in counts]
-        for c in counts:
-            c.clear()
-        every.clear()
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *columns], ["word", *KINDS])
-
-    for batch in batches:
-        for text, kind in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            words = _WORD.findall((text.as_py() or "").lower())
-            every.update(words)
-            if kind is not None:
-                counts[kind].update(words)
-            if len(every) > GATHERED:
-                yield flushed()
-    yield flushed()
-
-
-def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All n-grams of words, with class counts for those of full context."""
-    names = ["gram", *KINDS]
-    counts: dict[str, list[int]] = defaultdict(lambda: [0] * len(KINDS))
-    for batch in batches:
-        columns = (batch.column(i).to_pylist() for i in range(len(names)))
-        for word, *found in zip(*columns, strict=True):
-            marked = f"^{word}$"
-            for end in range(2, len(marked) + 1):
-                first = max(0, end - ORDER)
-                for start in range(first, end):
-                    row = counts[marked[start:end]]
-                    if start == first:
-                        for i, n in enumerate(found):
-                            row[i] += n
-            if len(counts) > GATHERED:
-                yield _flushed(counts, names)
-    yield _flushed(counts, names)
+    drawn = stage(parts[0].union(parts[1]).union(parts[2]).union(parts[3]), "drawn-labels")  # 4 x sample rows
+    sizes = (
+        named.join(F.broadcast(drawn.select("_id", "_part")), "_id")
+        .groupBy("_id", "_part")
+        .agg(F.sum(F.coalesce(F.length("_text"), F.lit(0))).alias("_chars"))
+    )
+    before = Window.partitionBy("_part").orderBy(F.xxhash64("_id"), "_id").rowsBetween(Window.unboundedPreceding, -1)
+    sized = sizes.withColumn("_before", F.coalesce(F.sum("_chars").over(before), F.lit(0)))
+    fits = (F.col("_before") == 0) | (F.col("_before") + F.col("_chars") <= chars)
+    return drawn.drop("_part").join(sized.filter(fits).select("_id"), "_id", "left_semi")
+
+
+def count_words(classed: DataFrame) -> DataFrame:
+    """(word, n0, n1, m0, m1): occurrences of every word of (_text, _kind) in texts of each
+    kind; 0 for words that occur in texts without a kind only."""
+    found = classed.select("_kind", F.explode(F.regexp_extract_all(F.lower("_text"), F.lit(_JAVA_WORD), F.lit(0))).alias("word"))
+    # Words of the many unlabelled texts are only told apart, not counted.
+    return found.groupBy("word").agg(
+        *[F.count_if(F.col("_kind") == i).alias(k) for i, k in enumerate(KINDS)]
+    )
+
+
+def count_grams(words: DataFrame) -> DataFrame:
+    """(gram, n0, n1, m0, m1): all n-grams of words, with class counts for those of full context.
+
+    A word is cut into pieces of ``PIECE`` characters, with the context of the first before them,
+    so that a very long one is never a list of all its n-grams."""
+    marked = F.concat(F.lit("^"), "word", F.lit("$"))
+
+    def piece(start: Column) -> Column:
+        context = F.least(start, F.lit(ORDER - 1))
+        text = F.substring(F.col("_marked"), start - context + 1, context + PIECE)
+        return F.struct(text.alias("_piece"), F.greatest(context + 1, F.lit(2)).alias("_from"))
+
+    def at(end: Column) -> Column:
+        first = F.greatest(F.lit(1), end - (ORDER - 1))
+        return F.transform(
+            F.sequence(first, end),
+            lambda start: F.struct(
+                F.substring(F.col("_piece"), start, end - start + 1).alias("gram"), (start == first).alias("full")
+            ),
+        )
+
+    starts = F.sequence(F.lit(0), F.length("_marked") - 1, F.lit(PIECE))
+    cut = words.withColumn("_marked", marked).select(*KINDS, F.inline(F.transform(starts, piece)))
+    ends = F.sequence(F.col("_from"), F.length("_piece"))
+    return (
+        cut.select(*KINDS, F.inline(F.flatten(F.transform(ends, at))))
+        .groupBy("gram")
+        .agg(*[F.sum(F.when(F.col("full"), F.col(k)).otherwise(0)).alias(k) for k in KINDS])
+    )
 
 
 def _shared(grams: DataFrame) -> DataFrame:
@@ -174,17 +180,12 @@ def _shared(grams: DataFrame) -> DataFrame:
     return every
 
 
-def evidence(grams: DataFrame, shared: DataFrame, limit: int = GRAMS) -> dict[str, float]:
+def evidence(grams: DataFrame, shared: DataFrame) -> dict[str, float]:
     """Log-likelihood differences of n-grams (key: the n-gram) and of characters that
-    are new to a context (key: a blank and the context), from the counts n0 and n1."""
+    are new to a context (key: a blank and the context), from the counts n0 and n1.
+
+    A row for each n-gram and context of the labelled sample: its size is the sample's."""
     seen = grams.filter("n0 + n1 > 0")
-    often = seen.groupBy((F.col("n0") + F.col("n1")).alias("c")).agg(F.count(F.lit(1)).alias("k"))
-    kept, least = 0, 1
-    if seen.count() > limit:
-        for row in often.orderBy(F.desc("c")).toLocalIterator():
-            kept, least = kept + row["k"], row["c"] + 1
-            if kept > limit:
-                break
     context = F.expr("left(gram, length(gram) - 1)").alias("context")
     totals = seen.groupBy(context).agg(
         *[F.sum(f"n{c}").alias(f"t{c}") for c in (0, 1)],
@@ -201,17 +202,16 @@ def evidence(grams: DataFrame, shared: DataFrame, limit: int = GRAMS) -> dict[st
 
     shared = shared.withColumnRenamed("rest", "_rest")
     known = (
-        seen.filter(F.col("n0") + F.col("n1") >= least)
-        .withColumn("context", context)
+        seen.withColumn("context", context)
         .withColumn("_rest", F.expr("substring(gram, 2)"))
         .join(shared, "_rest")
         .join(totals, "context")
         .select(F.col("gram").alias("key"), F.log(likely(1) / likely(0)).alias("value"))
     )
-    new = totals.filter(F.col("t0") + F.col("t1") >= least).select(
+    new = totals.select(
         F.concat(F.lit(" "), "context").alias("key"), F.log(off(1) / off(0)).alias("value")
     )
-    rows = known.union(new).toArrow()  # at most 2 x limit rows
+    rows = known.union(new).toArrow()
     return dict(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True))
 
 
@@ -231,7 +231,7 @@ class Scorer:
                 value = values.get(gram)
                 known += values.get(" " + gram[:-1], 0.0) if value is None else value
             if len(word) <= LONGEST_REMEMBERED:
-                if len(self.words) >= GATHERED:
+                if len(self.words) >= REMEMBERED:
                     self.words.clear()
                 self.words[word] = known
         return known
@@ -267,21 +267,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     returned are of models that have learned from it, too.
     """
     spark = docs.sparkSession
-    sample = stage(learnable(labels), "learnable")  # at most 4 x SAMPLE narrow rows
     named = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    sample = stage(learnable(named, labels), "learnable")  # at most 4 x SAMPLE narrow rows
     kind = (F.col("_toxic") + 2 * (F.col("_fold") == FIT_FOLD).cast("int")).alias("_kind")
     classed = named.join(F.broadcast(sample.select("_id", kind)), "_id", "left")
-    counted = classed.select("_text", "_kind").mapInArrow(
-        _count_words, "word string, " + ", ".join(f"{k} long" for k in KINDS)
-    )
-    sums = [F.sum(k).alias(k) for k in KINDS]
-    words = stage(counted.groupBy("word").agg(*sums), "words")
-    grams = stage(
-        words.mapInArrow(_count_grams, "gram string, " + ", ".join(f"{k} long" for k in KINDS))
-        .groupBy("gram")
-        .agg(*sums),
-        "grams",
-    )
+    words = stage(count_words(classed), "words")
+    grams = stage(count_grams(words), "grams")
     shared = stage(_shared(grams), "shared")
     unseen = named.join(
         F.broadcast(sample.filter(F.col("_fold") == FIT_FOLD).select("_id", "_toxic")), "_id"
@@ -303,6 +294,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .mapInArrow(figures, "mean double, most double, toxic int")
         .toPandas()
     )
+    scorer.destroy()  # its tasks have ended
     toxic = judged["toxic"].to_numpy(dtype=float)
     whole = grams.select("gram", (F.col("n0") + F.col("m0")).alias("n0"), (F.col("n1") + F.col("m1")).alias("n1"))
     values = spark.sparkContext.broadcast(evidence(whole, shared))
@@ -319,8 +311,10 @@ def keep_ordinary(
     values, weights = learn(docs, labels, id_col, text_col)
 
     @F.pandas_udf("double")
-    def rated(texts: pd.Series) -> pd.Series:
-        return pd.Series(_rated(texts, Scorer(values.value), weights), dtype="float64")
+    def rated(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        judge = Scorer(values.value)  # once a task
+        for texts in batches:
+            yield pd.Series(_rated(texts, judge, weights), dtype="float64")
 
     return docs.filter(rated(F.col(text_col)) < THRESHOLD)
 
