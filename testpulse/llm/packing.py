@@ -5,8 +5,9 @@ asks for the least total of configurations that covers the histogram.  It is sol
 multiplicative weights: each length has a weight, a knapsack over token counts prices
 the configurations (dynamic programming), the best ones are used for a small part of
 all sequences, and the weights of the lengths that get ahead shrink.  The fractional
-amounts are rounded down; what they leave over is solved again while it is large, and
-at last packed piece by piece, each into the sequence where it leaves the least room.
+amounts are rounded down, what that leaves is solved again and at last rounded up, and the
+few pieces that fit into no full configuration any more go, one by one, where they leave
+the least room.
 
 The histogram has at most ``capacity`` rows, and the plan at most ``capacity x ROUNDS``
 configurations a pass (some thousands in practice), whatever the number of documents, so
@@ -48,8 +49,8 @@ TOKENIZER_FILE = "byte_bpe_50k.json"
 ROUNDS = 200
 RATE = 5.0
 AHEAD = 2
-#: Pieces that rounding may leave to be packed one by one.
-REST = 20_000
+#: Share of the pieces that rounding up leaves to best fit.
+TAIL = 0.08
 
 # Up to this length, texts of these characters are encoded by the byte-pair encoder with
 # the tokenizer file's own vocabulary, which gives the same ids (tested) in a quarter of
@@ -208,30 +209,6 @@ def fractional(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -
     return dict(amounts)
 
 
-def fill(left: Counter, capacity: int) -> Config:
-    """One sequence: the longest piece left, and the subset that fills it best."""
-    first = max(left)
-    used = Counter({first: 1})
-    room, steps, reach = capacity - first, [], 1
-    mask = (1 << (room + 1)) - 1
-    for length in sorted(left, reverse=True):
-        copies = min(left[length] - (length == first), room // length)
-        for _ in range(copies):
-            grown = (reach | reach << length) & mask
-            if grown == reach:
-                break
-            steps.append((length, reach))
-            reach = grown
-        if reach >> room & 1:
-            break
-    target = reach.bit_length() - 1
-    for length, before in reversed(steps):
-        if not before >> target & 1:
-            used[length] += 1
-            target -= length
-    return tuple(sorted(used.items(), reverse=True))
-
-
 def best_fit(left: Counter, capacity: int) -> Counter:
     """Configurations of best-fit decreasing, piece by piece."""
     rooms: list[int] = []  # distinct rooms, ascending
@@ -257,32 +234,53 @@ def best_fit(left: Counter, capacity: int) -> Counter:
     )
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> dict[Config, int]:
-    """Whole numbers of configurations that cover the histogram exactly."""
+def _largest_first(left: Counter, amounts: dict[Config, float], capacity: int, keep: int) -> Counter:
+    """Full configurations rounded up, those of the largest remainder first, until ``keep`` pieces
+    are left; taken out of ``left``."""
     chosen: Counter = Counter()
-    left = Counter({length: n for length, n in histogram.items() if n})
+    for config in sorted(amounts, key=lambda c: (-(amounts[c] % 1), c)):
+        full = sum(length * n for length, n in config) == capacity
+        if left.total() > keep and full and all(left[length] >= n for length, n in config):
+            chosen[config] += 1
+            _take(left, config, 1)
+    return chosen
 
-    def take(config: Config, often: int) -> None:
-        chosen[config] += often
-        for length, n in config:
-            left[length] -= often * n
-            if not left[length]:
-                del left[length]
 
+def _take(left: Counter, config: Config, often: int) -> None:
+    for length, n in config:
+        left[length] -= often * n
+        if not left[length]:
+            del left[length]
+
+
+def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> dict[Config, int]:
+    """Whole numbers of configurations that cover the histogram exactly.
+
+    The program is solved and rounded down, and what is left is solved again, as long as that
+    places a tenth of it.  The rest has some thousand pieces however many there are; its
+    configurations are rounded up, all but ``TAIL`` of the pieces, which best fit adds.  Where
+    best fit alone needs fewer sequences for the rest, it packs all of the rest.
+    """
+    chosen: Counter = Counter()
+    left = Counter({length: n for length, n in histogram.items() if n})
     if left.get(capacity):
-        take(((capacity, 1),), left[capacity])
-    before = None
-    while left and (before is None or REST < left.total() < before / 2):
+        chosen[((capacity, 1),)] = left.pop(capacity)
+    n_pieces = left.total()
+    while left:
         before = left.total()
-        for config, amount in fractional(dict(left), capacity).items():
+        amounts = fractional(dict(left), capacity, min(ROUNDS, max(16, before // 8)))
+        for config, amount in amounts.items():
             whole = min([int(amount + 1e-9), *(left[length] // n for length, n in config)])
             if whole:
-                take(config, whole)
-    while left.total() > REST:  # in bulk: each step uses up a length
-        config = fill(left, capacity)
-        take(config, min(left[length] // n for length, n in config))
-    for config, often in best_fit(left, capacity).items():
-        chosen[config] += often
+                chosen[config] += whole
+                _take(left, config, whole)
+        if before - left.total() < before / 10:
+            rest = Counter(left)
+            rounded = _largest_first(rest, amounts, capacity, int(n_pieces * TAIL))
+            rounded += best_fit(rest, capacity)
+            fitted = best_fit(left, capacity)
+            chosen += rounded if rounded.total() <= fitted.total() else fitted
+            break
     return dict(chosen)
 
 
