@@ -105,6 +105,7 @@ def points(vectors: DataFrame, id_col: str, vector_col: str, k: int = K) -> Data
         F.transform(vector, lambda v: F.when(v == 0, F.lit(0.0)).otherwise(v.cast("double"))).alias("vector"),
     )
     least = Window.partitionBy("vector").orderBy("id")
+    rows = rows.distinct()  # repeated rows go before any is ranked
     ranked = rows.withColumn("_rank", F.dense_rank().over(least)).filter(F.col("_rank") <= k + 1)
     return ranked.groupBy("vector").agg(
         F.array_sort(F.collect_set("id")).alias("ids"),
@@ -117,20 +118,44 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
 
 
-def _distances(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Squared distances, for choosing; those that are kept are computed anew."""
-    cross = queries @ rows.T
-    return (queries**2).sum(axis=1)[:, None] + (rows**2).sum(axis=1)[None, :] - 2 * cross
+def _distances(queries: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances, for choosing, in a unit of their own, and how far rounding can have
+    moved each.
+
+    Both sides are taken from a centre among them first and scaled by a power of two, so that
+    neither a common offset nor large components matter.  Those that are kept are computed
+    anew, see :func:`_exact`."""
+    if not len(queries) or not len(rows):
+        return np.zeros((len(queries), len(rows))), np.zeros((len(queries), len(rows)))
+    centre = rows[0]
+    reach = max(np.abs(queries / 2 - centre / 2).max(), np.abs(rows / 2 - centre / 2).max())
+    shrink = 2.0 ** -(np.frexp(reach)[1] + 1)
+    a = queries * shrink - centre * shrink
+    b = rows * shrink - centre * shrink
+    sizes = (a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1)[None, :]
+    return sizes - 2 * (a @ b.T), (4 * a.shape[1] + 16) * np.finfo(float).eps * sizes
+
+
+def _exact(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Distances of rows from a query, in double precision."""
+    apart = rows - query
+    most = np.abs(apart).max(axis=1, initial=0)
+    if most.size and (most.max() > 1e150 or (0 < most[most > 0].min(initial=1) < 1e-150)):
+        unit = np.where(most > 0, most, 1)
+        return np.sqrt(((apart / unit[:, None]) ** 2).sum(axis=1)) * unit
+    return np.sqrt((apart**2).sum(axis=1))
 
 
 def _spread(found: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Mean and deviation of the components, over all points."""
     sums = found.select(F.posexplode("vector").alias("i", "v")).groupBy("i").agg(
-        F.avg("v").alias("mean"), F.stddev_pop("v").alias("deviation")
+        F.avg("v").alias("mean"), F.stddev_pop("v").alias("deviation"), F.max(F.abs("v")).alias("most")
     )
     mean, deviation = np.zeros(width), np.ones(width)
     for r in sums.collect():  # one row a component
-        mean[r["i"]], deviation[r["i"]] = r["mean"], max(r["deviation"], 1e-9)
+        sound = np.isfinite(r["mean"]) and np.isfinite(r["deviation"])  # squares can be too large
+        mean[r["i"]] = r["mean"] if sound else 0.0
+        deviation[r["i"]] = max(r["deviation"] if sound else min(r["most"], 1e150), 1e-9)
     return mean, deviation
 
 
@@ -193,7 +218,8 @@ def window_for(found: DataFrame, rows: DataFrame, width: int, k: int, sample: in
         best_p = np.zeros((len(ids), 0), dtype=np.int64)
         for batch in batches:
             names = batch.column("point").to_numpy(zero_copy_only=False)
-            far = _distances(queries, _matrix(batch.column("vector"), width))
+            vectors = _matrix(batch.column("vector"), width)
+            far = np.stack([_exact(q, vectors) for q in queries])
             far[ids[:, None] == names[None, :]] = np.inf
             best_d = np.hstack([best_d, far])
             best_p = np.hstack([best_p, np.broadcast_to(names, far.shape)])
@@ -244,18 +270,21 @@ def _searched(k: int, width: int):
         everyone = _matrix(queries.column("vector").combine_chunks(), width)
         for at in range(0, queries.num_rows, 256):
             part = everyone[at : at + 256]
-            far = _distances(part, x)
+            far, error = _distances(part, x)
+            error[asked_curves[at : at + 256][:, None] != curves[None, :]] = 0
             far[asked_curves[at : at + 256][:, None] != curves[None, :]] = np.inf
             few = min(k + 1, x.shape[0])
             close = np.argpartition(far, few - 1, axis=1)[:, :few]
-            limit = np.take_along_axis(far, close, axis=1).max(axis=1)
+            limit = np.take_along_axis(far + error, close, axis=1).max(axis=1)
             for i in range(len(part)):
                 # All that rounding could have put behind the limit.
-                near = np.flatnonzero(far[i] <= limit[i] + 1e-9 * (1 + abs(limit[i])))
-                exact = np.sqrt(((x[near] - part[i]) ** 2).sum(axis=1))
+                near = np.flatnonzero((far[i] - error[i] <= limit[i]) & np.isfinite(far[i]))
+                exact = _exact(part[i], x[near])
                 q = queries.column("point")[at + i].as_py()
+                # What rounding let in goes again: nothing behind the few that are nearest.
+                last = np.sort(exact)[min(few, len(exact)) - 1] if len(exact) else 0.0
                 for j, d in zip(near.tolist(), exact.tolist(), strict=True):
-                    if np.isfinite(far[i][j]):
+                    if d <= last:
                         for name in names[j]:
                             out_q.append(q)
                             out_id.append(name)
