@@ -229,3 +229,50 @@ def report_files(spark, d):
     sinks.write_reports(documents, folder, "no-llm", "batch-0000-all")
     written = spark.read.text(f"{folder}/report=txt/provider=no-llm/batch=batch-0000-all")
     return written.select("repo", F.col("value").alias("line"))
+
+
+_FORMATS = f"""SELECT c.repo, real_bugs, flaky, infra, total_failures, table_lines, markdown_lines
+FROM (SELECT repo, count(*) FILTER (final_category = 'REAL_BUG') AS real_bugs,
+        count(*) FILTER (final_category = 'FLAKY') AS flaky,
+        count(*) FILTER (final_category = 'INFRA') AS infra,
+        CAST(sum(total_failures) AS BIGINT) AS total_failures FROM final GROUP BY repo) c
+JOIN (SELECT repo, count(*) AS table_lines FROM ({_TABLE}) t GROUP BY repo) USING (repo)
+JOIN (SELECT repo, count(*) AS markdown_lines FROM ({_MARKDOWN}) m GROUP BY repo) USING (repo)"""
+
+
+@query("report_formats", "SNK9 SNK3 SNK5",
+       sql_with(_FORMATS, archives=ARCHIVES_SQL, s=_SUMMARY, q=_QUALITY))
+def report_formats(spark, d):
+    """All three formats read back from their files; the JSON document is parsed as a whole."""
+    from testpulse.session import new_folder
+    from testpulse.sources import sinks
+
+    sigs, final, verdicts, quality, totals = tables_of(spark, d)
+    frame = P.report_frame(totals, quality)
+    folder = new_folder(spark, "reports")
+    sinks.write_reports({
+        "table": P.table_lines(frame, final, GENERATED),
+        "markdown": P.markdown_lines(frame, final, GENERATED),
+        "json": P.json_lines(frame, final, sigs, verdicts, GENERATED),
+    }, folder, "no-llm", "b")
+
+    def lines(extension, name):
+        read = spark.read.text(f"{folder}/report={extension}/provider=no-llm/batch=b")
+        return read.groupBy("repo").agg(F.count(F.lit(1)).alias(name))
+
+    files = spark.read.text(f"{folder}/report=json/provider=no-llm/batch=b", wholetext=True)
+    part = F.struct(F.col("_metadata.file_path").alias("path"), "value")
+    whole = files.groupBy("repo").agg(F.array_join(
+        F.transform(F.array_sort(F.collect_list(part)), lambda p: p["value"]), "").alias("document"))
+    test = "array<struct<test_name:string,final_category:string>>"
+    kind = (f"struct<summary:struct<total_failures:bigint>,real_bugs:{test},flaky_tests:{test},"
+            f"infra_issues:{test}>")
+    report = whole.select("repo", F.from_json("document", kind, {"mode": "FAILFAST"}).alias("r"))
+    return report.join(lines("txt", "table_lines"), "repo").join(lines("md", "markdown_lines"), "repo").select(
+        "repo",
+        F.size("r.real_bugs").cast("bigint").alias("real_bugs"),
+        F.size("r.flaky_tests").cast("bigint").alias("flaky"),
+        F.size("r.infra_issues").cast("bigint").alias("infra"),
+        F.col("r.summary.total_failures").alias("total_failures"),
+        "table_lines", "markdown_lines",
+    )

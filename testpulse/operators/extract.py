@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from testpulse.functions import fixed
@@ -298,16 +298,56 @@ def _block_bounds(events: DataFrame, wanted: DataFrame, lines: DataFrame) -> Dat
     """First and last line of each wanted block.
 
     ``wanted`` has one row per block (log, style, block_start).  Unique keys on
-    both sides of every join, so no log can pile up in one task.
+    both sides of every join, so no log can pile up in one task.  Only marks of logs with a
+    wanted block are looked at, and only logs whose last block is wanted are asked for
+    their end, by a scan of line numbers alone.
     """
+    in_logs = wanted.select(*LOG, "style").distinct()
     marks = events.filter(F.col("kind") == "mark").select(*LOG, "style", "line_no")
+    marks = marks.join(in_logs, [*LOG, "style"], "left_semi")
     starts = next_line(marks, [*LOG, "style"]).withColumnRenamed("line_no", "block_start")
-    log_end = lines.groupBy(*LOG).agg(F.max("line_no").alias("log_end"))
-    bounded = wanted.join(starts, [*LOG, "style", "block_start"])
-    return bounded.join(log_end, LOG).select(
-        *LOG, "style", "block_start",
-        F.coalesce(F.col("next_line_no") - 1, F.col("log_end")).alias("block_end"),
+    bounded = stage(wanted.join(starts, [*LOG, "style", "block_start"]), "block-bounds")
+    closed = bounded.filter(F.col("next_line_no").isNotNull()).select(
+        *LOG, "style", "block_start", (F.col("next_line_no") - 1).alias("block_end")
     )
+    last = bounded.filter(F.col("next_line_no").isNull()).select(*LOG, "style", "block_start")
+    if last.isEmpty():
+        return closed
+    numbers = prefilter(lines.select(*LOG, "line_no"), last, LOG)
+    log_end = numbers.groupBy(*LOG).agg(F.max("line_no").alias("block_end"))
+    return closed.unionByName(last.join(log_end, LOG))
+
+
+def _lines_in_blocks(bounds: DataFrame, lines: DataFrame) -> DataFrame:
+    """(log, style, block_start, _chunk, line_no, line) of the lines behind the header of each
+    block.
+
+    A block is an interval; nothing is unrolled to line numbers.  Every chunk of lines that a
+    block reaches gets one row that says which block is open there, and a running "last one
+    opened" over the chunk hands it to the lines.  A log has one style, so its blocks do
+    not overlap.  Only lines of such chunks are shuffled; the others are left where they are.
+    """
+    first, end = F.col("block_start") + 1, F.col("block_end")
+    reached = F.explode(F.sequence(F.floor(first / BLOCK_CHUNK), F.floor(end / BLOCK_CHUNK)))
+    opened = stage(
+        bounds.filter(end >= first).select(*LOG, "style", "block_start", "block_end", reached.alias("_chunk")),
+        "block-chunks",
+    )
+    at = F.greatest(first, F.col("_chunk") * BLOCK_CHUNK)
+    headers = opened.select(
+        *LOG, "_chunk", at.alias("line_no"), F.lit(None).cast("string").alias("line"),
+        F.struct("style", "block_start", "block_end").alias("_opened"),
+    )
+    chunk = F.floor(F.col("line_no") / BLOCK_CHUNK).alias("_chunk")
+    near = prefilter(lines.select(*LOG, chunk, "line_no", "line"), opened, [*LOG, "_chunk"])
+    nothing = F.lit(None).cast(headers.schema["_opened"].dataType)
+    # A header comes before the line at which it opens.
+    along = Window.partitionBy(*LOG, "_chunk").orderBy("line_no", F.col("_opened").isNull())
+    both = headers.unionByName(near.withColumn("_opened", nothing))
+    inside = both.withColumn("_block", F.last("_opened", ignorenulls=True).over(along)).filter(
+        F.col("_opened").isNull() & (F.col("line_no") <= F.col("_block.block_end"))
+    )
+    return inside.select(*LOG, "_block.style", "_block.block_start", "_chunk", "line_no", "line")
 
 
 def _block_line_features(line: Column, style: Column) -> dict[str, Column]:
@@ -336,22 +376,9 @@ def _block_line_features(line: Column, style: Column) -> dict[str, Column]:
 
 
 def block_texts(events: DataFrame, wanted: DataFrame, lines: DataFrame) -> DataFrame:
-    """Message and stack trace of each wanted block.
-
-    Blocks are unrolled to line numbers and equi-joined with the lines; texts
-    are put together per chunk of lines first and per block second.
-    """
-    bounds = _block_bounds(events, wanted, lines)
-    numbers = bounds.filter(F.col("block_end") > F.col("block_start")).select(
-        *LOG, "style", "block_start",
-        F.explode(F.sequence(F.col("block_start") + 1, F.col("block_end"))).alias("line_no"),
-    )
-    # Only the lines near a wanted block are shuffled; the others are left where they are.
-    chunk = F.floor(F.col("line_no") / BLOCK_CHUNK).alias("_chunk")
-    near = prefilter(
-        lines.select(*LOG, "line_no", "line", chunk), numbers.select(*LOG, chunk), [*LOG, "_chunk"]
-    ).drop("_chunk")
-    inside = numbers.join(near, [*LOG, "line_no"])
+    """Message and stack trace of each wanted block, put together per chunk of lines first and
+    per block second."""
+    inside = _lines_in_blocks(_block_bounds(events, wanted, lines), lines)
     inside = inside.filter(
         ~((F.col("style") == "unittest") & F.startswith(F.col("line"), F.lit("---")))
     )
@@ -364,7 +391,7 @@ def block_texts(events: DataFrame, wanted: DataFrame, lines: DataFrame) -> DataF
 
     chunked = (
         inside.withColumns(features)
-        .groupBy(*block, F.floor(at / BLOCK_CHUNK).alias("chunk"))
+        .groupBy(*block, F.col("_chunk").alias("chunk"))
         .agg(
             joined_in_order(
                 F.collect_list(F.struct(at.alias("at"), F.col("line").alias("text"))), "\n"

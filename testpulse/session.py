@@ -70,14 +70,53 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _place(spark: SparkSession, path: str) -> tuple:
+    """(path, its file system), of any file system Spark can reach."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Is there anything at a path of any file system Spark can reach?"""
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    place, system = _place(spark, path)
     return bool(system.exists(place) and system.listStatus(place))
 
 
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """Names of what a folder holds; none if it does not exist."""
+    place, system = _place(spark, folder)
+    return [s.getPath().getName() for s in system.listStatus(place)] if system.exists(place) else []
+
+
+def read_small(spark: SparkSession, path: str) -> str:
+    """The text of a small file."""
+    place, system = _place(spark, path)
+    stream = system.open(place)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_small(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that appears whole or not at all, in place of an earlier one."""
+    place, system = _place(spark, path)
+    draft, _ = _place(spark, f"{path}.{uuid.uuid4().hex}.tmp")
+    stream = system.create(draft)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    if not system.rename(draft, place):  # there is an earlier one
+        system.delete(place, False)
+        if not system.rename(draft, place):
+            raise OSError(f"{path} cannot be written")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder that this library has written."""
+    place, system = _place(spark, path)
+    system.delete(place, True)
+
+
 _STAGED: dict[tuple[str, str], str] = {}
 
 

@@ -1,5 +1,6 @@
-"""Writers.  All append to or write fresh folders; nothing reads what it
-overwrites, so a lost executor or a repeated batch leaves no half result."""
+"""Writers.  Tables that grow are written in named batches, whose commit file comes last (see
+:mod:`testpulse.sources.commits`): a batch that is written twice counts once, one that
+was cut short not at all.  Reports and cache versions are folders replaced whole."""
 
 from __future__ import annotations
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from testpulse.operators import report
 from testpulse.operators.classify import VERDICT
 from testpulse.operators.scoring import CACHE_KEY, cacheable, latest_verdicts
+from testpulse.sources import commits
 
 EXTENSIONS = {"table": "txt", "json": "json", "markdown": "md"}
 
@@ -18,9 +20,14 @@ def write_runs(runs: DataFrame, path: str) -> None:
     runs.write.mode("append").partitionBy("repo").parquet(path)
 
 
-def write_ledger(entries: DataFrame, path: str) -> None:
-    """Processed runs and offset ranges, append-only."""
-    entries.write.mode("append").partitionBy("repo").parquet(path)
+def write_ledger(entries: DataFrame, path: str, batch: str | None = None) -> None:
+    """Processed runs and offset ranges of a batch."""
+    commits.write_batch(entries, path, batch, ("repo",))
+
+
+def read_ledger(spark: SparkSession, path: str, schema: str = "repo string, run_id bigint") -> DataFrame:
+    """The entries of all batches."""
+    return commits.read_batches(spark, path, schema).drop("batch_name")
 
 
 def write_report(lines: DataFrame, path: str, fmt: str, provider: str, batch: str) -> None:
@@ -50,8 +57,14 @@ def write_reports(
         write_report(documents[name], path, name, provider, batch)
 
 
-def write_batch_summary(summary: DataFrame, path: str) -> None:
-    summary.write.mode("append").partitionBy("provider", "batch").json(path)
+def write_batch_summary(summary: DataFrame, path: str, batch: str | None = None) -> None:
+    """The summary rows of a batch as JSON, below a folder per provider and batch label."""
+    commits.write_batch(summary, path, batch, ("provider", "batch"), "json")
+
+
+def read_batch_summaries(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The summary rows of all batches."""
+    return commits.read_batches(spark, path, schema, "json").drop("batch_name")
 
 
 def append_verdicts(fresh: DataFrame, path: str, version: int) -> None:
@@ -84,5 +97,11 @@ def compact_verdicts(spark: SparkSession, path: str, target: str, version: int)
     rows.write.mode("overwrite").parquet(f"{target}/version={version}")
 
 
-def append_call_log(calls: DataFrame, path: str) -> None:
-    calls.write.mode("append").partitionBy("provider").parquet(path)
+def append_call_log(calls: DataFrame, path: str, batch: str | None = None) -> None:
+    """The calls of a batch."""
+    commits.write_batch(calls, path, batch, ("provider",))
+
+
+def read_call_logs(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The calls of all batches."""
+    return commits.read_batches(spark, path, schema).drop("batch_name")

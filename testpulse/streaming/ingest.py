@@ -1,64 +1,67 @@
 """Incremental ingest and analysis with Structured Streaming.
 
-Every batch writes one folder named after its number and replaces it when the
-batch is repeated after a failure, so each run is counted exactly once.
+What a batch has to know of earlier batches lies in Spark's state store (running
+statistics) or in keyed tables (ledger, verdict cache) of which a batch opens the buckets
+of its own keys only.  A batch that is repeated after a failure replaces what it wrote, so
+each run, execution and verdict counts exactly once, over any number of restarts.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from testpulse.functions.text import is_failing
+from testpulse.functions import fixed
+from testpulse.functions.text import error_signature, is_failing
 from testpulse.operators import classify, scoring
+from testpulse.operators.classify import VERDICT
 from testpulse.operators.runs import RUN, unprocessed
-from testpulse.operators.stats import TEST, rates, signatures
-from testpulse.session import exists, stage
-from testpulse.sources import sinks
+from testpulse.operators.scoring import CACHE_KEY
+from testpulse.operators.stats import TEST, rates
+from testpulse.session import stage
+from testpulse.sources import commits
 
+SIGNATURE = [*TEST, "signature_hash"]
 
-def _earlier(spark: SparkSession, path: str, batch_id: int, schema) -> DataFrame:
-    """Rows of all batches but this one (which may be a repetition)."""
-    if not exists(spark, path):
-        return spark.createDataFrame([], schema)
-    return (
-        spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())]))
-        .parquet(path)
-        .filter(F.col("batch") != batch_id)
-        .drop("batch")
-    )
-
-
-def _write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
-    rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-
-def _start(stream: DataFrame, each_batch, checkpoint: str) -> StreamingQuery:
+def _start(stream: DataFrame, each_batch, checkpoint: str, mode: str = "append") -> StreamingQuery:
     return (
         stream.writeStream.foreachBatch(each_batch)
+        .outputMode(mode)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
-def ingest_runs(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+def ledger_of(table: str) -> str:
+    """Where :func:`ingest_runs` keeps the keys of a table's runs."""
+    return f"{table.rstrip('/')}_ledger"
+
+
+def ingest_runs(
+    stream: DataFrame, table: str, checkpoint: str, buckets: int = commits.BUCKETS
+) -> StreamingQuery:
     """Append runs that were never seen to ``table``, in any number of restarts.
 
-    The table is its own ledger: a run is new if no earlier batch holds it.
+    A run is new if the ledger, a keyed table beside it, does not hold its key; however late
+    or often it comes, it is kept once.  The rows of a batch are written before its ledger
+    entries, so a batch that was cut short finds the same runs new again.
     """
-    schema = stream.schema
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        done = _earlier(spark, table, batch_id, schema)
         # Of several records of a run in a batch the least counts, on every repetition.
         rest = [c for c in batch.columns if c not in RUN]
         one = batch.groupBy(*RUN).agg(F.min(F.struct(*rest)).alias("_run"))
-        new = unprocessed(one.select(*RUN, "_run.*").select(batch.columns), done)
-        _write_batch(new, table, batch_id)
+        arrived = stage(one.select(*RUN, "_run.*").select(batch.columns), "arrived-runs")
+        known = commits.known_rows(arrived, ledger_of(table), RUN, before=batch_id)
+        new = arrived if known is None else unprocessed(arrived, known.select(*RUN))
+        new.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+        commits.upsert(
+            batch.sparkSession.read.schema(batch.schema).parquet(f"{table}/batch={batch_id}").select(*RUN),
+            ledger_of(table), RUN, batch_id, buckets,
+        )
 
     return _start(stream, each_batch, checkpoint)
 
@@ -78,104 +81,63 @@ def running_counts(stream: DataFrame) -> DataFrame:
     return counted.withColumns(rates(F.col("total_failures"), F.col("total_executions")))
 
 
-def accumulate_stats(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Reduce each batch of results to one row per test and one per signature.
+def accumulate_stats(
+    stream: DataFrame, table: str, checkpoint: str, buckets: int = commits.BUCKETS
+) -> StreamingQuery:
+    """Running totals per test and signature, kept in Spark's state store.
 
-    What is written is partial counts; :func:`merged_signatures` and
-    :func:`merged_counts` add them up.  No batch rewrites an earlier one.
+    The state has one row per (test, signature), and one per test for executions that do not
+    fail.  A batch is reduced in its map tasks, meets the state of its own keys, and the
+    totals that it changed take the place of the earlier ones in ``table``, a keyed table.
+    No batch adds up what earlier ones have counted.
     """
-
-    def each_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()  # read from its source once
-        try:
-            counts = batch.groupBy(*TEST).agg(
-                F.count(F.lit(1)).alias("n"),
-                F.count_if(is_failing(F.col("status"))).alias("failures"),
-                F.min("timestamp").alias("first_time"),
-                F.max("timestamp").alias("last_time"),
-            )
-            _write_batch(counts, f"{table}/counts", batch_id)
-            _write_batch(signatures(batch), f"{table}/signatures", batch_id)
-        finally:
-            batch.unpersist()
-
-    return _start(stream, each_batch, checkpoint)
-
-
-def _sum_counts(partials: DataFrame) -> DataFrame:
-    return partials.groupBy(*TEST).agg(
-        F.sum("n").alias("n"),
-        F.sum("failures").alias("failures"),
-        F.min("first_time").alias("first_time"),
-        F.max("last_time").alias("last_time"),
-    )
-
-
-def _sum_signatures(partials: DataFrame) -> DataFrame:
-    merged = partials.groupBy(*TEST, "signature_hash").agg(
-        F.sum("count").alias("count"),
-        F.min("first_seen").alias("first_seen"),
-        F.max("last_seen").alias("last_seen"),
-        F.min(F.struct("first", "sample_message")).alias("earliest"),
-    )
-    return merged.select(
-        *TEST, "signature_hash", F.col("earliest.sample_message").alias("sample_message"),
-        "count", "first_seen", "last_seen", F.col("earliest.first").alias("first"),
+    failing = is_failing(F.col("status"))
+    first = F.struct("result_ord", "run_id", "error_message", "stack_trace")
+    totals = (
+        stream.withColumn("signature_hash", F.when(failing, error_signature(F.col("error_message"))))
+        .groupBy(*SIGNATURE)
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.min("timestamp").alias("first_time"),
+            F.max("timestamp").alias("last_time"),
+            F.min(F.when(failing, first)).alias("first"),
+        )
     )
 
+    def each_batch(changed: DataFrame, batch_id: int) -> None:
+        commits.upsert(changed, table, SIGNATURE, batch_id, buckets)
 
-SUMS = {"counts": _sum_counts, "signatures": _sum_signatures}
-
-
-def _compacted_to(spark: SparkSession, table: str) -> int:
-    """The last batch that the newest compaction holds, or -1."""
-    place = f"{table}/compacted"
-    if not exists(spark, place):
-        return -1
-    return spark.read.parquet(place).agg(F.max("upto")).first()[0]
-
-
-def _partials(spark: SparkSession, table: str, kind: str) -> DataFrame:
-    """The newest compaction and the batches after it."""
-    upto = _compacted_to(spark, table)
-    rows = spark.read.parquet(f"{table}/{kind}").filter(F.col("batch") > upto).drop("batch")
-    if upto < 0:
-        return rows
-    return rows.unionByName(spark.read.schema(rows.schema).parquet(f"{table}/{kind}-to-{upto}"))
+    return _start(totals, each_batch, checkpoint, "update")
 
 
 def compact(spark: SparkSession, table: str) -> None:
-    """Add up all complete batches, so that readers start from one partial sum.
-
-    Run it between streams.  The sums go to new folders, and one row in ``compacted``
-    makes them count once they are whole; a compaction that fails changes nothing.  The
-    folders of batches up to it are not read any more and can be deleted.
-    """
-    last = spark.read.parquet(f"{table}/signatures").agg(F.max("batch")).first()[0]
-    if last is None or last <= _compacted_to(spark, table):
-        return
-    for kind, summed in SUMS.items():
-        partials = _partials(spark, table, kind)
-        summed(partials).write.mode("overwrite").parquet(f"{table}/{kind}-to-{last}")
-    row = spark.range(1).select(F.lit(last).cast("long").alias("upto"))
-    row.write.mode("append").parquet(f"{table}/compacted")
+    """Remove totals that later ones have replaced.  Run it between streams."""
+    commits.vacuum(spark, table)
 
 
 def merged_counts(spark: SparkSession, table: str) -> DataFrame:
-    """Totals of all batches per test."""
-    total = _sum_counts(_partials(spark, table, "counts")).select(
-        *TEST,
-        F.col("n").alias("total_executions"),
-        F.col("failures").alias("total_failures"),
-        F.col("first_time").alias("first_seen_run"),
-        F.col("last_time").alias("last_seen_run"),
+    """Totals so far per test."""
+    failures = F.coalesce(F.sum(F.when(F.col("signature_hash").isNotNull(), F.col("n"))), F.lit(0))
+    total = commits.read_keyed(spark, table).groupBy(*TEST).agg(
+        F.sum("n").alias("total_executions"),
+        failures.alias("total_failures"),
+        F.min("first_time").alias("first_seen_run"),
+        F.max("last_time").alias("last_seen_run"),
     )
     return total.withColumns(rates(F.col("total_failures"), F.col("total_executions")))
 
 
 def merged_signatures(spark: SparkSession, table: str) -> DataFrame:
-    """Signature groups of all batches, as if computed at once."""
-    return _sum_signatures(_partials(spark, table, "signatures"))
+    """Signature groups so far, as if computed at once."""
+    message = F.coalesce(F.nullif(F.col("first.error_message"), F.lit("")), F.lit(fixed.NO_MESSAGE))
+    return (
+        commits.read_keyed(spark, table)
+        .filter(F.col("signature_hash").isNotNull())
+        .select(
+            *SIGNATURE, message.alias("sample_message"), F.col("n").alias("count"),
+            F.col("first_time").alias("first_seen"), F.col("last_time").alias("last_seen"), "first",
+        )
+    )
 
 
 def score_stream(
@@ -186,27 +148,33 @@ def score_stream(
     cache_path: str,
     checkpoint: str,
     verdicts_path: str | None = None,
+    buckets: int = commits.BUCKETS,
 ) -> StreamingQuery:
     """Score prompts as they come; a test that the cache knows is not asked again.
 
-    ``stream`` has (repo, test_name, run_id, prompt).  The answers of a batch are
-    one cache version, replaced whole if the batch is repeated.  Of several prompts
-    of a test in a batch the least (run_id, prompt) is asked.  All fresh verdicts,
-    failed calls with their fallback included, go to ``verdicts_path``.
+    ``stream`` has (repo, test_name, run_id, prompt).  The cache is a keyed table: a batch
+    looks into the buckets of its own tests, and its answers are one version of them.  Of
+    several prompts of a test in a batch the least (run_id, prompt) is asked.  All fresh
+    verdicts, failed calls with their fallback included, go to ``verdicts_path``.
     """
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         least = F.min(F.struct("run_id", "prompt")).alias("least")
-        wanted = batch.groupBy(*TEST).agg(least).select(
+        asked = batch.groupBy(*TEST).agg(least).select(
             *TEST, "least.*", F.lit(provider).alias("provider"), F.lit(model).alias("model")
         )
-        if exists(spark, cache_path):
-            known = sinks.read_versions(spark, cache_path).filter(F.col("version") != batch_id)
-            wanted = scoring.cache_misses(wanted, known)
-        answers = scoring.parse_responses(stage(scorer(wanted), "responses"))
-        sinks.append_verdicts(answers, cache_path, batch_id)
+        wanted = stage(asked, "wanted-verdicts")
+        known = commits.known_rows(wanted, cache_path, CACHE_KEY, before=batch_id)
+        misses = wanted if known is None else scoring.cache_misses(wanted, known)
+        answers = stage(scoring.parse_responses(stage(scorer(misses), "responses")), "answers")
         if verdicts_path is not None:
             answers.write.mode("overwrite").parquet(f"{verdicts_path}/batch={batch_id}")
+        fresh = scoring.cacheable(answers).select(*CACHE_KEY, "run_id", *VERDICT)
+        commits.upsert(fresh, cache_path, CACHE_KEY, batch_id, buckets)
 
     return _start(stream, each_batch, checkpoint)
+
+
+def cached_verdicts(spark: SparkSession, cache_path: str) -> DataFrame:
+    """All verdicts that :func:`score_stream` has cached, one per key."""
+    return commits.read_keyed(spark, cache_path)
