@@ -100,6 +100,19 @@ def context_prompts(spark, d):
     )
 
 
+@query("prompt_parts", "FN14",
+       sql_with("""SELECT s.repo, s.test_name, s.run_id, n_signatures + 4 AS parts
+FROM stats s WHERE (repo, test_name) IN (SELECT (repo, test_name) FROM verdicts
+  WHERE rule = 'default')"""))
+def prompt_parts(spark, d):
+    """The same prompts in parts, one a signature and four around them."""
+    results, sigs, stats, _ = verdicts_of(spark, d)
+    undecided = K.ambiguous(K.rule_verdicts(stats))
+    return S.prompt_parts(undecided, stats, sigs).groupBy("repo", "test_name", "run_id").agg(
+        F.count(F.lit(1)).alias("parts")
+    )
+
+
 def _cache(spark, d):
     """Cached verdicts of the responses, one version per answer."""
     parsed = S.parse_responses(C.responses(spark, d)).withColumn("version", F.col("event_id"))

@@ -15,50 +15,72 @@ from testpulse.functions import fixed
 from testpulse.functions import text as T
 from testpulse.functions import verdicts as V
 from testpulse.operators.classify import VERDICT, Scorer
-from testpulse.operators.spread import number_rows
+from testpulse.operators.spread import concat_in_order, number_rows
 from testpulse.operators.stats import TEST
 from testpulse.session import stage
 
 CACHE_KEY = ["provider", "model", "repo", "test_name"]
 
 
-def contexts(stats: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Statistics of each test as JSON, its signatures most frequent first."""
+def context_parts(stats: DataFrame, sigs: DataFrame) -> DataFrame:
+    """(repo, test_name, part, text): the statistics of each test as a JSON document in parts, of
+    which one is a signature, most frequent first; joined in order of ``part`` they are the
+    document.
+
+    However many signatures a test has, no row holds more than one of them.
+    """
+    numbered = number_rows(
+        sigs.withColumn("_less", -F.col("count")), TEST,
+        [F.col("_less"), F.col("first.result_ord"), F.col("signature_hash")], F.col("_less"), name="_at",
+    )
     shown = F.struct(
-        (-F.col("count")).alias("least"),
-        F.col("first.result_ord").alias("place"),
-        F.struct(
-            "signature_hash", "sample_message", "count",
-            T.iso_time(F.col("first_seen")).alias("first_seen"),
-            T.iso_time(F.col("last_seen")).alias("last_seen"),
-        ).alias("signature"),
+        "signature_hash", "sample_message", "count",
+        T.iso_time(F.col("first_seen")).alias("first_seen"),
+        T.iso_time(F.col("last_seen")).alias("last_seen"),
     )
-    listed = (
-        sigs.groupBy(*TEST)
-        .agg(
-            F.transform(
-                F.array_sort(F.collect_list(shown)), lambda s: s["signature"]
-            ).alias("error_signatures")
-        )
+    each = numbered.select(
+        *TEST, F.col("_at").alias("part"),
+        F.concat(F.when(F.col("_at") > 0, ",").otherwise(""), F.to_json(shown)).alias("text"),
     )
-    record = F.struct(
-        "test_name", "total_executions", "total_failures", "flake_rate", "failure_rate",
-        "error_signatures", "dominant_signature", "dominant_signature_ratio",
+    opening = F.to_json(F.struct("test_name", "total_executions", "total_failures", "flake_rate", "failure_rate"))
+    closing = F.to_json(F.struct(
+        "dominant_signature", "dominant_signature_ratio",
         T.iso_time(F.col("first_seen_run")).alias("first_seen_run"),
         T.iso_time(F.col("last_seen_run")).alias("last_seen_run"),
         "workflows_affected",
+    ))
+    head = F.concat(
+        F.substring(opening, F.lit(1), F.length(opening) - 1),
+        F.when(opening == "{}", "").otherwise(","), F.lit('"error_signatures":['),
+    )
+    tail = F.concat(F.when(closing == "{}", "]").otherwise("],"), F.substring(closing, 2, 2**31 - 1))
+    known = stats.join(sigs.select(*TEST).distinct(), TEST, "left_semi")
+    ends = known.select(*TEST, F.inline(F.array(
+        F.struct(F.lit(-1).cast("bigint").alias("part"), head.alias("text")),
+        F.struct(F.lit(2**62).alias("part"), tail.alias("text")),
+    )))
+    return each.unionByName(ends)
+
+
+def contexts(stats: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Statistics of each test as one JSON text; put together per chunk of signatures first."""
+    return concat_in_order(context_parts(stats, sigs), TEST, "part", "text", "").select(
+        *TEST, F.col("text").alias("context")
     )
-    return stats.join(listed, TEST).select(*TEST, F.to_json(record).alias("context"))
+
+
+def _wanted(undecided: DataFrame, stats: DataFrame, sigs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Statistics and signatures of the ambiguous tests."""
+    keys = undecided.select(*TEST)
+    return stats.join(keys, TEST, "left_semi"), sigs.join(keys, TEST, "left_semi")
 
 
 def prompts(undecided: DataFrame, stats: DataFrame, sigs: DataFrame) -> DataFrame:
     """One prompt per ambiguous test, about its first failing execution and with
     the statistics of that test only."""
-    keys = undecided.select(*TEST)
-    theirs = stats.join(keys, TEST, "left_semi")
-    context = contexts(theirs, sigs.join(keys, TEST, "left_semi"))
+    theirs, signatures = _wanted(undecided, stats, sigs)
     first = F.col("first_failure")
-    return theirs.join(context, TEST).select(
+    return theirs.join(contexts(theirs, signatures), TEST).select(
         *TEST, first["run_id"].alias("run_id"),
         V.prompt(
             F.col("test_name"), first["error_message"], first["stack_trace"], F.col("context")
@@ -66,6 +88,24 @@ def prompts(undecided: DataFrame, stats: DataFrame, sigs: DataFrame) -> DataFram
     )
 
 
+def prompt_parts(undecided: DataFrame, stats: DataFrame, sigs: DataFrame) -> DataFrame:
+    """(repo, test_name, run_id, part, text): the same prompts in parts, for a scorer that sends
+    them piece by piece; joined in order of ``part`` they are the prompt."""
+    theirs, signatures = _wanted(undecided, stats, sigs)
+    first = F.col("first_failure")
+    mark = F.lit("\u0000")  # stands for the context, which no part of a prompt holds
+    frame = F.split(
+        V.prompt(F.col("test_name"), first["error_message"], first["stack_trace"], mark), "\u0000"
+    )
+    ends = theirs.select(*TEST, F.inline(F.array(
+        F.struct(F.lit(-2).cast("bigint").alias("part"), F.array_join(F.slice(frame, F.lit(1), F.size(frame) - 1), "\u0000").alias("text")),
+        F.struct(F.lit(2**62 + 1).alias("part"), F.element_at(frame, -1).alias("text")),
+    )))
+    runs = theirs.select(*TEST, first["run_id"].alias("run_id"))
+    parts = ends.unionByName(context_parts(theirs, signatures))
+    return parts.join(runs, TEST).select(*TEST, "run_id", "part", "text")
+
+
 def parse_responses(responses: DataFrame, max_tokens: int = 4096) -> DataFrame:
     """Verdicts from responses (repo, test_name, run_id, provider, model,
     model_returned, finish_reason, content, call_error)."""

@@ -140,3 +140,41 @@ def test_call_numbers_are_whole(responses):
     log = S.call_log(responses).collect()
     assert sorted(r.call_number for r in log) == list(range(1, len(CASES) + 1))
     assert {r.model_actual for r in log} == {"answered"}
+
+
+def test_prompt_of_very_many_signatures_in_parts(spark):
+    """Nothing in the way to the parts holds more than one signature."""
+    n = 200_000
+    sigs = spark.range(0, n, 1, 8).select(
+        F.lit("r").alias("repo"), F.lit("t").alias("test_name"),
+        F.sha2(F.col("id").cast("string"), 256).alias("signature_hash"),
+        F.concat(F.lit("message "), F.col("id").cast("string")).alias("sample_message"),
+        (1 + F.col("id") % 1000).alias("count"),
+        F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("first_seen"),
+        F.lit("2024-01-02 00:00:00").cast("timestamp_ntz").alias("last_seen"),
+        F.struct(F.col("id").alias("result_ord"), (F.col("id") + 5).alias("run_id"),
+                 F.lit("boom").alias("error_message"), F.lit("stack").alias("stack_trace")).alias("first"),
+    )
+    stats = spark.createDataFrame(
+        [("r", "t", n, n, 100.0, 1.0, "x", 0.1, ["CI"])],
+        "repo string, test_name string, total_executions bigint, total_failures bigint, flake_rate double, "
+        "failure_rate double, dominant_signature string, dominant_signature_ratio double, "
+        "workflows_affected array<string>",
+    ).withColumns({
+        "first_seen_run": F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"),
+        "last_seen_run": F.lit("2024-01-02 00:00:00").cast("timestamp_ntz"),
+        "first_failure": F.struct(F.lit(0).cast("bigint").alias("result_ord"), F.lit(5).cast("bigint").alias("run_id"),
+                                  F.lit("boom").alias("error_message"), F.lit("stack").alias("stack_trace")),
+    })
+    parts = S.prompt_parts(stats.select("repo", "test_name"), stats, sigs)
+    rows = parts.orderBy("part").collect()
+    assert len(rows) == n + 4 and max(len(r.text) for r in rows[1:-1]) < 400
+    whole = "".join(r.text for r in rows)
+    context = json.loads(whole.split("\nCross-run context: ")[1].split("\n\nRespond with")[0])
+    counts = [s["count"] for s in context["error_signatures"]]
+    assert len(counts) == n and counts == sorted(counts, reverse=True)
+    assert context["total_failures"] == n and context["workflows_affected"] == ["CI"]
+    few = sigs.filter("first.result_ord < 500")
+    asked = S.prompts(stats.select("repo", "test_name"), stats, few).first().prompt
+    parts = S.prompt_parts(stats.select("repo", "test_name"), stats, few).orderBy("part").collect()
+    assert "".join(r.text for r in parts) == asked
