@@ -155,6 +155,8 @@ FROM wanted w JOIN latest l USING (provider, model, repo, test_name)""",
                 p=_PARSED, cache=_CACHE + " AND r.event_id % 3 = 0", latest=_LATEST,
                 wanted=_WANTED))
 def verdict_cache_hits(spark, d):
+    """All tests against a cache that holds a third of the answers: set-up, as an earlier run
+    would have left it; the lookup reads all of both."""
     cache = _cache(spark, d).filter(F.col("event_id") % 3 == 0)
     return S.cache_hits(_wanted(spark, d), cache).select(
         "repo", "test_name", "category", "classified_by"
@@ -167,6 +169,8 @@ def verdict_cache_hits(spark, d):
     AND c.test_name = w.test_name)""",
                 p=_PARSED, cache=_CACHE + " AND r.event_id % 40 = 0", wanted=_WANTED))
 def verdict_cache_misses(spark, d):
+    """All tests against a cache that holds few answers: set-up, so that there are misses; the
+    lookup reads all of both."""
     cache = _cache(spark, d).filter(F.col("event_id") % 40 == 0)
     return S.cache_misses(_wanted(spark, d), cache).select("repo", "test_name")
 
