@@ -123,22 +123,21 @@ def count_grams(words: DataFrame) -> DataFrame:
         text = F.substring(F.col("_marked"), start - context + 1, context + PIECE)
         return F.struct(text.alias("_piece"), F.greatest(context + 1, F.lit(2)).alias("_from"))
 
-    def at(end: Column) -> Column:
-        first = F.greatest(F.lit(1), end - (ORDER - 1))
-        return F.transform(
-            F.sequence(first, end),
-            lambda start: F.struct(
-                F.substring(F.col("_piece"), start, end - start + 1).alias("gram"), (start == first).alias("full")
-            ),
-        )
-
     starts = F.sequence(F.lit(0), F.length("_marked") - 1, F.lit(PIECE))
     cut = words.withColumn("_marked", marked).select(*KINDS, F.inline(F.transform(starts, piece)))
-    ends = F.sequence(F.col("_from"), F.length("_piece"))
+    ends = cut.select(*KINDS, "_piece", F.explode(F.sequence(F.col("_from"), F.length("_piece"))).alias("_end"))
+    end = F.col("_end")
+
+    def gram(n: int) -> Column:
+        text = F.substring(F.col("_piece"), end - (n - 1), F.lit(n))
+        return F.when(end >= n, F.struct(text.alias("gram"), (F.least(end, F.lit(ORDER)) == n).alias("full")))
+
+    # Not a function over arrays: Spark compiles this.
+    each = ends.select(*KINDS, F.explode(F.array(*[gram(n) for n in range(1, ORDER + 1)])).alias("_g"))
     return (
-        cut.select(*KINDS, F.inline(F.flatten(F.transform(ends, at))))
-        .groupBy("gram")
-        .agg(*[F.sum(F.when(F.col("full"), F.col(k)).otherwise(0)).alias(k) for k in KINDS])
+        each.filter(F.col("_g").isNotNull())
+        .groupBy(F.col("_g.gram").alias("gram"))
+        .agg(*[F.sum(F.when(F.col("_g.full"), F.col(k)).otherwise(0)).alias(k) for k in KINDS])
     )
 
 
