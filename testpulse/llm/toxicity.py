@@ -57,7 +57,7 @@ FIT_FOLD = 3
 #: Kinds of learnable texts: ordinary and toxic ones of the model folds, and of the fit fold.
 KINDS = ("n0", "n1", "m0", "m1")
 #: Words whose evidence a task remembers, if they are not longer than that.
-REMEMBERED = 100_000
+REMEMBERED = 200_000
 #: Characters of a word whose n-grams are listed at once.
 PIECE = 256
 LONGEST_REMEMBERED = 64
