@@ -54,7 +54,7 @@ def components(fps, distance):
 
 def test_registered():
     names = set(entry.queries())
-    assert {f"op{n}" for n in range(1, 11)} <= {x.split("_")[0] for x in names if x.startswith("op")}
+    assert {f"op{n}" for n in range(1, 14)} <= {x.split("_")[0] for x in names if x.startswith("op")}
     assert "pipeline" in names
 
 
