@@ -88,6 +88,12 @@ def names_in(spark: SparkSession, folder: str) -> list[str]:
     return [s.getPath().getName() for s in system.listStatus(place)] if system.exists(place) else []
 
 
+def matching(spark: SparkSession, path: str) -> list[tuple[str, bool]]:
+    """(path, is it a folder?) of what a path matches, which may hold ``*``."""
+    place, system = _place(spark, path)
+    return [(s.getPath().toString(), s.isDirectory()) for s in system.globStatus(place) or ()]
+
+
 def read_small(spark: SparkSession, path: str) -> str:
     """The text of a small file."""
     place, system = _place(spark, path)

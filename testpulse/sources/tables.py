@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from testpulse.functions import text as T
 from testpulse.operators.scoring import usable
 from testpulse.operators.spread import number_rows
 from testpulse.session import stage
+from testpulse.sources.files import reachable, read_texts
 
 JOB = "struct<job_id:bigint,name:string,conclusion:string,logs_url:string>"
 RUN_FIELDS = (
@@ -46,25 +47,53 @@ def with_defaults(runs: DataFrame) -> DataFrame:
     })
 
 
-def _run_documents(spark: SparkSession, path: str, one_per_file: bool) -> DataFrame:
-    reader = (
-        spark.read.schema(RUN_FIELDS + ", _unread string")
-        .option("multiLine", one_per_file)
-        .option("columnNameOfCorruptRecord", "_unread")
+def _parsed_files(spark: SparkSession, path: str) -> DataFrame:
+    """(_at, fields, _unread) of each document in files that hold one, or a list of them; the files
+    are listed and read in tasks."""
+    fields = f"struct<{RUN_FIELDS}, _unread string>"
+    files = read_texts(spark, path)
+    broken = F.from_json(F.lit('{"_unread": "yes"}'), fields)
+
+    def parsed(text: Column) -> Column:
+        return F.coalesce(F.from_json(text, fields, {"columnNameOfCorruptRecord": "_unread"}), broken)
+
+    def all_or_none(parts: Column) -> Column:
+        documents = F.transform(F.filter(parts, lambda p: p.isNotNull()), parsed)
+        bad = F.exists(parts, lambda p: p.isNull()) | F.exists(documents, lambda r: r["_unread"].isNotNull())
+        return F.when(bad, F.transform(documents, lambda _: broken)).otherwise(documents)
+
+    begins = F.substring(F.regexp_replace("text", r"^[\s\x{FEFF}]+", ""), 1, 1)
+    several = F.coalesce(all_or_none(F.from_json("text", "array<string>")), F.array(broken))
+    found = (
+        F.when(F.col("text").isNull(), F.array(broken)).when(begins == "[", several)
+        .when(begins != "", F.array(parsed(F.col("text"))))
     )
-    at = F.col("_metadata.file_path")
-    repo = F.regexp_extract(at, r"([^/]+)/runs/[^/]+$", 1)
-    file = F.regexp_extract(at, r"([^/]+)$", 1)
+    return files.select(F.col("path").alias("_at"), F.inline(found))
+
+
+def _run_documents(spark: SparkSession, path: str, one_per_file: bool) -> DataFrame:
+    if one_per_file and reachable(path):
+        read = _parsed_files(spark, path)
+    else:
+        reader = (
+            spark.read.schema(RUN_FIELDS + ", _unread string")
+            .option("multiLine", one_per_file)
+            .option("columnNameOfCorruptRecord", "_unread")
+        )
+        read = reader.json(path).select(F.col("_metadata.file_path").alias("_at"), "*")
+    repo = F.regexp_extract("_at", r"([^/]+)/runs/[^/]+$", 1)
+    file = F.regexp_extract("_at", r"([^/]+)$", 1)
     whole = F.col("run_id").isNotNull() & F.col("_unread").isNull()
-    documents = reader.json(path).select(repo.alias("repo"), file.alias("_file"), "*", whole.alias("_whole"))
-    return documents.drop("_unread")
+    documents = read.select(repo.alias("repo"), file.alias("_file"), "*", whole.alias("_whole"))
+    return documents.drop("_at", "_unread")
 
 
 def read_runs(spark: SparkSession, path: str, *, one_per_file: bool = True) -> DataFrame:
     """Run metadata from JSON; the repo is the folder above ``runs``.
 
-    ``one_per_file`` reads indented documents, one per file.  Small files are
-    slow to list and open, so compact them once with :func:`compact_runs`.
+    ``one_per_file`` reads indented documents, one per file (or one list of them).  Small files
+    are slow to list and open, so compact them once with :func:`compact_runs`; they are listed
+    and read in tasks (:mod:`testpulse.sources.files`), as the driver cannot hold millions.
     Documents without a readable run are in :func:`unreadable_runs`.
     """
     runs = _run_documents(spark, path, one_per_file).filter("_whole")
