@@ -49,8 +49,11 @@ ARROW = pa.schema(
     [(n, {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[c.split()[1]])
      for n, c in zip(NAMES, ROWS.split(", "), strict=True)]
 )
-#: Compressed bytes that a task reads, roughly; archives for which only the state is asked.
-TASK_BYTES = 64 << 20
+#: Compressed bytes that a task reads, roughly, and archives, however small; archives for which
+#: only the state is asked.  Text unpacks to many times its size, and its lines are sorted
+#: where a table of them is written.
+TASK_BYTES = 8 << 20
+TASK_ARCHIVES = 5000
 TASK_STATES = 1000
 #: Unpacked bytes of a file that are held in memory, and characters of a piece.
 HELD = 64 << 20
@@ -213,7 +216,9 @@ class Reader(DataSourceReader):
         for whole in found:
             parts = self._split(system, whole) if self.contents and whole.size > TASK_BYTES else [whole]
             for one in parts:
-                full = size + one.size > TASK_BYTES if self.contents else len(group) >= TASK_STATES
+                full = len(group) >= (TASK_ARCHIVES if self.contents else TASK_STATES) or (
+                    self.contents and size + one.size > TASK_BYTES
+                )
                 if group and full:
                     groups.append(Group(group))
                     group, size = [], 0

@@ -128,6 +128,18 @@ def test_large_archives_are_split(spark, tmp_path, monkeypatch):
     assert sorted(states) == [(7, "ok", 12), (8, "ok", 1)]
 
 
+def test_tasks_hold_few_archives_however_small(tmp_path, monkeypatch):
+    for run in range(10):
+        archive(f"{tmp_path}/r/logs", run, [("a.txt", f"line {run}")])
+    monkeypatch.setattr(ziplogs, "TASK_ARCHIVES", 4, raising=False)
+    reader = ziplogs.Reader({"path": f"{tmp_path}/*/logs"})
+    groups = reader.partitions()
+    assert [len(g.found) for g in groups] == [4, 4, 2]
+    read = [r for g in groups for batch in reader.read(g) for r in batch.to_pylist()]
+    assert sorted(r["piece"] for r in read if r["piece"]) == [f"line {run}" for run in range(10)]
+    assert ziplogs.TASK_BYTES <= 16 << 20  # text unpacks to many times that
+
+
 def test_conditions_are_pushed_to_the_listing(spark, tmp_path):
     for repo in ("a", "b"):
         for run in (1, 2, 3):
