@@ -85,60 +85,39 @@ def _repo():
     return F.replace("repo", F.lit("_"), F.lit("/")).alias("repo")
 
 
-def _zipped(logs):
-    """Archives from (repo, run_id, filename, content) rows of one file per run, as input
-    for the reader: the test data holds no archives.  Some have a wrong checksum."""
+def _archives(spark, d):
+    """Files ``<repo>/logs/<run id>.zip`` with one zipped log each, as input for the reader: the
+    test data holds no archives.  Some are cut short or have a wrong checksum.
+
+    One Python function zips and writes row by row, so a task holds one batch of logs."""
+    folder = new_folder(spark, "archives")
 
-    def zipped(batches):
+    def written(batches):
         import io
+        import os
+        import re
         import zipfile
 
-        import pandas as pd
+        import pyarrow as pa
 
         for batch in batches:
-            rows = []
-            for row in batch.itertuples(index=False):
+            for i in range(batch.num_rows):
+                repo, run_id, filename, content = (column[i].as_py() for column in batch.columns)
                 buffer = io.BytesIO()
                 with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
-                    archive.writestr(row.filename, row.content)
+                    archive.writestr(filename, content)
                 raw = bytearray(buffer.getvalue())
-                if row.run_id % 11 == 5:
+                if run_id % 11 == 5:
                     raw[raw.index(b"PK\x01\x02") + 16] ^= 1
-                rows.append((row.repo, row.run_id, f"{row.run_id}.zip", bytes(raw)))
-            yield pd.DataFrame(rows, columns=["repo", "run_id", "archive", "content"])
-
-    return logs.mapInPandas(
-        zipped, "repo string, run_id bigint, archive string, content binary"
-    )
-
-
-def _logs(spark, d):
-    """One zipped log file per run; some archives are cut short."""
-    logs = concat_in_order(C.log_lines(spark, d), E.LOG, "line_no", "line", "\n")
-    zipped = _zipped(logs.withColumnRenamed("line", "content"))
-    short = F.when(F.col("run_id") % 11 == 3, F.expr("substring(content, 1, 30)"))
-    return zipped.withColumn("content", F.coalesce(short, F.col("content")))
-
-
-def _archives(spark, d):
-    """The same as files ``<repo>/logs/<run id>.zip``."""
-    folder = new_folder(spark, "archives")
-
-    def written(batches):
-        import os
-        import re
-
-        import pandas as pd
-
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                place = f"{re.sub('^file:/+', '/', folder)}/{row.repo.replace('/', '_')}/logs"
+                place = f"{re.sub('^file:/+', '/', folder)}/{repo.replace('/', '_')}/logs"
                 os.makedirs(place, exist_ok=True)
-                with open(f"{place}/{row.archive}", "wb") as file:
-                    file.write(row.content)
-            yield pd.DataFrame({"n": [len(batch)]})
+                with open(f"{place}/{run_id}.zip", "wb") as file:
+                    file.write(raw[:30] if run_id % 11 == 3 else raw)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
 
-    _logs(spark, d).mapInPandas(written, "n bigint").agg(F.sum("n")).collect()
+    logs = concat_in_order(C.log_lines(spark, d), E.LOG, "line_no", "line", "\n")
+    rows = logs.select("repo", "run_id", "filename", F.col("line").alias("content"))
+    rows.mapInArrow(written, "n bigint").agg(F.sum("n")).collect()
     return folder
 
 
