@@ -5,29 +5,28 @@ before a blank, as web text often holds a whole paragraph between line breaks.
 A line is compared by the 64-bit hash of its words; lines without a word are
 passed over.
 
-1. *Grams*: the gram at a line is the run from it on that has half of ``min_words`` words or
-   four lines.
-2. *Fingerprints*: of every window of two grams in a row the one with the least hash is kept (of
-   equal ones the later), and every gram of a single line.  Which that is depends on the
-   window alone, so places that share a run of ``min_words`` words share a fingerprint in it:
-   the run holds two grams in a row, or begins with a line that is a gram.
-3. *Joined positions*: fingerprints that occur once are left out.  Of the others, the k-th in
-   a document meets the first place, in order of (id, hash of the text, line), among the k-th
-   ones of all documents, and the one before it in its own document.  That is at most two
-   rows per place, never one per pair of places, and a document of one line over and over
-   lies along itself once.
-4. *Extension*: a match says that a document and an earlier place lie along one another at
-   some distance.  Along each such pair the line hashes are compared in both directions: the
-   ``CHUNK`` lines around a fingerprint that matched and as many before and behind them.
-5. *Runs*: lines in a row that agree with ONE earlier place are a run.  Runs of ``min_words`` words
-   or more are the result; what several of them cover is deleted.  The first copy of
-   everything stays, and nothing is chained from different places.
-
-A run is met by the first places of its fingerprints.  It is found whole if one of them lies
-in a place that has it whole; if all of them stand first elsewhere, what agrees there is found.
-
-Only built-in functions are used.  The heaviest shuffle holds fixed-width rows, one per lookup;
-text is shuffled by :func:`remove_repeats` only.  A hot line is counted before the shuffle,
+1. *Copies*: of documents with the same lines only the first is compared with others; each later
+   one is a run as a whole.
+2. *Grams*: the gram at a line is the run from it on that has half of ``min_words`` words or
+   four lines.  Every run of ``min_words`` words begins with one, so lines whose gram occurs once
+   are left out.
+3. *Descent*: for each of the other lines the length of the longest run from it on that stands at
+   an earlier place, too, is found bit by bit, the highest first.  Lines that agree so far are a
+   group, named by the hash of what agrees.  In a round each line of a group that goes on for
+   2^k more lines is keyed by its group and the hash of those; where a key has several
+   lines, all but the first have an earlier place that agrees so far, and move on to a group
+   of their own; the first stays, and stands in that group as a source only.  A line that has
+   moved is replaced in its old group by that first, which agrees with it for as long as is still
+   asked there, so every group has the first place of whatever is asked next.  A group has one
+   such source, so a round holds at most two rows a line, never one per pair of places.
+4. *Runs*: what begins at a line and ends where the run from the line before it ends is part of that
+   one.  Runs of ``min_words`` words or more are the result; what several of them cover is
+   deleted.  The first copy of everything stays, and nothing is chained from different places.
+
+All such runs are found: the result is that of comparing all places (by their 64-bit hashes).
+
+Only built-in functions are used.  The heaviest shuffle holds fixed-width rows, one per line;
+text is shuffled by :func:`remove_repeats` only.  A hot key is counted before the shuffle,
 and the tables that are joined are written ones, so that Spark can split its partition.
 
 ``min_words`` is 25.  A passage set into the middle of a line of other text loses its
@@ -43,6 +42,8 @@ gives an empty result.  Columns of the input other than id and text are never re
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,13 +52,14 @@ from testpulse.session import stage
 
 LINE_END = r"(?<=\n)|(?<=[.!?][\x20\x09])"
 MIN_WORDS = 25
-#: Lines of a document that are compared with another at once.
+#: Lines of a document whose names are looked up together.
 CHUNK = 128
 #: Marks line ends where a text does not hold it itself.
 MARK = "\x01"
 
 DOC = ["_id", "_version"]
-ALONG = [*DOC, "_e_id", "_e_version", "_apart"]
+#: A line's place: documents in order of id (none first) and hash of the text.
+PLACE = ["_order", "_version", "line"]
 
 
 def _marked(text: Column) -> Column:
@@ -141,138 +143,97 @@ def grams(hashes: Column, counts: Column, words: int) -> Column:
     return F.transform(counts, gram)
 
 
-def fingerprints(hashed: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(_id, _version, line, n_lines, g): window minima and grams of one line."""
-    hashes, counts = F.col("_h"), F.col("_n")
+def _first_of(places: DataFrame, key: str) -> DataFrame:
+    """(key, _first: the first place) of each key with several rows, written."""
+    counted = places.groupBy(key).agg(
+        F.count(F.lit(1)).alias("_places"), F.min(F.struct(*PLACE, "_id")).alias("_first")
+    )
+    return stage(counted.filter("_places > 1").drop("_places"), "first-places")
 
-    def kept(made: Column, x: Column, j: Column) -> Column:
-        g = x["g"]
-        least = (x["last"] == j) | (g <= F.get(made, j - 1)["g"]) | (g < F.get(made, j + 1)["g"])
-        return F.when(least, F.struct(j.alias("line"), g.alias("g")))
 
-    found = let(
-        grams(hashes, counts, (min_words + 1) // 2),
-        lambda made: F.filter(F.transform(made, lambda x, j: kept(made, x, j)), lambda f: f.isNotNull()),
-    )
-    split = hashed.select(*DOC, F.col("lines")["h"].alias("_h"), F.col("lines")["n"].alias("_n"))
-    return split.select(*DOC, F.size("_n").alias("n_lines"), F.inline(found))
+def _is_first() -> Column:
+    """Is the row at the first place of its key?"""
+    at = (F.col(c) == F.col(f"_first.{c}") for c in PLACE)
+    return next(at) & next(at) & next(at) & F.col("_id").eqNullSafe(F.col("_first._id"))
 
 
-def alignments(hashed: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(_id, _version, _chunk, _e_id, _e_version, _apart): chunks of documents to be compared with
-    an earlier place, whose lines have numbers lower by ``_apart``."""
-    found = stage(fingerprints(hashed, min_words), "fingerprints")
-    repeated = stage(
-        found.groupBy("g").agg(F.count(F.lit(1)).alias("_places")).filter("_places > 1").select("g"),
-        "repeated-grams",
-    )
-    in_doc = Window.partitionBy(*DOC, "g").orderBy("line")
-    # Written before it is numbered: the join is by gram, and a hot gram is split there; the
-    # numbers are by document and gram.
-    again = stage(found.join(repeated, "g"), "repeated-fingerprints")
-    places = stage(
-        again.withColumn("_nth", F.row_number().over(in_doc))
-        .withColumn("_last", F.lag("line").over(in_doc)),
-        "repeated-places",
-    )
-    order = F.coalesce(F.col("_id"), F.lit(-(2**63)))  # no id comes first
-    place = F.struct(order.alias("order"), "_version", "line", "_id")
-    first = stage(
-        places.groupBy("g", "_nth")
-        .agg(F.count(F.lit(1)).alias("_places"), F.min(place).alias("_first"))
-        .filter("_places > 1")
-        .drop("_places"),
-        "first-places",
-    )
-    chunk = F.floor(F.col("line") / CHUNK).cast("int")
-    last = F.floor((F.col("n_lines") - 1) / CHUNK).cast("int")
-    around = F.explode(F.sequence(F.greatest(chunk - 1, F.lit(0)), F.least(chunk + 1, last))).alias("_chunk")
-    elsewhere = places.join(first, ["g", "_nth"]).filter(place > F.col("_first")).select(
-        *DOC,
-        F.col("_first._id").alias("_e_id"),
-        F.col("_first._version").alias("_e_version"),
-        (F.col("line") - F.col("_first.line")).alias("_apart"),
-        around,
-    )
-    before = places.filter(F.col("_last").isNotNull()).select(
-        *DOC, F.col("_id").alias("_e_id"), F.col("_version").alias("_e_version"),
-        (F.col("line") - F.col("_last")).alias("_apart"), around,
-    )
-    return elsewhere.union(before).distinct()
+def _doubled(n: int) -> Callable[[Column], Column]:
+    """Hashes of 2 n lines from hashes of n lines."""
+    return lambda h: F.transform(h, lambda x, j: F.xxhash64(x, F.get(h, j + n)))
 
 
-def _chunks(hashed: DataFrame, lines: int) -> DataFrame:
-    """(_id, _version, _chunk, _h, _n, n_lines): hashes and word counts of ``lines`` lines from the
-    start of each chunk."""
-    size = F.size("lines")
-    last = F.floor((size - 1) / CHUNK).cast("int")
-    numbered = hashed.select(
-        *DOC, F.col("lines")["h"].alias("_h"), F.col("lines")["n"].alias("_n"), size.alias("n_lines"),
-        F.explode(F.when(size > 0, F.sequence(F.lit(0), last))).alias("_chunk"),
+def _names(docs: DataFrame, bit: int) -> DataFrame:
+    """(_n_id, _n_version, _n_chunk, _names: of each line of the chunk, the hash of the 2 ** bit lines
+    from it on)."""
+    names = F.col("lines")["h"]
+    for k in range(bit):
+        names = let(names, _doubled(2**k))
+    named = docs.filter(F.size("lines") >= 2**bit).select(
+        F.col("_id").alias("_n_id"), F.col("_version").alias("_n_version"), names.alias("_whole")
     )
-    start = F.col("_chunk") * CHUNK + 1
-    return numbered.select(
-        *DOC, "_chunk", *[F.slice(F.col(c), start, F.lit(lines)).alias(c) for c in ("_h", "_n")], "n_lines"
+    chunks = F.sequence(F.lit(0), F.floor((F.size("_whole") - 1) / CHUNK).cast("int"))
+    return named.select("*", F.explode(chunks).alias("_n_chunk")).select(
+        "_n_id", "_n_version", "_n_chunk", F.slice("_whole", F.col("_n_chunk") * CHUNK + 1, F.lit(CHUNK)).alias("_names")
     )
 
 
-def _agreeing() -> tuple[Column, Column]:
-    """Runs (first, last, n_words) of the lines of a chunk that agree with the other place, given
-    ``_shift``, which is the second."""
-    here, there, counts = F.col("_h"), F.col("_e_h"), F.col("_n")
-    start = F.col("_chunk") * CHUNK
-    shift = start - F.col("_apart") - F.col("_e_chunk") * CHUNK  # of the first line in _e_h
-    low = F.greatest(-shift, F.lit(0)).cast("int")
-    high = F.least(F.size(here), F.size(there) - shift).cast("int") - 1
-    equal = F.filter(
-        F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.get(here, i) == F.get(there, i + F.col("_shift")),
-    )
-
-    def runs(m: Column) -> Column:
-        firsts = F.filter(m, lambda x, k: (k == 0) | (F.get(m, k - 1) != x - 1))
-        lasts = F.filter(m, lambda x, k: (k == F.size(m) - 1) | (F.get(m, k + 1) != x + 1))
-
-        def run(x: Column) -> Column:
-            first, last = x["_first"], x["_last"]
-            n = F.aggregate(
-                F.sequence(first, last), F.lit(0).cast("long"), lambda total, i: total + F.get(counts, i)
-            )
-            return F.struct(
-                (start + first).alias("first_line"), (start + last).alias("last_line"), n.alias("n_words"),
-                (((first == 0) & (start > 0)) | ((last == F.size(here) - 1) & (start + last < F.col("n_lines") - 1)))
-                .alias("_edge"),
-            )
-
-        return F.transform(F.arrays_zip(firsts.alias("_first"), lasts.alias("_last")), run)
-
-    return let(equal, runs), shift.cast("int")
-
-
-def _compared(pairs: DataFrame, hashed: DataFrame, min_words: int) -> DataFrame:
-    """ALONG, first_line, last_line, n_words: lines in a row of a chunk that agree, if they are
-    enough or may go on in the next chunk."""
-    e_chunk = F.floor((F.col("_chunk") * CHUNK - F.col("_apart")) / CHUNK).cast("int")
-    aimed = pairs.withColumn("_e_chunk", F.greatest(e_chunk, F.lit(0)))
-    mine = _chunks(hashed, CHUNK).select(
-        *[F.col(c).alias(f"_d{c}") for c in [*DOC, "_chunk"]], "_h", "_n", "n_lines"
-    )
-    # A chunk lies along two of the other place's at most.
-    theirs = _chunks(hashed, 2 * CHUNK).select(
-        F.col("_id").alias("_o_id"), F.col("_version").alias("_o_version"),
-        F.col("_chunk").alias("_o_chunk"), F.col("_h").alias("_e_h"),
-    )
-    same = F.col("_id").eqNullSafe(F.col("_d_id")) & (F.col("_version") == F.col("_d_version")) & (
-        F.col("_chunk") == F.col("_d_chunk")
+def earlier_runs(hashed: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(_id, _version, line, n, first_id): the number of lines from each line on that stand at an earlier
+    place, too, and the id of the first such place; of lines whose gram does."""
+    hashes, counts = F.col("_h"), F.col("_n")
+    order = F.coalesce(F.col("_id"), F.lit(-(2**63)))  # no id comes first
+    split = hashed.select(*DOC, order.alias("_order"), F.col("lines")["h"].alias("_h"), F.col("lines")["n"].alias("_n"))
+    made = split.select(
+        "_id", "_order", "_version", F.size(hashes).alias("n_lines"),
+        F.posexplode(grams(hashes, counts, (min_words + 1) // 2)).alias("line", "_gram"),
+    ).filter(F.col("_gram").isNotNull() & F.col("_gram.g").isNotNull())
+    found = stage(
+        made.select("_id", *PLACE, "n_lines", (F.col("_gram.last") - F.col("line") + 1).alias("_n"),
+                    F.xxhash64("_gram.g", F.col("_gram.last") - F.col("line")).alias("_key")),
+        "grams",
     )
-    other = F.col("_e_id").eqNullSafe(F.col("_o_id")) & (F.col("_e_version") == F.col("_o_version")) & (
-        F.col("_e_chunk") == F.col("_o_chunk")
+    columns = ["_id", *PLACE, "n_lines", "_n", "_key", "_asks", "_source"]
+    known = found.join(_first_of(found, "_key"), "_key")
+    lines = stage(
+        known.withColumns({"_asks": ~_is_first(), "_source": F.when(~_is_first(), F.col("_first._id"))})
+        .select(*columns),
+        "repeated-grams",
     )
-    both = aimed.join(mine, same).join(theirs, other)
-    found, shift = _agreeing()
-    return both.withColumn("_shift", shift).select(*ALONG, F.inline(found)).filter(
-        (F.col("n_words") >= min_words) | F.col("_edge")
+    docs = stage(hashed.join(lines.select(*DOC).distinct().withColumnsRenamed({"_id": "_k_id", "_version": "_k_version"}),
+                             F.col("_id").eqNullSafe(F.col("_k_id")) & (F.col("_version") == F.col("_k_version")),
+                             "left_semi"), "repeating-documents")
+    longest = lines.agg(F.max(F.col("n_lines") - F.col("line") - F.col("_n"))).first()[0] or 0
+    at = F.col("line") + F.col("_n")
+    for bit in reversed(range(longest.bit_length())):
+        goes_on = at + 2**bit <= F.col("n_lines")
+        same = F.col("_id").eqNullSafe(F.col("_n_id")) & (F.col("_version") == F.col("_n_version"))
+        keyed = stage(
+            lines.filter(goes_on).join(_names(docs, bit), same & (F.floor(at / CHUNK).cast("int") == F.col("_n_chunk")))
+            .select(*columns, F.xxhash64("_key", F.get("_names", at % CHUNK)).alias("_next")),
+            "keyed-lines",
+        )
+        both = keyed.join(_first_of(keyed, "_next"), "_next", "left")
+        moved = F.struct((F.col("_n") + 2**bit).alias("_n"), F.col("_next").alias("_key"), (~_is_first()).alias("_asks"),
+                         F.when(~_is_first(), F.col("_first._id")).alias("_source"))
+        stays = F.struct("_n", "_key", "_asks", "_source")
+        after = (
+            F.when(F.col("_first").isNull(), F.array(stays)).when(_is_first(), F.array(stays, moved))
+            .otherwise(F.array(moved))
+        )
+        went = both.select("_id", *PLACE, "n_lines", F.inline(after)).select(*columns)
+        lines = stage(lines.filter(~goes_on).union(went), "lines")
+    return lines.filter("_asks").select(*DOC, "line", F.col("_n").alias("n"), F.col("_source").alias("first_id"))
+
+
+def alignments(hashed: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(_id, _version, first_line, last_line, first_id): runs that stand at an earlier place and are not part
+    of another, the first place of each; some are too short."""
+    along = Window.partitionBy(*DOC).orderBy("first_line").rowsBetween(Window.unboundedPreceding, -1)
+    runs = earlier_runs(hashed, min_words).select(
+        *DOC, F.col("line").alias("first_line"), (F.col("line") + F.col("n") - 1).alias("last_line"), "first_id"
     )
+    reached = F.coalesce(F.max("last_line").over(along), F.lit(-1))
+    return runs.withColumn("_reached", reached).filter(F.col("last_line") > F.col("_reached")).drop("_reached")
 
 
 def repeated_runs(
@@ -285,35 +246,40 @@ def repeated_runs(
 
     ``_id``, ``_version`` name the document, ``first_line`` and ``last_line`` are indexes
     among its lines with words, ``n_words`` counts the run's words, and ``first_id`` is
-    the id of the earlier place.  Runs of different places can overlap.
+    the id of the first place that has it.  Runs can overlap.
     """
-    hashed = stage(line_hashes(docs, id_col, text_col), "line-hashes")
-    pairs = stage(alignments(hashed, min_words), "line-alignments")
-    parts = _compared(pairs, hashed, min_words)
-    # Parts of neighbouring chunks that touch are one run.
-    along = Window.partitionBy(*ALONG).orderBy("first_line")
-    whole = (
-        parts.withColumn("_new", (F.col("first_line") != F.lag("last_line").over(along) + 1).cast("int"))
-        .withColumn("_run", F.sum(F.coalesce("_new", F.lit(1))).over(along))
-        .groupBy(*ALONG, "_run")
-        .agg(
-            F.min("first_line").alias("first_line"),
-            F.max("last_line").alias("last_line"),
-            F.sum("n_words").alias("n_words"),
-        )
-        .filter(F.col("n_words") >= min_words)
+    hashed = stage(line_hashes(docs, id_col, text_col).filter(F.size("lines") > 0), "line-hashes")
+    order = F.coalesce(F.col("_id"), F.lit(-(2**63)))
+    alike = F.xxhash64("lines").alias("_alike")
+    firsts = stage(
+        hashed.groupBy(alike, F.size("lines").alias("_size"))
+        .agg(F.count(F.lit(1)).alias("_places"), F.min(F.struct(order.alias("order"), "_version", "_id")).alias("_first"))
+        .filter("_places > 1"),
+        "copied-documents",
+    )
+    marked = stage(
+        hashed.withColumns({"_alike": alike, "_size": F.size("lines")}).join(firsts, ["_alike", "_size"], "left")
+        .withColumn("_copy", F.col("_first").isNotNull() & ~(
+            (F.col("_first._version") == F.col("_version")) & F.col("_first._id").eqNullSafe(F.col("_id"))))
+        .select(*DOC, "lines", "_copy", F.col("_first._id").alias("_first_id")),
+        "marked-documents",
+    )
+    n_words = F.aggregate(F.col("lines")["n"], F.lit(0).cast("long"), lambda total, n: total + n)
+    copies = marked.filter("_copy").select(
+        *DOC, F.lit(0).alias("first_line"), (F.size("lines") - 1).alias("last_line"), n_words.alias("n_words"),
+        F.col("_first_id").alias("first_id"),
     )
-    order = F.coalesce(F.col("_e_id"), F.lit(-(2**63)))
-    once = whole.groupBy(*DOC, "first_line", "last_line", "n_words").agg(
-        F.min(F.struct(order, "_e_version", "_e_id"))["_e_id"].alias("first_id")
+    others = marked.filter("NOT _copy").select(*DOC, "lines")
+    counts = others.select(F.col("_id").alias("_n_id"), F.col("_version").alias("_n_version"), F.col("lines")["n"].alias("_n"))
+    same = F.col("_id").eqNullSafe(F.col("_n_id")) & (F.col("_version") == F.col("_n_version"))
+    size = F.col("last_line") - F.col("first_line") + 1
+    total = F.aggregate(
+        F.slice("_n", F.col("first_line") + 1, size), F.lit(0).cast("long"), lambda sum_, n: sum_ + n
     )
-    outer = Window.partitionBy(*DOC).orderBy("first_line", F.desc("last_line"))
-    reached = F.max("last_line").over(outer.rowsBetween(Window.unboundedPreceding, -1))
-    return (
-        once.withColumn("_reached", F.coalesce(reached, F.lit(-1)))
-        .filter(F.col("last_line") > F.col("_reached"))
-        .select(*DOC, "first_line", "last_line", "n_words", "first_id")
+    counted = alignments(others, min_words).join(counts, same).select(
+        *DOC, "first_line", "last_line", total.alias("n_words"), "first_id"
     )
+    return counted.union(copies).filter(F.col("n_words") >= min_words)
 
 
 def _united(runs: Column) -> Column:

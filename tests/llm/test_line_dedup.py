@@ -131,6 +131,18 @@ def test_few_different_lines(spark, seed):
     assert len(covered(found)) >= 0.7 * len(true)
 
 
+@pytest.mark.parametrize("chunk", [128, 2])
+def test_frequent_lines_lose_no_run(spark, monkeypatch, chunk):
+    """All is frequent and the first place of a gram seldom has the longest run: the same runs."""
+    monkeypatch.setattr(L, "CHUNK", chunk)
+    draw = random.Random(7)
+    kinds = [sentence(f"k{i}", draw.randint(1, 8)) for i in range(3)]
+    texts = ["".join(draw.choice(kinds) for _ in range(draw.randint(0, 30))) for _ in range(30)]
+    rows, found = runs_of(spark, texts + texts[3:6])
+    assert found == plain_runs(texts + texts[3:6])
+    check_sources(rows, texts + texts[3:6])
+
+
 def test_runs_are_not_chained_from_different_places(spark):
     a, b, c = (sentence(x, 9) for x in "ABC")
     _, found = runs_of(spark, [a + b, b + c, a + b + c])
