@@ -7,8 +7,8 @@ merge changes three positions (the merged token, its live neighbour to the left,
 the one that vanished), each a logarithmic update, so a match of n bytes takes
 O(n log n) however long it is.
 
-Matches repeat a lot, so each task keeps the ids of those it has seen, in a
-dictionary of bounded size; that changes nothing in the result.  Documents are
+Matches repeat a lot, so each task keeps the ids of those it has seen, and what these
+decode to, in a dictionary of bounded size; that changes nothing in the result.  Documents are
 encoded where they lie: nothing is shuffled.
 
 Defined results: a null text is an empty one; an empty text has no ids; an empty
@@ -102,27 +102,27 @@ class Codec:
         self.ranks = read_ranks(path)
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.split = regex.compile(pattern)
-        self.seen: dict[str, tuple[list[int], str]] = {}
+        self.seen: dict[str, tuple[list[int], str, bytes, int]] = {}
 
-    def _match(self, match: str) -> tuple[list[int], str]:
+    def _match(self, match: str) -> tuple[list[int], str, bytes, int]:
         known = self.seen.get(match)
         if known is None:
             word = match.encode()
             ids = merge(word, self.ranks)
-            known = ids, " ".join(map(str, ids))
+            known = ids, " ".join(map(str, ids)), self.decode(ids), len(ids)
             if len(word) <= LONGEST_REMEMBERED:
                 if len(self.seen) >= MEMORY:
                     self.seen.clear()
                 self.seen[match] = known
         return known
 
-    def parts(self, text: str) -> list[tuple[list[int], str]]:
-        """(ids, ids as text) of each match in turn."""
+    def parts(self, text: str) -> list[tuple[list[int], str, bytes, int]]:
+        """(ids, ids as text, bytes that the ids decode to, number of ids) of each match in turn."""
         seen, slow = self.seen.get, self._match
         return [seen(m) or slow(m) for m in self.split.findall(text)]
 
     def encode(self, text: str) -> list[int]:
-        return list(itertools.chain.from_iterable(ids for ids, _ in self.parts(text)))
+        return list(itertools.chain.from_iterable([p[0] for p in self.parts(text)]))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -183,13 +183,11 @@ def digests(
         coder = codec(path, pattern)
         for batch in batches:
             counts, ids_digests, byte_digests = [], [], []
-            for text in batch.column(1):
-                parts = coder.parts(text.as_py() or "")
-                ids = list(itertools.chain.from_iterable(p[0] for p in parts))
-                said = " ".join([p[1] for p in parts])
-                counts.append(len(ids))
-                ids_digests.append(hashlib.sha256(said.encode()).hexdigest())
-                byte_digests.append(hashlib.sha256(coder.decode(ids)).hexdigest())
+            for text in batch.column(1).to_pylist():
+                parts = coder.parts(text) if text else []
+                counts.append(sum([p[3] for p in parts]))
+                ids_digests.append(hashlib.sha256(" ".join([p[1] for p in parts]).encode()).hexdigest())
+                byte_digests.append(hashlib.sha256(b"".join([p[2] for p in parts])).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_digests, pa.string()),
                  pa.array(byte_digests, pa.string())],
