@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from testpulse.llm.columns import let, table
-from testpulse.session import stage
+from testpulse.session import stage, unstage
 
 LINE_END = r"(?<=\n)|(?<=[.!?][\x20\x09])"
 MIN_WORDS = 25
@@ -193,12 +193,14 @@ def earlier_runs(hashed: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         "grams",
     )
     columns = ["_id", *PLACE, "n_lines", "_n", "_key", "_asks", "_source"]
-    known = found.join(_first_of(found, "_key"), "_key")
+    first = _first_of(found, "_key")
+    known = found.join(first, "_key")
     lines = stage(
         known.withColumns({"_asks": ~_is_first(), "_source": F.when(~_is_first(), F.col("_first._id"))})
         .select(*columns),
         "repeated-grams",
     )
+    unstage(found, first)
     docs = stage(hashed.join(lines.select(*DOC).distinct().withColumnsRenamed({"_id": "_k_id", "_version": "_k_version"}),
                              F.col("_id").eqNullSafe(F.col("_k_id")) & (F.col("_version") == F.col("_k_version")),
                              "left_semi"), "repeating-documents")
@@ -212,7 +214,8 @@ def earlier_runs(hashed: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             .select(*columns, F.xxhash64("_key", F.get("_names", at % CHUNK)).alias("_next")),
             "keyed-lines",
         )
-        both = keyed.join(_first_of(keyed, "_next"), "_next", "left")
+        first = _first_of(keyed, "_next")
+        both = keyed.join(first, "_next", "left")
         moved = F.struct((F.col("_n") + 2**bit).alias("_n"), F.col("_next").alias("_key"), (~_is_first()).alias("_asks"),
                          F.when(~_is_first(), F.col("_first._id")).alias("_source"))
         stays = F.struct("_n", "_key", "_asks", "_source")
@@ -221,7 +224,8 @@ def earlier_runs(hashed: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             .otherwise(F.array(moved))
         )
         went = both.select("_id", *PLACE, "n_lines", F.inline(after)).select(*columns)
-        lines = stage(lines.filter(~goes_on).union(went), "lines")
+        before, lines = lines, stage(lines.filter(~goes_on).union(went), "lines")
+        unstage(before, keyed, first)
     return lines.filter("_asks").select(*DOC, "line", F.col("_n").alias("n"), F.col("_source").alias("first_id"))
 
 
@@ -269,6 +273,7 @@ def repeated_runs(
         *DOC, F.lit(0).alias("first_line"), (F.size("lines") - 1).alias("last_line"), n_words.alias("n_words"),
         F.col("_first_id").alias("first_id"),
     )
+    unstage(hashed, firsts)
     others = marked.filter("NOT _copy").select(*DOC, "lines")
     counts = others.select(F.col("_id").alias("_n_id"), F.col("_version").alias("_n_version"), F.col("lines")["n"].alias("_n"))
     same = F.col("_id").eqNullSafe(F.col("_n_id")) & (F.col("_version") == F.col("_n_version"))

@@ -123,6 +123,13 @@ def remove(spark: SparkSession, path: str) -> None:
     system.delete(place, True)
 
 
+def unstage(*tables: DataFrame) -> None:
+    """Delete tables of :func:`stage` that nothing will read again."""
+    for table in tables:
+        for file in table.inputFiles()[:1]:
+            remove(table.sparkSession, file.rpartition("/")[0])
+
+
 _STAGED: dict[tuple[str, str], str] = {}
 
 
