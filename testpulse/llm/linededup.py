@@ -10,16 +10,22 @@ passed over.
 2. *Grams*: the gram at a line is the run from it on that has half of ``min_words`` words or
    four lines.  Every run of ``min_words`` words begins with one, so lines whose gram occurs once
    are left out.
-3. *Descent*: for each of the other lines the length of the longest run from it on that stands at
-   an earlier place, too, is found bit by bit, the highest first.  Lines that agree so far are a
-   group, named by the hash of what agrees.  In a round each line of a group that goes on for
-   2^k more lines is keyed by its group and the hash of those; where a key has several
-   lines, all but the first have an earlier place that agrees so far, and move on to a group
-   of their own; the first stays, and stands in that group as a source only.  A line that has
+3. *Units*: where every place of a gram is followed by the same next gram, and every place of that
+   one is preceded by the first, the two are one unit, and so on.  A run that has one of them goes
+   on to the other in both places, so runs begin and end (but for the lines behind the last
+   whole gram) with units, and a passage that is always repeated whole is one unit.  Units that
+   follow one another in a document are a segment.
+4. *Descent*: for each unit the length of the longest run of units from it on that stands at an
+   earlier place, too, is found bit by bit, the highest first.  Units that agree so far are a
+   group, named by the hash of what agrees.  In a round each member of a group whose segment goes on
+   for 2^k more units is keyed by its group and the hash of those; where a key has several
+   members, all but the first have an earlier place that agrees so far, and move on to a group
+   of their own; the first stays, and stands in that group as a source only.  One that has
    moved is replaced in its old group by that first, which agrees with it for as long as is still
    asked there, so every group has the first place of whatever is asked next.  A group has one
-   such source, so a round holds at most two rows a line, never one per pair of places.
-4. *Runs*: what begins at a line and ends where the run from the line before it ends is part of that
+   such source, so a round holds at most two rows a unit, never one per pair of places.  Two more
+   rounds ask in the same way for the one to three lines behind the last unit, fewer than a gram.
+5. *Runs*: what begins at a unit and ends where the run from a unit before it ends is part of that
    one.  Runs of ``min_words`` words or more are the result; what several of them cover is
    deleted.  The first copy of everything stays, and nothing is chained from different places.
 
@@ -52,14 +58,12 @@ from testpulse.session import stage, unstage
 
 LINE_END = r"(?<=\n)|(?<=[.!?][\x20\x09])"
 MIN_WORDS = 25
-#: Lines of a document whose names are looked up together.
+#: Units of a segment whose names are looked up together.
 CHUNK = 128
 #: Marks line ends where a text does not hold it itself.
 MARK = "\x01"
 
 DOC = ["_id", "_version"]
-#: A line's place: documents in order of id (none first) and hash of the text.
-PLACE = ["_order", "_version", "line"]
 
 
 def _marked(text: Column) -> Column:
@@ -114,6 +118,11 @@ def worded_lines(text: Column) -> Column:
 def line_hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(_id, _version: hash of the text, lines: array of (h, n)) of each document with a line,
     once for rows that share both."""
+    return _hashed(docs, id_col, text_col).dropDuplicates(DOC)
+
+
+def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The columns of :func:`line_hashes`, one row a row."""
     lines = F.transform(
         worded_lines(F.col(text_col)), lambda x: F.struct(x["h"].alias("h"), x["n"].alias("n"))
     )
@@ -121,123 +130,247 @@ def line_hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.col(id_col).cast("long").alias("_id"),
         F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_version"),
         lines.alias("lines"),
-    ).dropDuplicates(DOC)
+    )
+
+
+def _order() -> Column:
+    """No id comes first."""
+    return F.coalesce(F.col("_id"), F.lit(-(2**63)))
 
 
 def grams(hashes: Column, counts: Column, words: int) -> Column:
-    """The gram at each line: struct (g: hash, null if the lines end before it is whole; last)."""
+    """The hash of the gram at each line, null if the lines end before it is whole."""
 
     def gram(n: Column, j: Column) -> Column:
         # In a lambda, Spark copies the whole array for a slice of it, but not for an element.
         h = [F.get(hashes, j + k) for k in range(4)]
         two = n + F.get(counts, j + 1)
         three = two + F.get(counts, j + 2)
+        of = [F.xxhash64(*h[: k + 1]) for k in range(4)]
+        return F.when(n >= words, of[0]).when(two >= words, of[1]).when(three >= words, of[2]).when(h[3].isNotNull(), of[3])
+
+    return F.transform(counts, gram)
+
+
+def _in_order(hashed: DataFrame) -> tuple[DataFrame, int]:
+    """(_doc: a number that grows with id and hash of the text, DOC, lines), written; and the number of
+    bits that hold the number of a line."""
+    rows = 33  # bits of the row within a partition
+    number = F.monotonically_increasing_id()
+    made = stage(hashed.orderBy(_order(), "_version").select(number.alias("_number"), *DOC, "lines"), "documents-in-order")
+    row = F.col("_number").bitwiseAND(2**rows - 1)
+    most = made.agg(F.max(row), F.max(F.shiftright("_number", rows)), F.max(F.size("lines"))).first()
+    row_bits, part_bits, line_bits = ((m or 0).bit_length() for m in most)
+    if row_bits + part_bits + line_bits > 62:
+        raise ValueError("too many lines to be numbered")
+    doc = F.shiftleft(F.shiftright("_number", rows), row_bits).bitwiseOR(row)
+    return made.select(doc.alias("_doc"), *DOC, "lines"), line_bits
+
+
+def _bounds(found: DataFrame) -> DataFrame:
+    """(_g, _opens, _closes) of each gram with several places that is the first or last of a unit.
+
+    If all places of a gram are followed by the same gram, and that one has no more places, then
+    all its places are preceded by the first."""
+    n = F.count(F.lit(1))
+
+    def only(of: str) -> Column:
+        return F.when((F.count(of) == n) & (F.min(of) == F.max(of)), F.min(of))
+
+    classes = stage(
+        found.groupBy("_g").agg(n.alias("_n"), only("_next").alias("_next"), only("_last").alias("_last"))
+        .filter("_n > 1"),
+        "repeated-grams",
+    )
+    none = F.lit(0).cast("long")
+    known = (
+        classes.select("_g", "_n", none.alias("_before"), none.alias("_behind"))
+        .union(classes.filter("_next IS NOT NULL").select("_next", none, "_n", none))
+        .union(classes.filter("_last IS NOT NULL").select("_last", none, none, "_n"))
+    )
+    bounds = known.groupBy("_g").agg(*[F.max(c).alias(c) for c in ("_n", "_before", "_behind")]).select(
+        "_g", (F.col("_before") != F.col("_n")).alias("_opens"), (F.col("_behind") != F.col("_n")).alias("_closes")
+    )
+    written = stage(bounds.filter("_opens OR _closes"), "bounds-of-units")
+    unstage(classes)
+    return written
+
+
+def segments(docs: DataFrame, line_bits: int, min_words: int) -> DataFrame:
+    """(_segment: the place of its first line, units: array of (place, line, last, g, two, one, third)).
+
+    ``two`` is the hash of the two lines behind a unit, ``one`` and ``third`` are those of the first and
+    third."""
+    hashes, counts = F.col("lines")["h"], F.col("lines")["n"]
+    split = docs.select("_doc", hashes.alias("_h"), counts.alias("_n"))
 
-        def of(k: int) -> Column:
-            return F.struct(F.xxhash64(*h[:k]).alias("g"), (j + (k - 1)).alias("last"))
+    def around(made: Column) -> Column:
+        return F.transform(made, lambda g, j: F.struct(
+            j.alias("line"), g.alias("_g"), F.get(made, j + 1).alias("_next"), F.get(made, j - 1).alias("_last")))
 
-        return (
-            F.when(n >= words, of(1)).when(two >= words, of(2)).when(three >= words, of(3)).when(h[3].isNotNull(), of(4))
+    found = stage(
+        split.select("_doc", F.inline(let(grams(F.col("_h"), F.col("_n"), (min_words + 1) // 2), around)))
+        .filter("_g IS NOT NULL"),
+        "grams",
+    )
+    bounds = _bounds(found)
+    along = Window.partitionBy("_doc").orderBy("line")
+    last = F.when(F.col("_closes"), F.col("line")).otherwise(F.lead("line").over(along))
+    units = found.select("_doc", "line", "_g").join(bounds, "_g").withColumn("last", last).filter("_opens")
+    apart = F.coalesce(F.col("line") != F.lag("last").over(along) + 1, F.lit(True))
+    first = F.last(F.when(F.col("_apart"), F.col("line")), ignorenulls=True).over(along)
+    placed = units.withColumn("_apart", apart).withColumn("_first", first)
+    together = placed.groupBy("_doc", "_first").agg(
+        F.array_sort(F.collect_list(F.struct("line", "last", F.col("_g").alias("g")))).alias("_units")
+    )
+
+    def place(line: Column) -> Column:
+        return F.shiftleft("_doc", line_bits).bitwiseOR(line.cast("long"))
+
+    def unit(u: Column) -> Column:
+        behind = [F.get(F.col("_h"), u["last"] + k) for k in (1, 2, 3)]
+        return F.struct(
+            place(u["line"]).alias("place"), u["line"].alias("line"), u["last"].alias("last"), u["g"].alias("g"),
+            F.when(behind[1].isNotNull(), F.xxhash64(*behind[:2])).alias("two"), behind[0].alias("one"),
+            behind[2].alias("third"),
         )
 
-    return F.transform(counts, gram)
+    made = stage(
+        together.join(split.select("_doc", "_h"), "_doc")
+        .select(place(F.col("_first")).alias("_segment"), F.transform("_units", unit).alias("units")),
+        "segments",
+    )
+    unstage(found, bounds)
+    return made
 
 
 def _first_of(places: DataFrame, key: str) -> DataFrame:
     """(key, _first: the first place) of each key with several rows, written."""
-    counted = places.groupBy(key).agg(
-        F.count(F.lit(1)).alias("_places"), F.min(F.struct(*PLACE, "_id")).alias("_first")
-    )
+    counted = places.groupBy(key).agg(F.count(F.lit(1)).alias("_places"), F.min("_place").alias("_first"))
     return stage(counted.filter("_places > 1").drop("_places"), "first-places")
 
 
-def _is_first() -> Column:
-    """Is the row at the first place of its key?"""
-    at = (F.col(c) == F.col(f"_first.{c}") for c in PLACE)
-    return next(at) & next(at) & next(at) & F.col("_id").eqNullSafe(F.col("_first._id"))
-
-
 def _doubled(n: int) -> Callable[[Column], Column]:
-    """Hashes of 2 n lines from hashes of n lines."""
+    """Hashes of 2 n units from hashes of n units."""
     return lambda h: F.transform(h, lambda x, j: F.xxhash64(x, F.get(h, j + n)))
 
 
-def _names(docs: DataFrame, bit: int) -> DataFrame:
-    """(_n_id, _n_version, _n_chunk, _names: of each line of the chunk, the hash of the 2 ** bit lines
-    from it on)."""
-    names = F.col("lines")["h"]
-    for k in range(bit):
-        names = let(names, _doubled(2**k))
-    named = docs.filter(F.size("lines") >= 2**bit).select(
-        F.col("_id").alias("_n_id"), F.col("_version").alias("_n_version"), names.alias("_whole")
-    )
+def _chunks(found: DataFrame, values: Column) -> DataFrame:
+    """(_segment, _chunk, _values): the values of the units of each chunk."""
+    whole = found.select("_segment", values.alias("_whole"))
     chunks = F.sequence(F.lit(0), F.floor((F.size("_whole") - 1) / CHUNK).cast("int"))
-    return named.select("*", F.explode(chunks).alias("_n_chunk")).select(
-        "_n_id", "_n_version", "_n_chunk", F.slice("_whole", F.col("_n_chunk") * CHUNK + 1, F.lit(CHUNK)).alias("_names")
+    return whole.select("*", F.explode(chunks).alias("_chunk")).select(
+        "_segment", "_chunk", F.slice("_whole", F.col("_chunk") * CHUNK + 1, F.lit(CHUNK)).alias("_values")
     )
 
 
-def earlier_runs(hashed: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(_id, _version, line, n, first_id): the number of lines from each line on that stand at an earlier
-    place, too, and the id of the first such place; of lines whose gram does."""
-    hashes, counts = F.col("_h"), F.col("_n")
-    order = F.coalesce(F.col("_id"), F.lit(-(2**63)))  # no id comes first
-    split = hashed.select(*DOC, order.alias("_order"), F.col("lines")["h"].alias("_h"), F.col("lines")["n"].alias("_n"))
-    made = split.select(
-        "_id", "_order", "_version", F.size(hashes).alias("n_lines"),
-        F.posexplode(grams(hashes, counts, (min_words + 1) // 2)).alias("line", "_gram"),
-    ).filter(F.col("_gram").isNotNull() & F.col("_gram.g").isNotNull())
-    found = stage(
-        made.select("_id", *PLACE, "n_lines", (F.col("_gram.last") - F.col("line") + 1).alias("_n"),
-                    F.xxhash64("_gram.g", F.col("_gram.last") - F.col("line")).alias("_key")),
-        "grams",
+def _looked_up(rows: DataFrame, at: Column, found: DataFrame, values: Column) -> DataFrame:
+    """``rows`` with ``_value``, the value of the unit with number ``at`` of their segment."""
+    chunk = F.floor(at / CHUNK).cast("int")
+    joined = rows.withColumn("_chunk", chunk).join(_chunks(found, values), ["_segment", "_chunk"])
+    return joined.withColumn("_value", F.get("_values", at % CHUNK)).drop("_chunk", "_values")
+
+
+def _names(found: DataFrame, bit: int) -> Column:
+    """Of each unit, the hash of the 2 ** bit units from it on."""
+    names = F.col("units")["g"]
+    for k in range(bit):
+        names = let(names, _doubled(2**k))
+    return names
+
+
+def _asked(keyed: DataFrame, **more: Column) -> DataFrame:
+    """The rows after a round; ``_next`` names what each asks for (null: nothing), ``more`` are the columns of a row
+    that finds it."""
+    first = _first_of(keyed.filter("_next IS NOT NULL"), "_next")
+    both = keyed.join(first, "_next", "left")
+    later = F.col("_place") != F.col("_first")
+    moves = {**more, "_key": F.col("_next"), "_asks": later, "_source": F.when(later, F.col("_first"))}
+    stays = F.struct(*moves)
+    moved = F.struct(*[value.alias(name) for name, value in moves.items()])
+    after = (
+        F.when(F.col("_first").isNull(), F.array(stays)).when(later, F.array(moved)).otherwise(F.array(stays, moved))
     )
-    columns = ["_id", *PLACE, "n_lines", "_n", "_key", "_asks", "_source"]
-    first = _first_of(found, "_key")
-    known = found.join(first, "_key")
-    lines = stage(
-        known.withColumns({"_asks": ~_is_first(), "_source": F.when(~_is_first(), F.col("_first._id"))})
-        .select(*columns),
-        "repeated-grams",
+    kept = [c for c in keyed.columns if c not in moves and c != "_next"]
+    rows = stage(both.select(*kept, F.inline(after)), "units-so-far")
+    unstage(keyed, first)
+    return rows
+
+
+def earlier_runs(found: DataFrame) -> DataFrame:
+    """(_place, line, last, _source): of each unit that stands at an earlier place, too, the last line of the
+    longest run from it on that does, and the first such place."""
+    size = F.size("units")
+    units = stage(
+        found.select("_segment", size.alias("_size"), F.posexplode("units").alias("_at", "_unit"))
+        .select("_segment", "_size", "_at", F.col("_unit.place").alias("_place"), F.col("_unit.line").alias("line"),
+                F.col("_unit.g").alias("_key")),
+        "units",
     )
-    unstage(found, first)
-    docs = stage(hashed.join(lines.select(*DOC).distinct().withColumnsRenamed({"_id": "_k_id", "_version": "_k_version"}),
-                             F.col("_id").eqNullSafe(F.col("_k_id")) & (F.col("_version") == F.col("_k_version")),
-                             "left_semi"), "repeating-documents")
-    longest = lines.agg(F.max(F.col("n_lines") - F.col("line") - F.col("_n"))).first()[0] or 0
-    at = F.col("line") + F.col("_n")
+    first = _first_of(units, "_key")
+    later = F.col("_place") != F.col("_first")
+    behind = F.col("_size") - F.col("_at") - 1
+    columns = ["_segment", "_size", "_at", "_place", "line", "_n", "_key", "_asks", "_source"]
+    begun = stage(
+        units.join(first, "_key")
+        .withColumns({"_n": F.lit(1), "_asks": later, "_source": F.when(later, F.col("_first")), "_behind": behind})
+        .select(*columns, "_behind"),
+        "repeated-units",
+    )
+    unstage(units, first)
+    longest = begun.agg(F.max("_behind")).first()[0] or 0
+    at = F.col("_at") + F.col("_n")
+    rows = begun.filter("_behind = 0").select(*columns)
+    waiting = None  # rows that have been asked in a round
     for bit in reversed(range(longest.bit_length())):
-        goes_on = at + 2**bit <= F.col("n_lines")
-        same = F.col("_id").eqNullSafe(F.col("_n_id")) & (F.col("_version") == F.col("_n_version"))
-        keyed = stage(
-            lines.filter(goes_on).join(_names(docs, bit), same & (F.floor(at / CHUNK).cast("int") == F.col("_n_chunk")))
-            .select(*columns, F.xxhash64("_key", F.get("_names", at % CHUNK)).alias("_next")),
-            "keyed-lines",
-        )
-        first = _first_of(keyed, "_next")
-        both = keyed.join(first, "_next", "left")
-        moved = F.struct((F.col("_n") + 2**bit).alias("_n"), F.col("_next").alias("_key"), (~_is_first()).alias("_asks"),
-                         F.when(~_is_first(), F.col("_first._id")).alias("_source"))
-        stays = F.struct("_n", "_key", "_asks", "_source")
-        after = (
-            F.when(F.col("_first").isNull(), F.array(stays)).when(_is_first(), F.array(stays, moved))
-            .otherwise(F.array(moved))
-        )
-        went = both.select("_id", *PLACE, "n_lines", F.inline(after)).select(*columns)
-        before, lines = lines, stage(lines.filter(~goes_on).union(went), "lines")
-        unstage(before, keyed, first)
-    return lines.filter("_asks").select(*DOC, "line", F.col("_n").alias("n"), F.col("_source").alias("first_id"))
+        goes_on = at + 2**bit <= F.col("_size")
+        # Rows are not touched before the first round in which they can go on.
+        asking = begun.filter(F.col("_behind").between(2**bit, 2 ** (bit + 1) - 1)).select(*columns)
+        if waiting is not None:
+            asking = asking.union(waiting.filter(goes_on).select(*columns))
+        keyed = _looked_up(asking, at, found.filter(size > 2**bit), _names(found, bit))
+        keyed = stage(keyed.select(*columns, F.xxhash64("_key", "_value").alias("_next")), "keyed-units")
+        went = _asked(keyed, _n=F.col("_n") + 2**bit).select(*columns)
+        before, waiting = waiting, went
+        if before is not None:
+            waiting = stage(went.union(before.filter(~goes_on)), "units-so-far")
+            unstage(went, before)
+    if waiting is not None:
+        rows = rows.union(waiting)
+    # Fewer lines than a gram may agree behind the last unit: two, then one.
+    ends = _looked_up(rows, at - 1, found, F.transform("units", lambda u: u.dropFields("place", "line", "g")))
+    ends = ends.select("_place", "line", F.col("_value.last").alias("last"), "_key", "_asks", "_source",
+                       F.col("_value.one").alias("_one"), F.col("_value.third").alias("_third"),
+                       F.when(F.col("_value.two").isNotNull(), F.xxhash64("_key", "_value.two")).alias("_next"))
+    ends = _asked(stage(ends, "keyed-ends"), last=F.col("last") + 2, _one=F.col("_third"))
+    line = F.when(F.col("_one").isNotNull(), F.xxhash64("_key", "_one")).alias("_next")
+    ends = _asked(stage(ends.select("_place", "line", "last", "_key", "_asks", "_source", line), "keyed-ends"),
+                  last=F.col("last") + 1)
+    unstage(begun, *([waiting] if waiting is not None else []))
+    return ends.filter("_asks").select("_place", "line", "last", "_source")
 
 
 def alignments(hashed: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(_id, _version, first_line, last_line, first_id): runs that stand at an earlier place and are not part
-    of another, the first place of each; some are too short."""
-    along = Window.partitionBy(*DOC).orderBy("first_line").rowsBetween(Window.unboundedPreceding, -1)
-    runs = earlier_runs(hashed, min_words).select(
-        *DOC, F.col("line").alias("first_line"), (F.col("line") + F.col("n") - 1).alias("last_line"), "first_id"
+    """(_id, _version, first_line, last_line, n_words, first_id): runs that stand at an earlier place and are
+    not part of another, the first place of each; some are too short."""
+    docs, line_bits = _in_order(hashed)
+    found = segments(docs, line_bits, min_words)
+    along = Window.partitionBy("_doc").orderBy("first_line").rowsBetween(Window.unboundedPreceding, -1)
+    runs = earlier_runs(found).select(
+        F.shiftright("_place", line_bits).alias("_doc"), F.col("line").alias("first_line"),
+        F.col("last").alias("last_line"), F.shiftright("_source", line_bits).alias("_first_doc"),
     )
+    unstage(found)  # the runs are written
     reached = F.coalesce(F.max("last_line").over(along), F.lit(-1))
-    return runs.withColumn("_reached", reached).filter(F.col("last_line") > F.col("_reached")).drop("_reached")
+    longest = runs.withColumn("_reached", reached).filter(F.col("last_line") > F.col("_reached"))
+    size = F.col("last_line") - F.col("first_line") + 1
+    total = F.aggregate(
+        F.slice("_n", F.col("first_line") + 1, size), F.lit(0).cast("long"), lambda sum_, n: sum_ + n
+    )
+    own = docs.select("_doc", *DOC, F.col("lines")["n"].alias("_n"))
+    counted = longest.join(own, "_doc").select(*DOC, "first_line", "last_line", total.alias("n_words"), "_first_doc")
+    sources = docs.select(F.col("_doc").alias("_first_doc"), F.col("_id").alias("first_id"))
+    return counted.join(sources, "_first_doc").drop("_first_doc")
 
 
 def repeated_runs(
@@ -252,38 +385,24 @@ def repeated_runs(
     among its lines with words, ``n_words`` counts the run's words, and ``first_id`` is
     the id of the first place that has it.  Runs can overlap.
     """
-    hashed = stage(line_hashes(docs, id_col, text_col).filter(F.size("lines") > 0), "line-hashes")
-    order = F.coalesce(F.col("_id"), F.lit(-(2**63)))
-    alike = F.xxhash64("lines").alias("_alike")
-    firsts = stage(
-        hashed.groupBy(alike, F.size("lines").alias("_size"))
-        .agg(F.count(F.lit(1)).alias("_places"), F.min(F.struct(order.alias("order"), "_version", "_id")).alias("_first"))
-        .filter("_places > 1"),
-        "copied-documents",
-    )
-    marked = stage(
-        hashed.withColumns({"_alike": alike, "_size": F.size("lines")}).join(firsts, ["_alike", "_size"], "left")
-        .withColumn("_copy", F.col("_first").isNotNull() & ~(
-            (F.col("_first._version") == F.col("_version")) & F.col("_first._id").eqNullSafe(F.col("_id"))))
-        .select(*DOC, "lines", "_copy", F.col("_first._id").alias("_first_id")),
-        "marked-documents",
+    alike = {"_alike": F.xxhash64("lines"), "_size": F.size("lines")}
+    hashed = stage(_hashed(docs, id_col, text_col).filter(F.size("lines") > 0).withColumns(alike), "line-hashes")
+    contents = stage(
+        hashed.groupBy(*alike).agg(
+            F.count(F.lit(1)).alias("_places"), F.min(F.struct(_order().alias("order"), "_version", "_id")).alias("_first"),
+            F.first("lines").alias("lines"),
+        ),
+        "contents",
     )
     n_words = F.aggregate(F.col("lines")["n"], F.lit(0).cast("long"), lambda total, n: total + n)
-    copies = marked.filter("_copy").select(
-        *DOC, F.lit(0).alias("first_line"), (F.size("lines") - 1).alias("last_line"), n_words.alias("n_words"),
-        F.col("_first_id").alias("first_id"),
-    )
-    unstage(hashed, firsts)
-    others = marked.filter("NOT _copy").select(*DOC, "lines")
-    counts = others.select(F.col("_id").alias("_n_id"), F.col("_version").alias("_n_version"), F.col("lines")["n"].alias("_n"))
-    same = F.col("_id").eqNullSafe(F.col("_n_id")) & (F.col("_version") == F.col("_n_version"))
-    size = F.col("last_line") - F.col("first_line") + 1
-    total = F.aggregate(
-        F.slice("_n", F.col("first_line") + 1, size), F.lit(0).cast("long"), lambda sum_, n: sum_ + n
-    )
-    counted = alignments(others, min_words).join(counts, same).select(
-        *DOC, "first_line", "last_line", total.alias("n_words"), "first_id"
-    )
+    copied = contents.filter("_places > 1").select(*alike, n_words.alias("n_words"), "_first")
+    first = (F.col("_first._version") == F.col("_version")) & F.col("_first._id").eqNullSafe(F.col("_id"))
+    copies = hashed.select(*DOC, *alike).join(copied, [*alike]).filter(~first).select(
+        *DOC, F.lit(0).alias("first_line"), (F.col("_size") - 1).alias("last_line"), "n_words",
+        F.col("_first._id").alias("first_id"),
+    ).distinct()
+    firsts = contents.select("_first._id", "_first._version", "lines")
+    counted = alignments(firsts, min_words).select(*DOC, "first_line", "last_line", "n_words", "first_id")
     return counted.union(copies).filter(F.col("n_words") >= min_words)
 
 

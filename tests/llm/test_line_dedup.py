@@ -191,3 +191,20 @@ def test_one_line_over_and_over(spark):
     assert L.alignments(hashed).count() <= 4 * 3 * (3000 // L.CHUNK + 2)
     _, found = runs_of(spark, texts)
     assert covered(found) == {(0, i) for i in range(1, 3000)} | {(1, i) for i in range(3000)} | {(2, i) for i in range(2000)}
+
+
+def test_a_passage_repeated_whole_is_one_unit(spark):
+    """The descent has a row a passage, not one a line, and finds the lines behind its last gram."""
+    short = [sentence(f"s{k}.", 2) for k in range(3)]
+    passages = ["".join(sentence(f"p{i}.{k}.", 9) for k in range(30)) for i in range(4)]
+    texts = [
+        "".join(sentence(f"d{d}.{i}.", 7) + p + "".join(short[: (d + i) % 4]) for i, p in enumerate(passages))
+        + sentence(f"e{d}.", 5) for d in range(6)
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    ordered, bits = L._in_order(L.line_hashes(docs, "doc_id", "text"))
+    units = sum(len(r.units) for r in L.segments(ordered, bits, L.MIN_WORDS).collect())
+    assert units <= 6 * 4 * 5  # of 720 lines in passages: the passage, and what its last lines begin
+    rows, found = runs_of(spark, texts)
+    assert found == plain_runs(texts)
+    check_sources(rows, texts)
