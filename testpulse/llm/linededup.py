@@ -386,7 +386,8 @@ def repeated_runs(
     the id of the first place that has it.  Runs can overlap.
     """
     alike = {"_alike": F.xxhash64("lines"), "_size": F.size("lines")}
-    hashed = stage(_hashed(docs, id_col, text_col).filter(F.size("lines") > 0).withColumns(alike), "line-hashes")
+    # Filtered once written: a filter is pushed below the lines, which would be made twice.
+    hashed = stage(_hashed(docs, id_col, text_col).withColumns(alike), "line-hashes").filter("_size > 0")
     contents = stage(
         hashed.groupBy(*alike).agg(
             F.count(F.lit(1)).alias("_places"), F.min(F.struct(_order().alias("order"), "_version", "_id")).alias("_first"),
