@@ -67,8 +67,19 @@ DOC = ["_id", "_version"]
 
 
 def _marked(text: Column) -> Column:
-    """The text with ``MARK`` behind every line end that ``LINE_END`` matches."""
-    return F.regexp_replace(text, r"\n|[.!?][\x20\x09]", "$0" + MARK)
+    """The text with ``MARK`` behind every line end that ``LINE_END`` matches.
+
+    No two of these ends overlap, and plain texts are found faster than a pattern."""
+
+    def behind(whole: Column, *ends: str) -> Column:
+        for end in ends:
+            whole = F.replace(whole, F.lit(end), F.lit(end + MARK))
+        return whole
+
+    return let(
+        behind(text, "\n", ". ", "! ", "? "),
+        lambda t: F.when(F.contains(t, F.lit("\t")), behind(t, ".\t", "!\t", "?\t")).otherwise(t),
+    )
 
 
 def pieces(text: Column) -> Column:
@@ -80,9 +91,12 @@ def _cut(text: Column, blanked) -> Column:
     """The lines of a text, ``blanked`` before they are cut.
 
     Marking is faster than cutting by the pattern; a text that holds the mark is cut by it."""
-    whole = F.coalesce(text, F.lit(""))
-    by_pattern = F.transform(F.split(whole, LINE_END), blanked)
-    return _not_empty(F.when(F.contains(whole, F.lit(MARK)), by_pattern).otherwise(F.split(blanked(_marked(whole)), MARK)))
+
+    def cut(whole: Column) -> Column:
+        by_pattern = F.transform(F.split(whole, LINE_END), blanked)
+        return F.when(F.contains(whole, F.lit(MARK)), by_pattern).otherwise(F.split(blanked(_marked(whole)), MARK))
+
+    return _not_empty(let(F.coalesce(text, F.lit("")), cut))
 
 
 def _not_empty(parts: Column) -> Column:
@@ -94,25 +108,40 @@ def _not_empty(parts: Column) -> Column:
 
 
 def _blanks_only(text: Column) -> Column:
-    """The text with one blank for every run of white space."""
-    return F.regexp_replace(text, r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " ")
+    """The text with one blank for every run of white space (blanks beside a line break may stay: they are
+    at the end of a line).
+
+    The pattern is only tried on texts with other white space than line breaks and single blanks."""
+
+    def blanked(t: Column) -> Column:
+        other = F.contains(t, F.lit("  "))
+        for blank in "\t\x0b\x0c\r":
+            other = other | F.contains(t, F.lit(blank))
+        runs = F.regexp_replace(t, r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " ")
+        return F.when(other, runs).otherwise(F.replace(t, F.lit("\n"), F.lit(" ")))
+
+    return let(text, blanked)
+
+
+def _trimmed(text: Column) -> Column:
+    """The words of each piece, joined by one blank; empty without any."""
+    return F.transform(_cut(text, _blanks_only), lambda part: F.trim(part))
+
+
+def _hash_and_words(w: Column) -> list[Column]:
+    """(h, n) of the joined words of a line with a word."""
+    blanks = F.octet_length(w) - F.octet_length(F.replace(w, F.lit(" "), F.lit("")))
+    return [F.xxhash64(w).alias("h"), (blanks + 1).alias("n")]
 
 
 def worded_lines(text: Column) -> Column:
     """Struct (h: hash of the words, joined by one blank, n: words, at: index of the piece)
     of each line with a word."""
 
-    def line(part: Column, at: Column) -> Column:
-        return let(
-            F.trim(part),
-            lambda w: F.struct(
-                F.xxhash64(w).alias("h"),
-                F.when(w == "", 0).otherwise(F.length(w) - F.length(F.replace(w, F.lit(" "), F.lit(""))) + 1).alias("n"),
-                at.alias("at"),
-            ),
-        )
-
-    return F.filter(F.transform(_cut(text, _blanks_only), line), lambda x: x["n"] > 0)
+    lines = F.transform(
+        _trimmed(text), lambda w, at: F.when(w != "", F.struct(*_hash_and_words(w), at.alias("at")))
+    )
+    return F.filter(lines, lambda x: x.isNotNull())
 
 
 def line_hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -123,9 +152,7 @@ def line_hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The columns of :func:`line_hashes`, one row a row."""
-    lines = F.transform(
-        worded_lines(F.col(text_col)), lambda x: F.struct(x["h"].alias("h"), x["n"].alias("n"))
-    )
+    lines = F.transform(F.array_remove(_trimmed(F.col(text_col)), ""), lambda w: F.struct(*_hash_and_words(w)))
     return docs.select(
         F.col(id_col).cast("long").alias("_id"),
         F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_version"),
@@ -168,7 +195,8 @@ def _in_order(hashed: DataFrame) -> tuple[DataFrame, int]:
 
 
 def _bounds(found: DataFrame) -> DataFrame:
-    """(_g, _opens, _closes) of each gram with several places that is the first or last of a unit.
+    """(_g, _opens, _closes) of each gram that is the first or last of a unit; ``found`` are the places of
+    grams with several.
 
     If all places of a gram are followed by the same gram, and that one has no more places, then
     all its places are preceded by the first."""
@@ -178,8 +206,7 @@ def _bounds(found: DataFrame) -> DataFrame:
         return F.when((F.count(of) == n) & (F.min(of) == F.max(of)), F.min(of))
 
     classes = stage(
-        found.groupBy("_g").agg(n.alias("_n"), only("_next").alias("_next"), only("_last").alias("_last"))
-        .filter("_n > 1"),
+        found.groupBy("_g").agg(n.alias("_n"), only("_next").alias("_next"), only("_last").alias("_last")),
         "repeated-grams",
     )
     none = F.lit(0).cast("long")
@@ -204,15 +231,19 @@ def segments(docs: DataFrame, line_bits: int, min_words: int) -> DataFrame:
     hashes, counts = F.col("lines")["h"], F.col("lines")["n"]
     split = docs.select("_doc", hashes.alias("_h"), counts.alias("_n"))
 
-    def around(made: Column) -> Column:
-        return F.transform(made, lambda g, j: F.struct(
-            j.alias("line"), g.alias("_g"), F.get(made, j + 1).alias("_next"), F.get(made, j - 1).alias("_last")))
-
-    found = stage(
-        split.select("_doc", F.inline(let(grams(F.col("_h"), F.col("_n"), (min_words + 1) // 2), around)))
-        .filter("_g IS NOT NULL"),
-        "grams",
+    # Each array is cut out of the lines once, not once per line.
+    made = let(F.col("_h"), lambda h: let(F.col("_n"), lambda n: grams(h, n, (min_words + 1) // 2)))
+    every = stage(split.select("_doc", made.alias("_grams")), "grams")
+    places = every.select("_doc", "_grams", F.posexplode("_grams").alias("line", "_g")).filter("_g IS NOT NULL")
+    around = [F.get("_grams", F.col("line") + 1).alias("_next"), F.get("_grams", F.col("line") - 1).alias("_last")]
+    # Most grams have one place: they are counted by themselves, and nothing else of them is shuffled or written.
+    several = stage(
+        every.select(F.explode("_grams").alias("_g")).filter("_g IS NOT NULL").groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+        .filter("_n > 1").select("_g"),
+        "grams-with-several-places",
     )
+    found = stage(places.select("_doc", "line", "_g", *around).join(several, "_g"), "places-of-grams")
+    unstage(every, several)
     bounds = _bounds(found)
     along = Window.partitionBy("_doc").orderBy("line")
     last = F.when(F.col("_closes"), F.col("line")).otherwise(F.lead("line").over(along))
@@ -221,7 +252,7 @@ def segments(docs: DataFrame, line_bits: int, min_words: int) -> DataFrame:
     first = F.last(F.when(F.col("_apart"), F.col("line")), ignorenulls=True).over(along)
     placed = units.withColumn("_apart", apart).withColumn("_first", first)
     together = placed.groupBy("_doc", "_first").agg(
-        F.array_sort(F.collect_list(F.struct("line", "last", F.col("_g").alias("g")))).alias("_units")
+        F.sort_array(F.collect_list(F.struct("line", "last", F.col("_g").alias("g")))).alias("_units")
     )
 
     def place(line: Column) -> Column:
@@ -385,24 +416,25 @@ def repeated_runs(
     among its lines with words, ``n_words`` counts the run's words, and ``first_id`` is
     the id of the first place that has it.  Runs can overlap.
     """
-    alike = {"_alike": F.xxhash64("lines"), "_size": F.size("lines")}
+    alike = {"_alike": F.xxhash64("lines"), "_size": F.size("lines"), "_row": F.monotonically_increasing_id()}
     # Filtered once written: a filter is pushed below the lines, which would be made twice.
     hashed = stage(_hashed(docs, id_col, text_col).withColumns(alike), "line-hashes").filter("_size > 0")
-    contents = stage(
-        hashed.groupBy(*alike).agg(
-            F.count(F.lit(1)).alias("_places"), F.min(F.struct(_order().alias("order"), "_version", "_id")).alias("_first"),
-            F.first("lines").alias("lines"),
-        ),
-        "contents",
+    key = ["_alike", "_size"]
+    first = F.min(F.struct(_order().alias("order"), "_version", "_id", "_row"))
+    copied = stage(
+        hashed.groupBy(*key).agg(F.count(F.lit(1)).alias("_places"), first.alias("_first")).filter("_places > 1")
+        .drop("_places"),
+        "copied-contents",
     )
     n_words = F.aggregate(F.col("lines")["n"], F.lit(0).cast("long"), lambda total, n: total + n)
-    copied = contents.filter("_places > 1").select(*alike, n_words.alias("n_words"), "_first")
     first = (F.col("_first._version") == F.col("_version")) & F.col("_first._id").eqNullSafe(F.col("_id"))
-    copies = hashed.select(*DOC, *alike).join(copied, [*alike]).filter(~first).select(
-        *DOC, F.lit(0).alias("first_line"), (F.col("_size") - 1).alias("last_line"), "n_words",
+    copies = hashed.join(copied, key).filter(~first).select(
+        *DOC, F.lit(0).alias("first_line"), (F.col("_size") - 1).alias("last_line"), n_words.alias("n_words"),
         F.col("_first._id").alias("first_id"),
     ).distinct()
-    firsts = contents.select("_first._id", "_first._version", "lines")
+    # One row of each content, also where rows share id and text.
+    of_first = F.col("_first").isNull() | (F.col("_first._row") == F.col("_row"))
+    firsts = hashed.join(copied, key, "left").filter(of_first).select(*DOC, "lines")
     counted = alignments(firsts, min_words).select(*DOC, "first_line", "last_line", "n_words", "first_id")
     return counted.union(copies).filter(F.col("n_words") >= min_words)
 

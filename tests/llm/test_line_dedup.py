@@ -208,3 +208,42 @@ def test_a_passage_repeated_whole_is_one_unit(spark):
     rows, found = runs_of(spark, texts)
     assert found == plain_runs(texts)
     check_sources(rows, texts)
+
+
+def test_lines_are_cut_the_same_however_they_are_found(spark):
+    """Lines and their words by plain searches are those of the patterns, at all kinds of white space and ends."""
+    draw = random.Random(5)
+    parts = ["a", "bc", "é", ".", "!", "?", ". ", "! ", "? ", ".\t", "!\t", "?\t", "\n", "\r\n", "\r", "\v", "\f", " ", "  ", "\t"]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randint(0, 25))) for _ in range(400)] + ["", "\n", " \n\n "]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], SCHEMA)
+    rows = df.select(
+        "doc_id", L.pieces(L.F.col("text")).alias("pieces"), L.worded_lines(L.F.col("text")).alias("lines"),
+        L._trimmed(L.F.col("text")).alias("words"),
+    ).collect()
+    hashed = {r._id: [tuple(x) for x in r.lines] for r in L._hashed(df, "doc_id", "text").collect()}
+    for r in rows:
+        text = texts[r.doc_id]
+        cut = re.split(r"(?<=\n)|(?<=[.!?][\x20\x09])", text)
+        cut = cut[:-1] if len(cut) > 1 and cut[-1] == "" else cut
+        assert r.pieces == cut and r.words == [" ".join(re.findall(r"[^\x20\x09-\x0D]+", p)) for p in cut]
+        assert [(x.n, x.at) for x in r.lines] == [(len(w.split(" ")), k) for k, w in enumerate(r.words) if w]
+        assert hashed[r.doc_id] == [(x.h, x.n) for x in r.lines]
+
+
+def test_narrow_steps(spark, monkeypatch):
+    """Lines go through no aggregation, and only grams with several places are written one by one."""
+    written = {}
+    stage = L.stage
+
+    def kept(df, name):
+        written[name] = stage(df, name)
+        return written[name]
+
+    monkeypatch.setattr(L, "stage", kept)
+    monkeypatch.setattr(L, "unstage", lambda *tables: None)
+    passage = "".join(sentence(f"p{k}.", 14) for k in range(3))
+    texts = ["".join(sentence(f"d{d}.{k}.", 14) for k in range(20)) + passage for d in range(4)]
+    _, found = runs_of(spark, texts + texts[:1])
+    assert found == {1: {(20, 22)}, 2: {(20, 22)}, 3: {(20, 22)}, 4: {(0, 22)}}
+    assert "lines" not in written["copied-contents"].columns
+    assert written["places-of-grams"].count() == 4 * 3
