@@ -28,6 +28,7 @@ from testpulse.operators.spread import (
 from testpulse.session import stage
 
 LOG = ["repo", "run_id", "filename"]
+PLACE = [*LOG, "entry_ord", "line_no"]
 BLOCK_CHUNK = 4096
 
 
@@ -169,6 +170,16 @@ def event_codes(line: Column, framework: str | None = None) -> Column:
     return F.array(*codes)
 
 
+def _looked_up(of_rules: list, of_duration=None, of_marks=None) -> Column:
+    """The value that belongs to ``code``."""
+    values = [*of_rules, of_duration, *(of_marks or [None] * len(MARKS))]
+    return F.get(F.array(*[F.lit(v) for v in values]), F.col("code"))
+
+
+def _of_rule(field: str) -> Column:
+    return _looked_up([getattr(r, field) for r in RESULT_RULES])
+
+
 def with_event_fields(hits: DataFrame, keep: list[str]) -> DataFrame:
     """What each line means under the rule, duration or mark with number ``code``.
 
@@ -177,21 +188,13 @@ def with_event_fields(hits: DataFrame, keep: list[str]) -> DataFrame:
     that the JVM does not compile.
     """
     line, code = F.col("line"), F.col("code")
-    n_marks = len(MARKS)
-
-    def looked_up(of_rules: list, of_duration=None, of_marks=None) -> Column:
-        values = [*of_rules, of_duration, *(of_marks or [None] * n_marks)]
-        return F.get(F.array(*[F.lit(v) for v in values]), code)
-
-    def of_rule(field: str) -> Column:
-        return looked_up([getattr(r, field) for r in RESULT_RULES])
 
     def shaped(*shapes: str) -> Column:
         return code.isin([i for i, r in enumerate(RESULT_RULES) if r.shape in shapes])
 
-    pattern = looked_up([T.java(r.pattern) for r in RESULT_RULES], T.java(fixed.DURATION),
+    pattern = _looked_up([T.java(r.pattern) for r in RESULT_RULES], T.java(fixed.DURATION),
                         [T.java(m.name) for m in MARKS])
-    name_group = looked_up([r.name_group for r in RESULT_RULES], None,
+    name_group = _looked_up([r.name_group for r in RESULT_RULES], None,
                            [m.name_group if m.opens else None for m in MARKS])
 
     def group(number: Column) -> Column:
@@ -200,8 +203,8 @@ def with_event_fields(hits: DataFrame, keep: list[str]) -> DataFrame:
     cut = hits.select(
         *keep, "code",
         group(name_group).alias("main"),
-        group(of_rule("status_group")).alias("word"),
-        group(looked_up([r.extra_group for r in RESULT_RULES], 1)).alias("extra"),
+        group(_of_rule("status_group")).alias("word"),
+        group(_looked_up([r.extra_group for r in RESULT_RULES], 1)).alias("extra"),
     )
     main, extra = F.col("main"), F.col("extra")
     is_result, is_mark = code < DURATION, code > DURATION
@@ -216,18 +219,18 @@ def with_event_fields(hits: DataFrame, keep: list[str]) -> DataFrame:
         .otherwise(main),
     )
     name = F.col("name")
-    opens = looked_up([None] * len(RESULT_RULES), None, [m.opens for m in MARKS])
+    opens = _looked_up([None] * len(RESULT_RULES), None, [m.opens for m in MARKS])
     pytest = code.isin([i for i, r in enumerate(RESULT_RULES) if r.framework == "pytest"])
     fields = {
         "kind": F.when(is_result, "result").when(is_mark, "mark").otherwise("duration"),
-        "priority": of_rule("priority"),
-        "rule": of_rule("rule"),
-        "rule_ord": of_rule("rule_ord"),
+        "priority": _of_rule("priority"),
+        "rule": _of_rule("rule"),
+        "rule_ord": _of_rule("rule_ord"),
         "status": F.when(is_result, T.status_of(F.coalesce("word", F.lit("FAILED")))),
         "name": name,
         "block_key": F.when(pytest, F.substring_index(name, "::", -1))
         .when(member, extra).when(is_result, ""),
-        "style": looked_up([None] * len(RESULT_RULES), None, [m.style for m in MARKS]),
+        "style": _looked_up([None] * len(RESULT_RULES), None, [m.style for m in MARKS]),
         "opens": opens & (name != ""),
         "detail": F.when(shaped("totals"), F.concat(F.ltrim(extra, F.lit("0")), F.lit(" failures")))
         .when(is_result, "").when(code == DURATION, extra),
@@ -248,14 +251,18 @@ def line_events(
     earlier one would claim); ``strip_timestamps`` lets failure blocks start on
     lines that carry the CI runner's timestamp.
     """
-    keep = [*LOG, "entry_ord", "line_no"]
+    return with_event_fields(_line_hits(lines, framework, strip_timestamps), PLACE)
+
+
+def _line_hits(lines: DataFrame, framework: str | None, strip_timestamps: bool) -> DataFrame:
+    """The lines that match something, once for each ``code`` of what they match, written down."""
     codes = F.explode(event_codes(F.col("line"), framework)).alias("code")
     hits = (
         clean_lines(lines, strip_timestamps)
-        .select(*keep, "line", codes)
+        .select(*PLACE, "line", codes)
         .filter(F.col("code").isNotNull())
     )
-    return with_event_fields(stage(hits, "line-hits"), keep)
+    return stage(hits, "line-hits")
 
 
 def clean_lines(lines: DataFrame, strip_timestamps: bool = False) -> DataFrame:
@@ -274,12 +281,12 @@ def log_frameworks(events: DataFrame) -> DataFrame:
     first = (
         events.filter(F.col("kind") == "duration")
         .groupBy(*LOG)
-        .agg(F.min_by("detail", "line_no").alias("duration"))
+        .agg(F.min_by(T.seconds(F.col("detail")), "line_no").alias("duration"))
     )
     timed = F.col("won").isin(*{r.priority for r in RESULT_RULES if r.timed})
     return rows.join(first, LOG, "left").select(
         *LOG, "won", "n_results",
-        F.when(timed, T.seconds(F.col("duration"))).otherwise(F.lit(0.0)).alias("timing_seconds"),
+        F.when(timed, F.coalesce("duration", F.lit(0.0))).otherwise(F.lit(0.0)).alias("timing_seconds"),
     )
 
 
@@ -377,13 +384,14 @@ def _block_line_features(line: Column, style: Column) -> dict[str, Column]:
 
 def block_texts(events: DataFrame, wanted: DataFrame, lines: DataFrame) -> DataFrame:
     """Message and stack trace of each wanted block, put together per chunk of lines first and
-    per block second."""
+    per block second.  Jest blocks only have a message."""
     inside = _lines_in_blocks(_block_bounds(events, wanted, lines), lines)
     inside = inside.filter(
         ~((F.col("style") == "unittest") & F.startswith(F.col("line"), F.lit("---")))
     )
     features = _block_line_features(F.col("line"), F.col("style"))
     at = F.col("line_no")
+    whole_line = F.struct(at.alias("at"), F.col("line").alias("text"))
     block = [*LOG, "style", "block_start"]
 
     def spot(name):
@@ -394,7 +402,7 @@ def block_texts(events: DataFrame, wanted: DataFrame, lines: DataFrame) -> DataF
         .groupBy(*block, F.col("_chunk").alias("chunk"))
         .agg(
             joined_in_order(
-                F.collect_list(F.struct(at.alias("at"), F.col("line").alias("text"))), "\n"
+                F.collect_list(F.when(F.col("style") != "jest", whole_line)), "\n"
             ).alias("body"),
             joined_in_order(F.collect_list(spot("error")), "\n").alias("errors"),
             F.min(spot("error")).alias("any_error"),
@@ -456,20 +464,19 @@ def failure_texts(events: DataFrame, failing: DataFrame, lines: DataFrame) -> Da
         failing.groupBy(*LOG, "style", "block_key").agg(F.count(F.lit(1)).alias("n_failing")),
         "wanted-blocks",
     )
-    named = last_blocks(events)
-    own = named.filter(F.col("style") != "jest").join(wanted, [*LOG, "style", "block_key"])
-    js_logs = wanted.filter(F.col("style") == "jest").select(*LOG)
-    js = named.filter(F.col("style") == "jest").join(js_logs, LOG)
+    taken_by = F.when(F.col("style") == "jest", "").otherwise(F.col("block_key"))
+    named = last_blocks(events).withColumn("_taken_by", taken_by)
+    takers = wanted.select(*LOG, "style", F.col("block_key").alias("_taken_by"))
     columns = [*LOG, "style", "block_key", "block_start", "first_start"]
-    blocks = stage(own.select(columns).unionByName(js.select(columns)), "blocks")
+    blocks = stage(named.join(takers, [*LOG, "style", "_taken_by"]).select(columns), "blocks")
 
     if blocks.isEmpty():
         nothing = {"error_message": F.lit(""), "stack_trace": F.lit("")}
         return wanted.withColumns(nothing)
     texts = block_texts(events, blocks.select(*LOG, "style", "block_start"), lines)
-    known = blocks.join(texts, [*LOG, "style", "block_start"], "left").fillna(
+    known = stage(blocks.join(texts, [*LOG, "style", "block_start"], "left").fillna(
         "", ["error_message", "stack_trace"]
-    )
+    ), "block-texts")
     per_test = known.filter(F.col("style") != "jest").select(
         *LOG, "style", "block_key", "error_message", "stack_trace"
     )
@@ -503,19 +510,20 @@ def extract_results(
     executions, see :func:`result_order`.  Matching lines, result lines and block
     texts are small next to the logs and read several times, so each is written
     down once; the logs are read for matching lines and, where a test failed,
-    for its block.
+    for its block.  Fields of result lines are cut out only where the framework has won
+    its log, and log by log: one pattern follows itself and is seldom compiled anew.
     """
     if framework is not None and framework not in {r.framework for r in RESULT_RULES}:
         raise ValueError(f"unknown framework {framework!r}")
-    events = line_events(lines, framework=framework, strip_timestamps=strip_timestamps)
-    logs = with_run_fields(log_frameworks(events), runs)
-    found = events.filter(F.col("kind") == "result").drop("kind", "style", "opens")
-    rows = (
-        attach_per_key(found, logs, LOG, "n_results", F.col("line_no"))
-        .filter(F.col("priority") == F.col("won"))
-        .withColumn("style", block_style(F.col("won")))
-    )
-    rows = stage(rows, "result-lines")
+    hits = _line_hits(lines, framework, strip_timestamps)
+    events = with_event_fields(hits, PLACE)
+    logs = stage(with_run_fields(log_frameworks(events), runs), "logs")
+    found = attach_per_key(
+        hits.filter(F.col("code") < DURATION), logs, LOG, "n_results", F.col("line_no")
+    ).filter(_of_rule("priority") == F.col("won"))
+    of_log = [c for c in logs.columns if c not in LOG]
+    rows = with_event_fields(found, [*PLACE, *of_log]).drop("kind", "opens")
+    rows = stage(rows.withColumn("style", block_style(F.col("won"))), "result-lines")
     has_block = T.is_failing(F.col("status")) & F.col("style").isNotNull()
     failing = rows.filter(has_block)
     texts = failure_texts(events, failing, clean_lines(lines, strip_timestamps))

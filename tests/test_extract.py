@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from testpulse.functions import fixed
 from testpulse.operators import extract as E
+from testpulse.plans import ci_tables as C
 
 STAMP = "2026-07-16T12:21:56.1234567Z "
 
@@ -346,3 +347,68 @@ def test_blocks_across_chunks(make_lines, monkeypatch):
     rows = E.extract_results(make_lines({(1, "x"): text})).collect()
     assert rows[0].error_message == "\n".join(f"line {i}" for i in range(500))
     assert rows[0].stack_trace == "\n".join(body)
+
+
+def written(monkeypatch):
+    """{name: optimized plan} of the tables written from now on."""
+    plans, write = {}, E.stage
+
+    def spy(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(E, "stage", spy)
+    return plans
+
+
+def test_block_lines_are_put_together_once(make_lines, monkeypatch):
+    """Both the blocks of tests and those of JS suites are taken from one pass over the lines."""
+    plans = written(monkeypatch)
+    text = "t.py::a FAILED\n____ a ____\nE   x"
+    suite = "FAIL pkg/a.test.js\n  ● S › a\n    expect(1)\n  ● S › b\n    boom"
+    rows = E.extract_results(make_lines({(1, "x"): text, (2, "x"): suite})).collect()
+    assert sorted((r.run_id, r.error_message, r.stack_trace) for r in rows) == [
+        (1, "x", "E   x"), (2, "S › a: expect(1); S › b: boom", "")
+    ]
+    running = [plan.count("last(_opened") for plan in plans.values()]
+    assert sum(running) == 1
+
+
+def test_only_results_of_the_winner_are_cut_out(make_lines, monkeypatch):
+    """Patterns of groups run above the join that leaves out the other frameworks."""
+    plans = written(monkeypatch)
+    text = "t.py::a PASSED\nb (m.C) ... FAIL\nc (m.C) ... ok"
+    rows = E.extract_results(make_lines({(1, "x"): text, (2, "y"): "b (m.C) ... ok"})).collect()
+    assert sorted((r.run_id, r.test_name, r.rule) for r in rows) == [
+        (1, "t.py::a", "pytest_name_status"), (2, "m.C.b", "unittest_dots")
+    ]
+    nodes = plans["result-lines"].splitlines()
+    joins = [i for i, node in enumerate(nodes) if "Join" in node]
+    cuts = [i for i, node in enumerate(nodes) if "regexp_extract" in node]
+    assert joins and cuts and max(cuts) < min(joins)
+
+
+def test_lines_of_events_are_derived_once(spark, monkeypatch):
+    """The filter on lines does not repeat the text that makes them; every event keeps its lines."""
+    rows = [(i, i % 7, ["error", "view", "purchase", "signup"][i % 4]) for i in range(240)]
+    events = spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string")
+    plans = []
+
+    def build_only(spark, name, build):
+        table = build()
+        plans.append(table._jdf.queryExecution().optimizedPlan().toString())
+        return table
+
+    monkeypatch.setattr(C, "events", lambda spark, folder: events)
+    monkeypatch.setattr(C, "stage_once", build_only)
+    lines = C.block_lines(spark, "nowhere").collect()
+    assert plans[0].count("Traceback (most recent call last)") == 1
+    assert all(r.line is not None for r in lines)
+    got = sorted((r.line_no, r.line) for r in lines if r.run_id == 1002 and r.line_no < 215)
+    assert got == [  # run 1002 is a pytest log
+        (200, "tests/test_m.py::test_u5 FAILED"), (201, "_______ test_u5 _______"),
+        (202, "    def test_it():"), (203, "E   AssertionError: got 40"), (204, "E    + where x is 3"),
+        (205, "tests/test_m.py::test_u6 PASSED"), (210, "tests/test_m.py::test_u0 ERROR"),
+        (211, "_______ test_u0 _______"), (212, "    def test_it():"),
+        (213, "tests/test_m.py:42: ValueError: bad port 42"), (214, "1 error in 0.32s"),
+    ]
